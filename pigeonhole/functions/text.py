@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 from pigeonhole import constants as k
 
 # The white space class of ECMAScript. Java's \s covers ASCII only.
-ES_SPACE = r"\t\n\x0B\f\r    -     　﻿"
+ES_SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -49,7 +49,7 @@ def token_phrase(c: Column) -> Column:
 
 
 def canonical_evidence(c: Column) -> Column:
-    straight = F.translate(c, "‘’“”", "''\"\"")
+    straight = F.translate(c, "\u2018\u2019\u201C\u201D", "''\"\"")
     return F.trim(F.regexp_replace(straight, f"[{ES_SPACE}]+", " "))
 
 

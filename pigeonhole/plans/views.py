@@ -1,6 +1,6 @@
 """Recorded-looking inputs derived from the given tables, written once for both engines.
 
-Each view is plain SQL. ``SHA(x)`` and ``JSON(x, path)`` are the only dialect differences.
+Each view is plain SQL. ``SHA(x)``, ``JSON(x, path)`` and ``MS(time)`` are the only dialect differences.
 A view may use earlier views; ``with_views`` builds the needed ``WITH`` prefix.
 """
 
@@ -120,6 +120,115 @@ select concat('run', cast(conv_id % 4 as string)), SHA(concat('conversation-', c
 from conversations where turn = 0"""
 
 
+# A wider ledger: every event user is a run.
+VIEWS["v_runs"] = """
+select concat('u', cast(user_id as string)) as run_id, user_id, min(MS(ts)) as created_at, count(*) as n_events,
+  case user_id % 5 when 0 then 'running' when 1 then 'complete' when 2 then 'halted' when 3 then 'closing' else 'uploading' end as status,
+  case when user_id % 2 = 0 then 'interactive' else 'batch' end as mode, user_id % 3 <> 0 as text_held,
+  case when user_id % 4 = 0 then 'isolate-unlimited-v1' when user_id % 4 = 1 then 'halt-on-unknown-v1' end as spend_policy,
+  case when user_id % 6 < 2 then 'unlimited' else 'limited' end as budget_mode,
+  case when user_id % 6 in (2, 3) then cast(2000000000 + user_id * 100000000 as string) end as limit_blended,
+  case when user_id % 6 in (3, 4) then cast(1000000000 + user_id * 50000000 as string) end as limit_openai,
+  case when user_id % 6 = 5 then cast(user_id * 20000000 as string) end as limit_typesafe,
+  concat('owner', cast(user_id % 7 as string)) as actor, concat('rev', cast(user_id % 3 as string)) as definition_revision_id,
+  case when user_id % 10 = 2 then '{"code":"E_WORKFLOW_INTERRUPTED"}' when user_id % 10 = 7 then '{"code":"E_LIVE_BUDGET","message":"limit"}' end as halt_json
+from events group by user_id"""
+
+VIEWS["v_ledger"] = """
+select concat('u', cast(user_id as string), '-', fingerprint, '-', role, '-', cast(event_id as string)) as attempt_id,
+  concat('u', cast(user_id as string)) as run_id, fingerprint, role,
+  case when event_id % 91 = 0 then null else status end as status, event_id, MS(created_at) as created_at, cost_nano, input_tokens, output_tokens
+from v_costs where event_id % 17 <> 0"""
+
+VIEWS["v_checkpoints"] = """
+select concat('u', cast(user_id as string)) as run_id, fingerprint, concat(role, '-http-', cast(event_id as string)) as name,
+  case when event_id % 13 = 0 then 'running' when event_id % 34 = 0 then 'running' else 'complete' end as status
+from v_costs"""
+
+VIEWS["v_batches"] = """
+select concat('b', cast(o_orderkey as string)) as batch_key, concat('u', cast(o_custkey % 150 as string)) as run_id,
+  case when o_orderstatus <> 'P' then concat('remote-', cast(o_orderkey as string)) end as remote_batch_id
+from orders"""
+
+VIEWS["v_events"] = """
+select concat('u', cast(user_id as string)) as run_id, event_id as event_seq, MS(ts) as created_at,
+  case when event_type in ('error', 'signup') then 'run' when event_type = 'purchase' then 'document' else 'provider_cooldown' end as stage,
+  case event_type when 'error' then 'halted' when 'signup' then 'halt_observed' when 'purchase' then 'failed' else 'waiting' end as kind,
+  case when event_type in ('error', 'signup') then concat('{"code":"', case when k % 2 = 0 then 'E_SPEND_UNACCOUNTED' else 'E_LIVE_BUDGET' end, '","message":"m', cast(k as string), '"}')
+       when event_type = 'purchase' then '{"code":"E_EXTRACTION"}'
+       when k % 10 = 9 then '{"scope":"elsewhere","until":99999999999999}'
+       when k % 10 = 8 then '{"scope":"openai","until":"soon"}'
+       else concat('{"scope":"', case when event_type = 'view' then 'typesafe' else 'openai' end, '","until":', cast(MS(ts) + k * 60000 as string), '}') end as details_json
+from (select e.*, cast(JSON(props, '$.k') as bigint) as k from events e) x
+union all
+select concat('u', cast(o_custkey % 150 as string)), -1 - o_orderkey, cast(0 as bigint), 'batch_accounting', 'reconciled',
+  concat('{"batchKey":"b', cast(o_orderkey as string), '"}')
+from orders where o_orderstatus = 'F'"""
+
+VIEWS["v_run_docs"] = """
+select run_id, doc_id, SHA(cast(doc_id as string)) as fingerprint, concat('doc-', cast(doc_id as string), '.pdf') as original_filename,
+  status, case when status = 'complete' then concat('R', cast(doc_id % 6 as string)) end as rule_id,
+  concat('in-', cast(doc_id as string)) as input_key, case when doc_id % 61 = 0 then '{"code":"E_EXTRACTION"}' end as failure_json,
+  concat('w-', cast(doc_id as string)) as workflow_id
+from (select concat('u', cast(doc_id % 150 as string)) as run_id, doc_id,
+  case when (doc_id % 150) % 4 < 2 then 'complete' when doc_id % 3 = 0 then 'running' else 'complete' end as status from documents) d"""
+
+VIEWS["v_full_runs"] = """
+select r.*, coalesce(d.n, 0) as expected_count, 0.9e0 as threshold from v_runs r
+left join (select run_id, count(*) as n from v_run_docs group by run_id) d on d.run_id = r.run_id"""
+
+VIEWS["v_recoveries"] = """
+select concat('rec-', cast(event_id as string)) as recovery_id, concat('u', cast(user_id as string)) as run_id, MS(ts) as created_at,
+  row_number() over (partition by user_id order by event_id) as generation
+from events where event_type = 'purchase' and value > 50"""
+
+VIEWS["v_recovery_docs"] = """
+select r.recovery_id, d.fingerprint, concat('w-', cast(d.doc_id as string)) as new_workflow_id,
+  case when d.doc_id % 3 = 0 then 'started' when d.doc_id % 3 = 1 then 'dispatching' else 'pending' end as state
+from v_recoveries r join v_run_docs d on d.run_id = r.run_id where d.status <> 'complete'"""
+
+VIEWS["v_artifacts"] = """
+select concat('in-', cast(doc_id as string)) as key, concat('u', cast(doc_id % 150 as string)) as run_id, true as contains_text,
+  case when doc_id % 77 = 0 then 'writing' else 'complete' end as state,
+  case when doc_id % 19 = 0 then cast(1704067200000 as bigint) end as deleted_at from documents
+union all
+select concat('conv-', cast(conv_id as string), '-', cast(turn as string)), concat('u', cast(conv_id % 150 as string)), false, 'complete', cast(null as bigint)
+from conversations"""
+
+VIEWS["v_workflows"] = """
+select concat('w-', cast(doc_id as string)) as workflow_id,
+  case doc_id % 4 when 0 then 'complete' when 1 then 'errored' when 2 then 'terminated' else 'running' end as status from documents"""
+
+VIEWS["v_outcomes"] = """
+select concat('u', cast(user_id as string)) as run_id, case when event_type in ('view', 'signup') then 'confidence' else 'reader' end as vendor,
+  MS(ts) as created_ms, event_id as outcome_id, event_type in ('error', 'signup') as exhausted
+from events"""
+
+# Type files: one per brand, types from its parts.
+VIEWS["v_types"] = """
+select p_brand as type_version, cast(row_number() over (partition by p_brand order by p_partkey) as int) as position, p_partkey,
+  case when p_size = 1 then 'con' when p_size = 2 then concat(p_name, '!') else replace(p_name, ' ', '_') end as id,
+  case when p_size = 3 then '  ' else concat(p_name, ' ', cast(p_size % 20 as string)) end as name, p_type as what,
+  case when p_size = 4 then '' else concat('not ', p_type) end as not_for, case when p_size = 5 then null else p_name end as example
+from part"""
+
+VIEWS["v_none_options"] = """
+select distinct p_brand as type_version, 'None' as name, case when p_brand = 'Brand#3' then ' ' else 'fits nothing' end as what from part
+union all select r_name, 'None', 'fits nothing' from region"""
+
+# Definition revisions: every order of a customer revises that customer's definitions.
+VIEWS["v_revisions"] = """
+select o_custkey as project_id, o_orderkey as revision_id, SHA(o_orderpriority) as type_version, MS(o_orderdate) as created_at,
+  lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as base_revision_id
+from orders"""
+
+VIEWS["v_activations"] = """
+select o_custkey as project_id, o_orderkey as revision_id, o_orderkey as activation_id, MS(o_orderdate) as created_at,
+  cast(80 + o_orderkey % 20 as double)/100 as threshold, case when o_orderkey % 3 = 0 then 'calibrated' else 'untested' end as threshold_status,
+  'semantic' as change_kind, o_orderpriority as justification
+from orders where o_orderstatus = 'F'"""
+
+
 def _order(names: set[str]) -> list[str]:
     return [n for n in VIEWS if n in names]
 
@@ -139,7 +248,10 @@ def _needed(sql: str) -> set[str]:
 def _dialect(sql: str, engine: str) -> str:
     if engine == "spark":
         sql = re.sub(r"\bSHA\(((?:[^()]|\([^()]*(?:\([^()]*\))?[^()]*\))*)\)", r"sha2(\1, 256)", sql)
-        return sql.replace("JSON(", "get_json_object(")
+        return sql.replace("JSON(", "get_json_object(").replace("MS(ts)", "unix_millis(cast(ts as timestamp))").replace(
+            "MS(created_at)", "unix_millis(cast(created_at as timestamp))").replace(
+            "MS(o_orderdate)", "unix_millis(cast(o_orderdate as timestamp))")
+    sql = re.sub(r"\bMS\((\w+)\)", r"(epoch_us(\1) // 1000)", sql)
     return sql.replace("SHA(", "sha256(").replace("JSON(", "json_extract_string(")
 
 
