@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once and use it many times in ``body``.
+
+    A plain intermediate column is substituted into every use when a filter moves below its projection; a bound
+    value stays one evaluation however the plan is rewritten.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def parse(c: Column) -> Column:
-    """Variant value, null for malformed text."""
-    return F.try_parse_json(c)
+    """Variant value, null for malformed text. Wrapped in an array first, because the parser alone would accept
+    anything after the first value."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return let(wrapped, lambda a: F.when(F.try_variant_get(a, "$[1]", "variant").isNull(), F.try_variant_get(a, "$[0]", "variant")))
 
 
 def json_token(v: Column, path: str) -> Column:
@@ -44,5 +57,4 @@ def keys(v: Column, path: str = "$") -> Column:
 
 
 def exact_keys(v: Column, names: Column, path: str = "$") -> Column:
-    found = keys(v, path)
-    return F.coalesce((F.size(found) == F.size(names)) & (F.size(F.array_except(found, names)) == 0), F.lit(False))
+    return F.coalesce(let(keys(v, path), lambda found: (F.size(found) == F.size(names)) & (F.size(F.array_except(found, names)) == 0)), F.lit(False))

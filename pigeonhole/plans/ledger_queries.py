@@ -198,9 +198,9 @@ def _(t: Inputs) -> DataFrame:
 
 @query("batch_cost_failure", """
 with s as (select attempt_id, run_id, event_id, case event_id % 11 when 0 then 401 when 1 then 404 when 2 then 429 else 200 end as status_code from v_ledger)
-select s.attempt_id, case when coalesce(r.spend_policy, 'x') <> 'isolate-unlimited-v1' then null when event_id % 7 = 0 then 'E_TERRA_PIN_DRIFT'
+select s.attempt_id, case when coalesce(r.spend_policy, 'x') <> 'isolate-unlimited-v1' then null when s.event_id % 7 = 0 then 'E_TERRA_PIN_DRIFT'
   when status_code = 401 then 'E_VENDOR_AUTH' when status_code = 404 then 'E_MODEL_REJECTED' when status_code = 429 then 'E_OPENAI_QUOTA'
-  when event_id % 23 = 0 then 'E_VENDOR_LOG' when l.cost_nano is not null then null when r.budget_mode <> 'unlimited' then 'E_SPEND_UNACCOUNTED' else 'E_VENDOR_COST_UNKNOWN' end as code
+  when s.event_id % 23 = 0 then 'E_VENDOR_LOG' when l.cost_nano is not null then null when r.budget_mode <> 'unlimited' then 'E_SPEND_UNACCOUNTED' else 'E_VENDOR_COST_UNKNOWN' end as code
 from s join v_runs r on r.run_id = s.run_id join v_ledger l on l.attempt_id = s.attempt_id""")
 def _(t: Inputs) -> DataFrame:
     calls = t.view("v_ledger")
