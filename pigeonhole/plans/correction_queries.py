@@ -8,6 +8,7 @@ from pigeonhole.operators import corrections, proposals, references
 from pigeonhole.plans.decision_queries import type_ids
 from pigeonhole.plans.registry import query
 from pigeonhole.plans.views import Inputs
+from pigeonhole.session import cut
 
 CHECKED = ["type_en", "type_fr", "human_review"]
 
@@ -315,7 +316,7 @@ def _counts_sql() -> str:
 @query("compare_reference", _counts_sql())
 def _(t: Inputs) -> DataFrame:
     keys = ["correction_id", "fingerprint"]
-    ref, following = reference(t), next_run(t)
+    ref, following = cut(reference(t), "reference"), next_run(t)
     return references.compare_reference(references.comparison_details(ref, following, keys), ref, following, ["correction_id"], keys)
 
 

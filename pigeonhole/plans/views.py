@@ -7,25 +7,18 @@ A view may use earlier views; ``with_views`` builds the needed ``WITH`` prefix.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pigeonhole.session import new_folder
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 VIEWS: dict[str, str] = {}
 
-# One row per (run, content). Exact copies inside a run keep the first document.
-VIEWS["v_docs"] = """
-select d.run_id, d.doc_id, d.fingerprint, d.text, t.original_filename, t.true_type from (
-  select concat('run', cast(doc_id % 4 as string)) as run_id, SHA(text) as fingerprint, text, min(doc_id) as doc_id
-  from documents group by doc_id % 4, text) d
-join (select doc_id, concat('type_', lang) as true_type,
-  concat('doc-', lpad(cast(doc_id as string), 8, '0'), '.', case when doc_id % 10 = 0 then 'txt'
-    when doc_id % 10 < 5 then 'docx' when doc_id % 10 < 8 then 'pptx' else 'pdf' end) as original_filename
-  from documents) t on t.doc_id = d.doc_id"""
-
-# The same identities without the text, for everything that never looks at it.
+# One row per (run, content), without the text. Exact copies inside a run keep the first document.
 VIEWS["v_ids"] = """
 select d.run_id, d.doc_id, d.fingerprint, t.original_filename, t.true_type from (
   select run_id, fingerprint, min(doc_id) as doc_id from (
@@ -36,6 +29,10 @@ join (select doc_id, concat('type_', lang) as true_type,
     when doc_id % 10 < 5 then 'docx' when doc_id % 10 < 8 then 'pptx' else 'pdf' end) as original_filename
   from documents) t on t.doc_id = d.doc_id"""
 
+# The same rows with their text. The identities join by document, so no shuffle is keyed by text.
+VIEWS["v_docs"] = """
+select i.run_id, i.doc_id, i.fingerprint, d.text, i.original_filename, i.true_type from documents d join v_ids i on i.doc_id = d.doc_id"""
+
 # Recorded model outputs for the four language types.
 VIEWS["v_model"] = """
 select run_id, doc_id, fingerprint, original_filename, true_type, choice, certainty,
@@ -179,7 +176,7 @@ left join (select run_id, count(*) as n from v_run_docs group by run_id) d on d.
 
 VIEWS["v_recoveries"] = """
 select concat('rec-', cast(event_id as string)) as recovery_id, concat('u', cast(user_id as string)) as run_id, MS(ts) as created_at,
-  row_number() over (partition by user_id order by event_id) as generation
+  event_id as generation
 from events where event_type = 'purchase' and value > 50"""
 
 VIEWS["v_recovery_docs"] = """
@@ -206,7 +203,7 @@ from events"""
 
 # Type files: one per brand, types from its parts.
 VIEWS["v_types"] = """
-select p_brand as type_version, cast(row_number() over (partition by p_brand order by p_partkey) as int) as position, p_partkey,
+select p_brand as type_version, cast(p_partkey as int) as position, p_partkey,
   case when p_size = 1 then 'con' when p_size = 2 then concat(p_name, '!') else replace(p_name, ' ', '_') end as id,
   case when p_size = 3 then '  ' else concat(p_name, ' ', cast(p_size % 20 as string)) end as name, p_type as what,
   case when p_size = 4 then '' else concat('not ', p_type) end as not_for, case when p_size = 5 then null else p_name end as example
@@ -216,11 +213,13 @@ VIEWS["v_none_options"] = """
 select distinct p_brand as type_version, 'None' as name, case when p_brand = 'Brand#3' then ' ' else 'fits nothing' end as what from part
 union all select r_name, 'None', 'fits nothing' from region"""
 
-# Definition revisions: every order of a customer revises that customer's definitions.
+# Definition revisions: every order of a customer revises that customer's definitions, from its newest activated
+# revision (even numbers) or from the revision numbered before it.
 VIEWS["v_revisions"] = """
-select o_custkey as project_id, o_orderkey as revision_id, SHA(o_orderpriority) as type_version, MS(o_orderdate) as created_at,
-  lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as base_revision_id
-from orders"""
+select o.o_custkey as project_id, o.o_orderkey as revision_id, SHA(o.o_orderpriority) as type_version, MS(o_orderdate) as created_at,
+  case when o.o_orderkey % 2 = 0 then b.newest else o.o_orderkey - 1 end as base_revision_id
+from orders o left join (select o_custkey, max_by(o_orderkey, concat(cast(o_orderdate as string), '-', lpad(cast(o_orderkey as string), 12, '0'))) as newest
+  from orders where o_orderstatus = 'F' group by o_custkey) b on b.o_custkey = o.o_custkey"""
 
 VIEWS["v_activations"] = """
 select o_custkey as project_id, o_orderkey as revision_id, o_orderkey as activation_id, MS(o_orderdate) as created_at,
@@ -229,20 +228,17 @@ select o_custkey as project_id, o_orderkey as revision_id, o_orderkey as activat
 from orders where o_orderstatus = 'F'"""
 
 
-def _order(names: set[str]) -> list[str]:
-    return [n for n in VIEWS if n in names]
-
-
-def _needed(sql: str) -> set[str]:
+def _needed(sql: str, stop: set[str] = frozenset()) -> list[str]:
+    """Views a statement uses, in definition order; views in ``stop`` are not looked into."""
     found: set[str] = set()
     todo = [sql]
     while todo:
         text = todo.pop()
         for name in VIEWS:
-            if name not in found and re.search(rf"\b{name}\b", text):
+            if name not in found and name not in stop and re.search(rf"\b{name}\b", text):
                 found.add(name)
                 todo.append(VIEWS[name])
-    return found
+    return [n for n in VIEWS if n in found]
 
 
 def _dialect(sql: str, engine: str) -> str:
@@ -255,9 +251,9 @@ def _dialect(sql: str, engine: str) -> str:
     return sql.replace("SHA(", "sha256(").replace("JSON(", "json_extract_string(")
 
 
-def with_views(sql: str, engine: str = "duckdb") -> str:
+def with_views(sql: str, engine: str = "duckdb", stored: set[str] = frozenset()) -> str:
     """Prefix ``sql`` with the views it uses. Existing leading CTEs in ``sql`` are kept after them."""
-    names = _order(_needed(sql))
+    names = _needed(sql, stored)
     body = sql.strip()
     if not names:
         return _dialect(body, engine)
@@ -267,6 +263,22 @@ def with_views(sql: str, engine: str = "duckdb") -> str:
     return _dialect(f"with {parts}{body if body.startswith(',') else chr(10) + body}", engine)
 
 
+def _manifest(t: "Inputs") -> DataFrame:
+    """The manifest through the library's own rules and tags, so that no window spans a run."""
+    from pigeonhole.operators import decisions
+
+    rows = t.sql("select *, rule_id as rule from v_decided")
+    tagged = decisions.assign_tags(rows.withColumn("preflight_order", rows["doc_id"]), block_size=4_096)
+    return tagged.select("run_id", "fingerprint", "doc_id", "original_filename", "destination_folder", "rule", "certainty", "choice", "true_type",
+                         "failure", "note", "yes_1", "yes_2", "noul_de", "noul_en", "noul_es", "noul_fr", "tag")
+
+
+# Ledger-like tables that every job reads more than once are written to the shared folder first, as a run would.
+STORED: dict[str, Callable[["Inputs"], DataFrame] | None] = {
+    "v_ids": None, "v_manifest": _manifest, "v_listing": None, "v_run_docs": None, "v_events": None, "v_ledger": None}
+_written: dict[tuple[str, str, str], str] = {}
+
+
 class Inputs:
     """Lazy access to the given tables and the derived views of one data folder."""
 
@@ -279,8 +291,25 @@ class Inputs:
     def view(self, name: str) -> DataFrame:
         return self.sql(f"select * from {name}")
 
+    def stored(self, name: str) -> str:
+        """Folder of a stored view, written on first use in this session."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _written:
+            build = STORED[name]
+            df = build(self) if build else self._run(VIEWS[name], skip=name)
+            path = new_folder(self.spark, name)
+            df.write.parquet(path)
+            _written[key] = path
+        return _written[key]
+
     def sql(self, sql: str) -> DataFrame:
-        text = with_views(sql, "spark")
-        for name in TABLES:
-            text = re.sub(rf"\b(from|join)\s+{name}\b", rf"\1 parquet.`{self.folder}/{name}.parquet`", text)
+        return self._run(sql)
+
+    def _run(self, sql: str, skip: str | None = None) -> DataFrame:
+        stop = set(STORED) - {skip}
+        text = with_views(sql, "spark", stop)
+        for name in [*TABLES, *stop]:
+            if re.search(rf"\b(from|join)\s+{name}\b", text):
+                path = self.stored(name) if name in STORED else f"{self.folder}/{name}.parquet"
+                text = re.sub(rf"\b(from|join)\s+{name}\b", rf"\1 parquet.`{path}`", text)
         return self.spark.sql(text)
