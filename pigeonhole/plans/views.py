@@ -273,9 +273,16 @@ def _manifest(t: "Inputs") -> DataFrame:
                          "failure", "note", "yes_1", "yes_2", "noul_de", "noul_en", "noul_es", "noul_fr", "tag")
 
 
+def _lines(t: "Inputs") -> DataFrame:
+    from pigeonhole.operators import outline
+
+    return outline.split_lines(t.view("v_docs"), ["run_id", "fingerprint"])
+
+
 # Ledger-like tables that every job reads more than once are written to the shared folder first, as a run would.
 STORED: dict[str, Callable[["Inputs"], DataFrame] | None] = {
-    "v_ids": None, "v_manifest": _manifest, "v_listing": None, "v_run_docs": None, "v_events": None, "v_ledger": None}
+    "v_ids": None, "v_manifest": _manifest, "v_listing": None, "v_run_docs": None, "v_events": None, "v_ledger": None,
+    "v_lines": _lines}
 _written: dict[tuple[str, str, str], str] = {}
 
 
