@@ -258,9 +258,10 @@ def with_views(sql: str, engine: str = "duckdb", stored: set[str] = frozenset())
     if not names:
         return _dialect(body, engine)
     parts = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in names)
+    recursive = "recursive " if re.match(r"with\s+recursive\s", body, re.I) else ""
     if re.match(r"with\s", body, re.I):
-        body = ",\n" + re.sub(r"^with\s+", "", body, flags=re.I)
-    return _dialect(f"with {parts}{body if body.startswith(',') else chr(10) + body}", engine)
+        body = ",\n" + re.sub(r"^with\s+(recursive\s+)?", "", body, flags=re.I)
+    return _dialect(f"with {recursive}{parts}{body if body.startswith(',') else chr(10) + body}", engine)
 
 
 def _manifest(t: "Inputs") -> DataFrame:
