@@ -39,14 +39,14 @@ def block_positions(df: DataFrame, keys: list[str], block: Column, order_by: lis
     ``block`` must rise with the order (a value range of the order key). Rows are numbered inside a block, and
     the block starts come from counts per block, so a key that holds a third of all rows still spreads.
     """
-    with_block = df.withColumn("_block", block)
-    starts = (with_block.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_start", F.coalesce(F.sum("_n").over(
-                  W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-              .select(*keys, "_block", "_start"))
-    local = F.row_number().over(W.partitionBy(*keys, "_block").orderBy(*order_by))
-    return (with_block.withColumn("_local", local).join(starts, [*keys, "_block"])
-            .withColumn(name, F.col("_start") + F.col("_local")).drop("_block", "_start", "_local"))
+    with_block = df.withColumn("_bp_block", block)
+    starts = (with_block.groupBy(*keys, "_bp_block").agg(F.count(F.lit(1)).alias("_bp_n"))
+              .withColumn("_bp_start", F.coalesce(F.sum("_bp_n").over(
+                  W.partitionBy(*keys).orderBy("_bp_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+              .select(*keys, "_bp_block", "_bp_start"))
+    local = F.row_number().over(W.partitionBy(*keys, "_bp_block").orderBy(*order_by))
+    return (with_block.withColumn("_bp_local", local).join(starts, [*keys, "_bp_block"])
+            .withColumn(name, F.col("_bp_start") + F.col("_bp_local")).drop("_bp_block", "_bp_start", "_bp_local"))
 
 
 def has_duplicates(c: Column) -> Column:

@@ -159,11 +159,13 @@ def assemble_full_text(pieces: DataFrame, keys: list[str], carry: list[str] | No
     joined by newlines. A document is one row, so offsets are computed inside it.
     """
     carry = carry or []
-    kept = pieces.filter((F.col("kind") == "marker") | ~blank(F.col("text")))
+    # an anchor (a table start) takes the position of what follows and adds nothing
+    kept = pieces.filter(F.col("kind").isin("marker", "anchor") | ~blank(F.col("text")))
     grouped = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "text", *carry))).alias("_p"))
-    starts = running_offsets(F.transform("_p", lambda p: utf16_len(p["text"]) + 1))
+    starts = running_offsets(F.transform("_p", lambda p: F.when(p["kind"] == "anchor", F.lit(0).cast("bigint")).otherwise(utf16_len(p["text"]) + 1)))
     items = F.zip_with("_p", starts, lambda p, s: F.struct(*[p[c].alias(c) for c in ("seq", "kind", "text", *carry)], s.alias("position")))
-    return grouped.select(*keys, F.array_join(F.transform("_p", lambda p: p["text"]), "\n").alias("full_text"), items.alias("items"))
+    shown = F.transform(F.filter("_p", lambda p: p["kind"] != "anchor"), lambda p: p["text"])
+    return grouped.select(*keys, F.array_join(shown, "\n").alias("full_text"), items.alias("items"))
 
 
 def structural(text: Column, vocabulary: Column) -> Column:

@@ -32,7 +32,7 @@ def load() -> None:
         importlib.import_module(f"pigeonhole.plans.{module}")
 
 
-MODULES = ["decision_queries", "ledger_queries", "response_queries", "correction_queries", "outline_queries", "request_queries"]
+MODULES = ["decision_queries", "ledger_queries", "response_queries", "correction_queries", "outline_queries", "request_queries", "source_queries", "streaming_queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

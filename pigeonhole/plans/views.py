@@ -321,3 +321,15 @@ class Inputs:
                 path = self.stored(name) if name in STORED else f"{self.folder}/{name}.parquet"
                 text = re.sub(rf"\b(from|join)\s+{name}\b", rf"\1 parquet.`{path}`", text)
         return self.spark.sql(text)
+
+    def stream(self, sql: str, stored_first: bool = False) -> DataFrame:
+        """``sql`` over the event table (or over a stored view) read as a stream of files."""
+        if stored_first:
+            name = next(n for n in STORED if re.search(rf"\b{n}\b", sql))
+            path, pattern, text = self.stored(name), "*.parquet", _dialect(sql, "spark")
+        else:
+            name, path, pattern, text = "events", self.folder, "events.parquet", with_views(sql, "spark")
+        schema = self.spark.read.parquet(path if stored_first else f"{path}/{pattern}").schema
+        source = f"{name}_stream"
+        self.spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path).createOrReplaceTempView(source)
+        return self.spark.sql(re.sub(rf"\b(from|join)\s+{name}\b", rf"\1 {source}", text))
