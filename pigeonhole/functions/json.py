@@ -29,16 +29,22 @@ def json_token(v: Column, path: str) -> Column:
 
 
 def kind(v: Column, path: str = "$") -> Column:
-    """``STRING``, ``BOOLEAN``, ``BIGINT``, ``OBJECT<...>``, ``ARRAY<...>``, ``VOID`` (JSON null) or SQL null when absent."""
+    """``STRING``, ``BOOLEAN``, ``BIGINT``, ``ARRAY<...>``, ``VOID`` (JSON null) or SQL null when absent. Meant for scalars."""
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
 
+def present(v: Column, path: str) -> Column:
+    """The path exists (JSON null counts)."""
+    return F.try_variant_get(v, path, "variant").isNotNull()
+
+
 def is_object(v: Column, path: str = "$") -> Column:
-    return F.coalesce(kind(v, path).startswith("OBJECT"), F.lit(False))
+    """A shallow cast, because naming the full schema of a large value costs far more than its outer type."""
+    return F.try_variant_get(v, path, "map<string,variant>").isNotNull()
 
 
 def is_array(v: Column, path: str = "$") -> Column:
-    return F.coalesce(kind(v, path).startswith("ARRAY"), F.lit(False))
+    return F.try_variant_get(v, path, "array<variant>").isNotNull()
 
 
 def is_string(v: Column, path: str = "$") -> Column:

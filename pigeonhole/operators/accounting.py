@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pigeonhole import constants as k
-from pigeonhole.functions.json import is_null, is_object, json_token, kind, parse
+from pigeonhole.functions.json import is_object, json_token, parse, present
 from pigeonhole.operators import costs
 from pigeonhole.operators.models import model_accepted
 
@@ -42,7 +42,7 @@ def staged_charges(staged: DataFrame, rate: Column) -> DataFrame:
     body (JSON text), pin, pin_policy. Adds disposition, cost_nano and usage_code.
     """
     parsed = staged.withColumn("_b", parse(F.col("body")))
-    has_usage = F.coalesce(is_object(F.col("_b")) & kind(F.col("_b"), "$.usage").isNotNull(), F.lit(False))
+    has_usage = F.coalesce(is_object(F.col("_b")) & present(F.col("_b"), "$.usage"), F.lit(False))
     status = F.col("status_code")
     unsuccessful = F.coalesce((status.isNull() & F.col("has_error")) | (status < 200) | (status >= 300), F.lit(False))
     model = F.try_variant_get(F.col("_b"), "$.model", "string")
@@ -84,7 +84,7 @@ def batch_cost_failure(staged: DataFrame, calls: DataFrame, runs: DataFrame) ->
             .withColumn("_b", parse(F.col("body"))))
     error = lambda name: F.try_variant_get(F.col("_b"), f"$.error.{name}", "string")
     model = F.try_variant_get(F.col("_b"), "$.model", "string")
-    drift = kind(F.col("_b"), "$.model").isNotNull() & ~F.coalesce(
+    drift = present(F.col("_b"), "$.model") & ~F.coalesce(
         model_accepted(model, F.col("pin"), F.col("pin_policy")), F.lit(False))
     status = F.col("status_code")
     code = (F.when(F.coalesce("spend_policy", F.lit(k.SPEND_HALT)) != k.SPEND_ISOLATE, None)

@@ -12,23 +12,27 @@ from pigeonhole.operators.models import model_accepted, pin_valid
 def parse_result_lines(lines: DataFrame, line_limit: int = k.BATCH_LINE_BYTES) -> DataFrame:
     """Envelope columns of each line, with ``line_code`` for lines that cannot be used.
 
-    Input: batch_id, file_id, line_number, line. Adds custom_id, status_code, has_response, has_error, body.
+    Input: batch_id, file_id, line_number, line. Adds custom_id, status_code, has_response, has_error, body, line_code and
+    what the body says about itself (has_model, model, error_code, error_param), so that nothing parses it again.
     """
     def read(v: Column) -> Column:
-        response = js.kind(v, "$.response")
+        text = lambda path: F.when(js.is_string(v, path), F.try_variant_get(v, path, "string"))
         # malformed: absent, not an object, no integer status or no body; or neither a response nor an error
-        enveloped = F.coalesce(response.startswith("OBJECT") & js.json_token(v, "$.response.status_code").rlike("^-?[0-9]+$")
-                               & js.kind(v, "$.response.body").isNotNull(), F.lit(False))
-        empty = F.coalesce((response == "VOID") & ~js.is_null(v, "$.error"), F.lit(False))
-        custom_id = F.when(js.is_string(v, "$.custom_id"), F.try_variant_get(v, "$.custom_id", "string"))
-        code = (F.when(F.length("line") == 0, "E_BATCH_RESULT")
-                .when(F.octet_length("line") > line_limit, "E_BATCH_RESULT_LIMIT")
-                .when(~js.is_object(v) | custom_id.isNull(), "E_BATCH_RESULT")
-                .when(~(enveloped | empty), "E_BATCH_RESULT"))
-        return F.struct(
-            custom_id.alias("custom_id"), F.when(enveloped, F.try_variant_get(v, "$.response.status_code", "int")).alias("status_code"),
-            enveloped.alias("has_response"), (~js.is_null(v, "$.error")).alias("has_error"),
-            js.json_token(v, "$.response.body").alias("body"), code.alias("line_code"))
+        enveloped = F.coalesce(js.json_token(v, "$.response.status_code").rlike("^-?[0-9]+$") & js.present(v, "$.response.body"), F.lit(False))
+        no_response = js.present(v, "$.response") & F.coalesce(js.json_token(v, "$.response") == "null", F.lit(False))
+        failed = js.present(v, "$.error") & ~F.coalesce(js.json_token(v, "$.error") == "null", F.lit(False))
+
+        def columns(custom_id: Column, here: Column) -> Column:
+            code = (F.when(F.length("line") == 0, "E_BATCH_RESULT")
+                    .when(F.octet_length("line") > line_limit, "E_BATCH_RESULT_LIMIT")
+                    .when(custom_id.isNull(), "E_BATCH_RESULT")
+                    .when(~here & ~(no_response & failed), "E_BATCH_RESULT"))
+            return F.struct(
+                custom_id.alias("custom_id"), F.when(here, F.try_variant_get(v, "$.response.status_code", "int")).alias("status_code"),
+                here.alias("has_response"), failed.alias("has_error"), js.json_token(v, "$.response.body").alias("body"), code.alias("line_code"),
+                js.present(v, "$.response.body.model").alias("has_model"), text("$.response.body.model").alias("model"),
+                text("$.response.body.error.code").alias("error_code"), text("$.response.body.error.param").alias("error_param"))
+        return js.let(text("$.custom_id"), lambda c: js.let(enveloped, lambda e: columns(c, e)))
 
     rows = lines.withColumn("line", F.regexp_replace("line", "\r$", "")).withColumn("_r", js.let(js.parse(F.col("line")), read))
     return rows.select(*lines.columns, "_r.*")
@@ -42,17 +46,14 @@ def _known(parsed: DataFrame, expected: DataFrame) -> DataFrame:
 def correlation_blockers(parsed: DataFrame, expected: DataFrame, batches: DataFrame) -> DataFrame:
     """Lines that stop the whole correlation: malformed or unknown lines, drifted models, refused credentials;
     also batches that are not terminal. ``batches``: batch_id, status, pin, pin_policy."""
-    rows = _known(parsed, expected).join(batches, "batch_id").withColumn("_b", js.parse(F.col("body")))
-    model_here = js.kind(F.col("_b"), "$.model").isNotNull()
-    model = F.when(js.is_string(F.col("_b"), "$.model"), F.try_variant_get("_b", "$.model", "string"))
-    error = lambda n: F.when(js.is_string(F.col("_b"), f"$.error.{n}"), F.try_variant_get("_b", f"$.error.{n}", "string"))
-    accepted = F.coalesce(model_accepted(model, F.col("pin"), F.col("pin_policy")), F.lit(False))
+    rows = _known(parsed, expected).join(batches, "batch_id")
+    accepted = F.coalesce(model_accepted(F.col("model"), F.col("pin"), F.col("pin_policy")), F.lit(False))
     code = (F.when(F.col("line_code").isNotNull(), F.col("line_code"))
             .when(F.col("_expected").isNull(), "E_BATCH_RESULT")
-            .when(model_here & ~pin_valid(F.col("pin"), F.col("pin_policy"), F.lit(k.READER)), "E_MODEL_POLICY")
-            .when(model_here & ~accepted, k.DRIFT_CODE[k.READER])
+            .when(F.col("has_model") & ~pin_valid(F.col("pin"), F.col("pin_policy"), F.lit(k.READER)), "E_MODEL_POLICY")
+            .when(F.col("has_model") & ~accepted, k.DRIFT_CODE[k.READER])
             .when(F.col("status_code").isin(401, 403), "E_VENDOR_AUTH")
-            .when((F.col("status_code") == 404) | (error("code") == "model_not_found") | (error("param") == "model"), "E_MODEL_REJECTED"))
+            .when((F.col("status_code") == 404) | (F.col("error_code") == "model_not_found") | (F.col("error_param") == "model"), "E_MODEL_REJECTED"))
     lines = rows.select("batch_id", "file_id", "line_number", "custom_id", code.alias("code")).filter("code is not null")
     open_batches = batches.filter(~F.col("status").isin(k.BATCH_TERMINAL)).select(
         "batch_id", F.lit(None).cast("string").alias("file_id"), F.lit(None).cast("bigint").alias("line_number"),
@@ -80,15 +81,19 @@ def correlate_batch(parsed: DataFrame, expected: DataFrame, batches: DataFrame)
 
 
 def strict_blockers(parsed: DataFrame, expected: DataFrame) -> DataFrame:
-    """Whole-file reading: every malformed, unknown, repeated or missing id stops it (empty lines are skipped)."""
-    lines = _known(parsed.filter(F.length("line") > 0), expected)
-    bad = lines.filter(F.col("line_code").isNotNull() | F.col("_expected").isNull()).select(
-        "batch_id", "custom_id", F.when(F.col("line_code").isNotNull(), "malformed").otherwise("unexpected").alias("problem"))
-    usable = lines.filter(F.col("line_code").isNull() & F.col("_expected").isNotNull())
-    repeated = usable.groupBy("batch_id", "custom_id").count().filter("count > 1").select("batch_id", "custom_id", F.lit("duplicate").alias("problem"))
-    missing = expected.select("batch_id", "custom_id").join(usable.select("batch_id", "custom_id"), ["batch_id", "custom_id"], "left_anti").withColumn("problem", F.lit("missing"))
-    twice = expected.groupBy("batch_id", "custom_id").count().filter("count > 1").select("batch_id", "custom_id", F.lit("expected_twice").alias("problem"))
-    return bad.unionByName(repeated).unionByName(missing).unionByName(twice).withColumn("code", F.lit("E_BATCH_RESULT"))
+    """Whole-file reading: malformed, unexpected, repeated and missing ids each stop it (empty lines are skipped).
+
+    One pass: lines and expectations are counted per id before they meet, and an id can carry several problems.
+    """
+    keys = ["batch_id", "custom_id"]
+    bad = F.col("line_code").isNotNull()
+    lines = parsed.filter(F.length("line") > 0).groupBy(*keys).agg(F.count_if(bad).alias("_bad"), F.count_if(~bad).alias("_good"))
+    wanted = expected.groupBy(*keys).agg(F.count(F.lit(1)).alias("_wanted"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    problems = F.array_compact(F.array(
+        F.when(n("_bad") > 0, "malformed"), F.when((n("_good") > 0) & (n("_wanted") == 0), "unexpected"), F.when((n("_good") > 1) & (n("_wanted") > 0), "duplicate"),
+        F.when((n("_good") == 0) & (n("_wanted") > 0), "missing"), F.when(n("_wanted") > 1, "expected_twice")))
+    return lines.join(wanted, keys, "full").select(*keys, F.explode(problems).alias("problem")).withColumn("code", F.lit("E_BATCH_RESULT"))
 
 
 def parse_batch_status(rows: DataFrame) -> DataFrame:

@@ -157,14 +157,18 @@ def _(t: Inputs) -> DataFrame:
     return t.spark.read.schema("tag string, destination_folder string, rule string, run_id string").json(f"{folder}/entries").select("run_id", "tag", "destination_folder", "rule")
 
 
-@query("write_batch_input", """
-with recursive r as (select run_id, fingerprint, bytes, row_number() over (partition by run_id order by fingerprint) as n from v_requests),
+# Request sizes follow the text (twenty bytes a character), so that a run needs several groups.
+SIZES = "select i.run_id, i.fingerprint, 1 + d.n_chars * 20 as bytes from v_ids i join documents d on d.doc_id = i.doc_id"
+
+
+@query("write_batch_input", f"""
+with recursive r as (select s.*, row_number() over (partition by run_id order by fingerprint) as n from ({SIZES}) s),
  w as (select run_id, fingerprint, n, bytes as held, cast(0 as bigint) as g from r where n = 1
   union all select r.run_id, r.fingerprint, r.n, case when w.held + r.bytes > 8388608 then r.bytes else w.held + r.bytes end, case when w.held + r.bytes > 8388608 then w.g + 1 else w.g end from w join r on r.run_id = w.run_id and r.n = w.n + 1)
-select run_id, g as group_index, count(*) as lines, min(concat('{"custom_id":"', fingerprint, '","method":"POST","url":"/v1/responses","body":{"n":', cast(1 + 0 as varchar), '}}')) as first_line from w group by run_id, g""")
+select run_id, g as group_index, count(*) as lines, min(concat('{{"custom_id":"', fingerprint, '","method":"POST","url":"/v1/responses","body":{{"n":1}}}}')) as first_line from w group by run_id, g""")
 def _(t: Inputs) -> DataFrame:
     folder = new_folder(t.spark, "batch-input")
-    planned = batching.plan_batch_groups(t.view("v_requests"), prefix=1)
+    planned = batching.plan_batch_groups(t.sql(SIZES), prefix=1)
     batches.write_batch_input(planned.select("run_id", "group_index", F.col("fingerprint").alias("custom_id"), F.lit('{"n":1}').alias("body")), folder)
     back = t.spark.read.text(folder)
     return back.groupBy("run_id", F.col("group_index").cast("bigint").alias("group_index")).agg(F.count(F.lit(1)).alias("lines"), F.min("value").alias("first_line"))
