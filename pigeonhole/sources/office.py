@@ -116,8 +116,10 @@ class Archive:
 
     def text(self, node: ET.Element) -> str:
         name = _name(node)
-        if name == "t" and node.tag[1:].split("}")[0] in WORD | DRAWING:
-            return node.text or ""
+        if name == "t":
+            space = node.tag[1:].split("}")[0]
+            if space in WORD | DRAWING or space in (self.prefixes.get("w"), self.prefixes.get("a")):
+                return node.text or ""
         if name in ("tab", "br"):
             return "\t" if name == "tab" else "\n"
         return "".join(self.text(c) for c in self.children(node))
