@@ -38,7 +38,7 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def words_nfkc(c: Column) -> Column:
-    """Loader tokens: compatibility normalisation first. ASCII text skips Python (see ``outline.vocabulary``)."""
+    """Loader tokens: compatibility normalisation first, the one step Spark has no function for (Arrow batches)."""
     return words(nfkc(c))
 
 

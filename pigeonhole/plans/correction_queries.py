@@ -130,7 +130,7 @@ union all select correction_id, folder, 'action' from a where action not in ('ig
 def _(t: Inputs) -> DataFrame:
     a = t.sql(DECISIONS)
     wrong = a.unionByName(a.select("correction_id", F.lit("never_seen").alias("folder"), F.lit("ignore").alias("action")).distinct()).unionByName(a.withColumn("action", F.lit("drop")))
-    return proposals.folder_decision_findings(wrong, corrections.unknown_folders(diff(t)))
+    return proposals.folder_decision_findings(cut(wrong, "decisions"), corrections.unknown_folders(diff(t)))
 
 
 def evidence(t: Inputs) -> DataFrame:

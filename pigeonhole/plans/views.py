@@ -292,6 +292,9 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.folder = spark, sf_dir.rstrip("/")
+        # times without a zone are UTC, and of repeated JSON keys the last one counts
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

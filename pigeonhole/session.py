@@ -17,6 +17,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.ansi.enabled": "true",
+    "spark.sql.variant.allowDuplicateKeys": "true",  # of repeated keys the last one counts
 }
 
 
