@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pigeonhole import constants as k
-from pigeonhole.functions.json import is_object, json_token, parse, present
+from pigeonhole.functions.json import is_object, json_token, let, parse, present
 from pigeonhole.operators import costs
 from pigeonhole.operators.models import model_accepted
 
@@ -41,16 +41,16 @@ def staged_charges(staged: DataFrame, rate: Column) -> DataFrame:
     ``staged``: accounting_id, run_id, file_id, line_number, status_code (null without a response), has_error,
     body (JSON text), pin, pin_policy. Adds disposition, cost_nano and usage_code.
     """
-    parsed = staged.withColumn("_b", parse(F.col("body")))
-    has_usage = F.coalesce(is_object(F.col("_b")) & present(F.col("_b"), "$.usage"), F.lit(False))
-    status = F.col("status_code")
+    facts = lambda v: F.struct((is_object(v) & present(v, "$.usage")).alias("has_usage"), json_token(v, "$.usage").alias("usage"),
+                               F.try_variant_get(v, "$.model", "string").alias("model"))
+    parsed = staged.withColumn("_b", let(parse(F.col("body")), facts))
+    b, status = F.col("_b"), F.col("status_code")
     unsuccessful = F.coalesce((status.isNull() & F.col("has_error")) | (status < 200) | (status >= 300), F.lit(False))
-    model = F.try_variant_get(F.col("_b"), "$.model", "string")
-    trusted = unsuccessful | F.coalesce(model_accepted(model, F.col("pin"), F.col("pin_policy")), F.lit(False))
-    priced = costs.actual_usage_cost(parsed.withColumns({
-        "usage_json": json_token(F.col("_b"), "$.usage"), "cache_policy": F.lit("disabled"),
-        "disposition": F.when(has_usage, "reported_usage").when(unsuccessful, "unsuccessful_no_usage")
-        .otherwise("unaccounted_success"), "_trusted": trusted}), rate)
+    trusted = unsuccessful | F.coalesce(model_accepted(b["model"], F.col("pin"), F.col("pin_policy")), F.lit(False))
+    rows = parsed.withColumns({
+        "usage_json": b["usage"], "cache_policy": F.lit("disabled"), "_trusted": trusted,
+        "disposition": F.when(F.coalesce(b["has_usage"], F.lit(False)), "reported_usage").when(unsuccessful, "unsuccessful_no_usage").otherwise("unaccounted_success")})
+    priced = costs.actual_usage_cost(rows, rate)
     return (priced.withColumn("cost_nano", F.when(F.col("_trusted") & (F.col("disposition") == "reported_usage"), F.col("cost_nano")))
             .drop("_b", "_trusted", "usage_json", "cache_policy"))
 

@@ -67,10 +67,13 @@ def correlate_batch(parsed: DataFrame, expected: DataFrame, batches: DataFrame)
     Lines are reduced to one row per request before the join, so repeated lines of one id cannot form a hot group.
     """
     place = F.struct("file_id", "line_number")
+    # counted under a condition rather than filtered first: a filter would move below the parse and run it twice
+    usable = F.col("line_code").isNull()
     good = F.col("has_response") & F.col("status_code").between(200, 299) & ~F.col("has_error")
-    seen = (parsed.filter("line_code is null").groupBy("batch_id", "custom_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.bool_and(good).alias("_good"),
-        F.max(place).alias("_ref")))
+    # a key that is never null also keeps the join from adding such a filter (requests have no empty id)
+    seen = (parsed.withColumn("custom_id", F.coalesce("custom_id", F.lit(""))).groupBy("batch_id", "custom_id").agg(
+        F.count_if(usable).alias("_n"), F.bool_and(F.when(usable, good)).alias("_good"), F.max(F.when(usable, place)).alias("_ref"))
+        .filter("_n > 0"))
     absent = (F.when(F.col("status") == "expired", "E_BATCH_EXPIRED").when(F.col("status") == "cancelled", "E_BATCH_CANCELLED")
               .when(F.col("status") == "failed", "E_BATCH_FAILED").otherwise("E_BATCH_MISSING_RESULT"))
     code = (F.when(F.col("_n").isNull(), absent).when(F.col("_n") > 1, "E_BATCH_DUPLICATE_RESULT")

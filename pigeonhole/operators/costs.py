@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pigeonhole import constants as k
 from pigeonhole.functions import checks
-from pigeonhole.functions.json import json_token, parse
+from pigeonhole.functions.json import json_token, let, parse
 from pigeonhole.functions.money import MONEY_PATTERN, NANO, call_cost, money_text
 
 RATE_FIELDS = ["input_rate", "output_rate", "long_above", "long_in_num", "long_in_den", "long_out_num", "long_out_den"]
@@ -69,8 +69,8 @@ def estimate_run_cost(docs: DataFrame, rate: dict[str, Column], attempts: dict[s
 
 def _count(token: Column) -> Column:
     """A JSON number token that is a safe nonnegative integer, else null (quoted numbers do not count)."""
-    whole = F.when(token.rlike(r"^[0-9]{1,16}(?:\.0+)?$"), F.regexp_replace(token, r"\..*$", "").cast("bigint"))
-    return F.when(whole <= k.MAX_SAFE_INTEGER, whole)
+    whole = F.when(F.regexp_extract(token, r"^([0-9]{1,16})(?:\.0+)?$", 1) != "", F.substring_index(token, ".", 1)).cast("bigint")
+    return let(whole, lambda n: F.when(n <= k.MAX_SAFE_INTEGER, n))
 
 
 def actual_usage_cost(calls: DataFrame, rate: Column, usage: str = "usage_json", cache_policy: str = "cache_policy") -> DataFrame:
@@ -78,18 +78,19 @@ def actual_usage_cost(calls: DataFrame, rate: Column, usage: str = "usage_json",
 
     ``disabled`` needs explicit zero cache counters; ``not_applicable`` has none; another policy is refused.
     """
-    parsed = calls.withColumn("_u", parse(F.col(usage)))
-    token = lambda path: _count(json_token(F.col("_u"), path))
-    tokens_in, tokens_out = token("$.input_tokens"), token("$.output_tokens")
-    policy = F.col(cache_policy)
-    cache_ok = F.coalesce((token("$.input_tokens_details.cached_tokens") == 0)
-                          & (token("$.input_tokens_details.cache_write_tokens") == 0), F.lit(False))
-    code = (F.when(tokens_in.isNull() | tokens_out.isNull(), "E_VENDOR_USAGE")
+    def counters(v: Column) -> Column:
+        names = {"tokens_in": "$.input_tokens", "tokens_out": "$.output_tokens", "cached": "$.input_tokens_details.cached_tokens",
+                 "written": "$.input_tokens_details.cache_write_tokens"}
+        return F.struct(*[_count(json_token(v, path)).alias(name) for name, path in names.items()])
+
+    parsed = calls.withColumn("_u", let(parse(F.col(usage)), counters))
+    u, policy = F.col("_u"), F.col(cache_policy)
+    cache_ok = F.coalesce((u["cached"] == 0) & (u["written"] == 0), F.lit(False))
+    code = (F.when(u["tokens_in"].isNull() | u["tokens_out"].isNull(), "E_VENDOR_USAGE")
             .when((policy == "disabled") & ~cache_ok, "E_CACHE_POLICY")
             .when(policy.isNull() | ~policy.isin("disabled", "not_applicable"), "E_CACHE_POLICY"))
-    return (parsed.withColumns({"usage_code": code, "_in": tokens_in, "_out": tokens_out})
-            .withColumn("cost_nano", F.when(F.col("usage_code").isNull(), money_text(call_cost(F.col("_in"), F.col("_out"), rate))))
-            .drop("_u", "_in", "_out"))
+    cost = F.when(F.col("usage_code").isNull(), money_text(call_cost(u["tokens_in"], u["tokens_out"], rate)))
+    return parsed.withColumn("usage_code", code).withColumn("cost_nano", cost).drop("_u")
 
 
 def price_findings(prices: DataFrame) -> DataFrame:
