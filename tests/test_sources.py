@@ -98,3 +98,31 @@ def test_type_files(spark):
     df = spark.createDataFrame([(text,)], "value string")
     assert [(r.position, r.id, r.examples) for r in config.type_rows(df).collect()] == [(0, "a", ["e"])]
     assert config.none_rows(df).first().what == "x" and config.type_rows(df).first().type_version == config.none_rows(df).first().type_version
+
+
+def test_load_types_and_packs(spark, tmp_path):
+    types = '{"types":[{"id":"a","name":"A","what":"w","not_for":"n","examples":["e"]},{"id":"b","name":"B","what":"w","not_for":"n","examples":["e"]}],"none_of_these":{"name":"None","what":"x"}}'
+    (tmp_path / "types").mkdir()
+    (tmp_path / "types" / "one.json").write_text(types)
+    (tmp_path / "packs").mkdir()
+    (tmp_path / "packs" / "pack.json").write_text(
+        '{\n "id":"p", "structuralVocabulary":["method"],\n "settings":{"minimumFiledCount":50,"pdfPolicy":{"gapRatio":1.5}},\n "limits":{"readerContextTokens":1050000},\n'
+        ' "pins":{"reader":{"id":"gpt-6-sol","policy":"owner_approved_alias","date":"d","reason":"r"}},\n "typeFile":' + types + "}")
+    assert [(r.position, r.id) for r in config.load_types(spark, str(tmp_path / "types")).orderBy("position").collect()] == [(0, "a"), (1, "b")]
+    pack = config.load_packs(spark, str(tmp_path / "packs")).first()
+    assert pack.structuralVocabulary == ["method"] and pack.settings["minimumFiledCount"] == "50" and pack.pins["reader"].policy == "owner_approved_alias"
+    assert [x.id for x in pack.typeFile.types] == ["a", "b"] and pack.limits["readerContextTokens"] == "1050000"
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    keys = ["run_id", "fingerprint"]
+    df = spark.range(200).select(F.lit("r").alias("run_id"), F.sha2(F.col("id").cast("string"), 256).alias("fingerprint"), F.lit("text").alias("text"))
+    ledger.save_bucketed(df, "texts_bucketed", keys, 4)
+    ledger.save_bucketed(df.withColumnRenamed("text", "answer"), "answers_bucketed", keys, 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("texts_bucketed").join(spark.table("answers_bucketed"), keys)
+        assert joined.count() == 200
+        assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
