@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +50,14 @@ def open_store(folder: str):
 def strings(column: pa.Array) -> list[str]:
     """The texts of a column; null counts as empty."""
     return ["" if x is None else x for x in column.to_pylist()]
+
+
+CHUNK = 2 << 20
+
+
+def row_chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[pa.Array]:
+    """Runs of texts of about ``size`` bytes together, so that the words of a whole batch never exist at once."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // size
+    for at in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
+        if len(at):
+            yield texts.slice(at[0], len(at))

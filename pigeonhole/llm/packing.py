@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, salt_of, spread, strings
-from .wordcode import END, WordCoder, vocabulary
+from .common import cut, id_and_text, salt_of, spread
+from .wordcode import WordCoder, vocabulary
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BLOCK = 100_000  # pieces of a salted block, on average
@@ -156,16 +156,19 @@ def cut_pieces(docs: DataFrame, vocab: str, max_tokens: int, with_ids: bool = Fa
     def convert(batches):
         coder = WordCoder(vocab, spaced=False)
         for batch in batches:
-            rows = []
-            for doc, code in zip(batch["doc_id"].to_pylist(), coder.encode(strings(batch["text"]))):
-                code += END
-                for k, at in enumerate(range(0, len(code), 4 * max_tokens)):
-                    part = code[at:at + 4 * max_tokens]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]
-            kinds = kinds[:5 + with_ids]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds)], [n for n, _ in kinds])
+            at = 0
+            for ids, places in coder.encode(batch["text"]):
+                docs_of, length = batch["doc_id"].slice(at, len(places) - 1), np.diff(places)
+                at += len(places) - 1
+                count = -(-length // max_tokens)
+                row = np.repeat(np.arange(len(length)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * max_tokens
+                own = np.minimum(length[row] - start, max_tokens)
+                begin = places[row] + start
+                parts = [ids[b:b + n].tobytes() for b, n in zip(begin, own)]
+                cols = [docs_of.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(own), pa.array(map(zlib.crc32, parts), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cols, *[pa.array(parts, pa.binary())] * with_ids], ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     return id_and_text(docs).mapInArrow(convert, PIECES + ", ids binary" * with_ids)
 

@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, new_folder, open_store, spread, strings
-from .wordcode import END, WordCoder, vocabulary
+from .common import cut, id_and_text, new_folder, open_store, spread
+from .wordcode import WordCoder, vocabulary
 
 NO_ID = -(2**63)  # stands for a null document id in .docs
 MANIFEST = "shard int, path string, width int, documents long, tokens long"
@@ -40,7 +40,7 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str, spaced: bool = T
     def write(batches):
         coder, store, at = WordCoder(vocab, spaced), None, None
         kind = np.dtype("<u2" if coder.library.get_vocab_size() <= 1 << 16 else "<u4")
-        offsets, ids_of, out = [0], [], None
+        offsets, ids_of, total, out = [np.zeros(1, np.int64)], [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -49,17 +49,18 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str, spaced: bool = T
                 path = f"{at}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
                 out = store.open_output_stream(f"{path}.ids")
             ids_of.append(batch["doc_id"].fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
-            for code in coder.encode(strings(batch["text"])):
-                out.write(np.frombuffer(code + END, "<u4").astype(kind).tobytes())
-                offsets.append(offsets[-1] + len(code) // 4 + 1)
+            for ids, places in coder.encode(batch["text"]):
+                out.write(ids.astype(kind).tobytes())
+                offsets.append(places[1:] + total)
+                total += int(places[-1])
         if out is None:
             return
         out.close()
-        for end, values in ((".offsets", np.array(offsets, "<u8")), (".docs", np.concatenate(ids_of))):
+        for end, values in ((".offsets", np.concatenate(offsets).astype("<u8")), (".docs", np.concatenate(ids_of))):
             with store.open_output_stream(path + end) as side:
                 side.write(values.tobytes())
         name = f"{folder}/{path.rpartition('/')[2]}"
-        yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "path": name, "width": kind.itemsize, "documents": len(offsets) - 1, "tokens": offsets[-1]}],
+        yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "path": name, "width": kind.itemsize, "documents": sum(map(len, ids_of)), "tokens": total}],
                                          pa.schema([("shard", pa.int32()), ("path", pa.string()), ("width", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
     store, at = open_store(folder)

@@ -1,15 +1,22 @@
-"""Token ids by the tokenizers library, each distinct word encoded once.
+"""Token ids by the tokenizers library, each distinct word encoded once where it can be remembered.
 
 Both vocabularies cut a text before a single space between printable characters, whatever stands around it, so the ids of a
-text are those of its words in a row. A word whose ends could merge with neighbouring white space has no code of its own:
-the whole text then goes through the library. What is remembered is bounded by ``limit`` words a worker.
+text are those of its words in a row; the byte-level one also cuts before a line feed between such characters, and both
+before a mark after a letter. A word whose ends could merge with white space beside it has no code of its own: the whole text
+then goes through the library. What is remembered is bounded by ``limit`` words a worker.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import row_chunks
 
 END = b"\0\0\0\0"  # id 0 closes a document
 
@@ -26,45 +33,97 @@ def solid(c: str) -> bool:
     return c.isalnum() or "!" <= c <= "~"
 
 
+def letter(c: str) -> bool:
+    """A Latin letter; after one, punctuation always begins a token of its own."""
+    return "a" <= c <= "z" or "A" <= c <= "Z" or "\u00c0" <= c <= "\u024f" and c.isalpha() and len(c.lower()) == 1
+
+
 class WordCoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    ``spaced``: ids depend on the space before a word (byte-level vocabularies); otherwise white space only separates.
+    ``spaced``: ids depend on the space before a word (byte-level vocabularies); otherwise white space only separates and
+    case doesn't count.
     """
 
-    def __init__(self, path: str, spaced: bool, limit: int = 400_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced, self.limit, self.known, self.wanted = spaced, limit, {}, set()
+        self.spaced, self.limit, self.known = spaced, limit, {}
+        self.marks = {c: self.whole(c) for c in ".,;:!?"}
+        self.newline = len(self.whole("\n")) // 4
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def codable(self, word: str) -> bool:
+        if not self.spaced:
+            return word != ""
+        bare = word.removeprefix("\n")
+        return bare != "" and solid(bare[0]) and solid(bare[-1])
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.limit:
-            self.known = {}
-            words = self.wanted
-        codable = [w for w in words if w and solid(w[0]) and solid(w[-1])] if self.spaced else [w for w in words if w]
         self.known.update(dict.fromkeys(words, None if self.spaced else b""))
-        units = [f" {w}" for w in codable] if self.spaced else codable
-        for w, code in zip(codable, self.library.encode_batch_fast(units, add_special_tokens=False)):
-            self.known[w] = np.array(code.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.split(" ") if self.spaced else text.replace("\n", " ").split(" ") for text in texts]
-        self.wanted = set().union(*split)
-        if missing := self.wanted.difference(self.known):
-            self.learn(missing)
-        return [self.joined(words, text) for words, text in zip(split, texts)]
-
-    def joined(self, words: list[str], text: str) -> bytes:
-        known = self.known
-        if not self.spaced:
-            return b"".join([known[w] for w in words])
-        rest = [known[w] for w in words[1:]]
-        if None in rest or not words[0] or not solid(words[0][-1]):
-            return self.whole(text)
-        return b"".join([self.whole(words[0]), *rest])
+        good = [w for w in words if self.codable(w)]
+        cores = {w: w[:-1] for w in good if w[-1] in self.marks and len(w) > 1 and letter(w[-2])}
+        plain = [w for w in {cores.get(w, w) for w in good} if not self.known.get(w)]
+        units = [w if w[0] == "\n" else f" {w}" for w in plain] if self.spaced else plain
+        for w, code in zip(plain, self.library.encode_batch_fast(units, add_special_tokens=False)):
+            self.known[w] = array("I", code.ids).tobytes()
+        for w, core in cores.items():
+            self.known[w] = self.known[core] + self.marks[w[-1]]
+
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        """Texts in words; with ``spaced``, those that begin a line carry its line feed, the first one too."""
+        if self.spaced:
+            return pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        return pc.split_pattern(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), " ")
+
+    def codes(self, words: list[str]) -> list[bytes | None]:
+        missing = set(words).difference(self.known)
+        if missing and len(self.known) + len(missing) > self.limit:  # words that came again stay
+            self.known = {w: self.known[w] for w in words if w not in missing}
+        self.learn(missing)
+        return [self.known[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each run of texts: their ids, every text closed by id 0, and the places where texts begin (and the last ends)."""
+        for part in row_chunks(texts.fill_null("")):
+            lists = self.split(part)
+            words = lists.flatten().dictionary_encode()
+            codes = self.codes(words.dictionary.to_pylist())
+            index, first = words.indices.to_numpy(), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+            length = np.array([len(c or b"") // 4 for c in codes])
+            start = np.cumsum(length) - length
+            own, begin = length[index], start[index]
+            if self.spaced:  # the line feed put before each text
+                own[first] -= self.newline
+                begin = begin.copy()
+                begin[first] += self.newline
+            bad = np.array([c is None for c in codes])[index]
+            if bad.any():
+                yield from self.with_whole(part, np.logical_or.reduceat(bad, first), own, begin, first, codes)
+                continue
+            yield assemble(own, begin, first, codes)
+
+    def with_whole(self, part: pa.Array, bad: np.ndarray, own, begin, first, codes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As ``encode``, where some texts hold a word without a code of its own and go through the library whole."""
+        ids, offsets = assemble(np.maximum(own, 0), begin, first, codes)
+        parts = [np.frombuffer(self.whole(part[i].as_py()) + END, "<u4") if bad[i] else ids[offsets[i]:offsets[i + 1]] for i in range(len(part))]
+        yield np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+
+def assemble(own: np.ndarray, begin: np.ndarray, first: np.ndarray, codes: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts from the codes of their words: ``own`` ids of each word from ``begin`` in the joined codes on."""
+    flat = np.frombuffer(b"".join(c or b"" for c in codes), "<u4")
+    per_text = np.add.reduceat(own, first)
+    ends = np.cumsum(own)
+    taken = flat[np.repeat(begin - (ends - own), own) + np.arange(ends[-1])]
+    offsets = np.concatenate([[0], np.cumsum(per_text + 1)])
+    ids = np.zeros(offsets[-1], "<u4")
+    keep = np.ones(len(ids), bool)
+    keep[offsets[1:] - 1] = False
+    ids[keep] = taken
+    return ids, offsets
