@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, tokenfiles
+from . import chains, chat, decontaminate, exact, minhash, packing, pii, tokenfiles, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,38 @@ SQL["op3_exact_dedup"] = """
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm from documents)
 select doc_id, min(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
        doc_id = min(doc_id) over (partition by norm) as kept, sha256(norm) as text_sha256 from t"""
+
+
+@query
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_substring_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_revisits(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key="pseudonyms of the registered query")
+
+
+@query
+def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_conversations(table(spark, sf_dir, "conversations"))
