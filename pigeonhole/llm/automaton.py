@@ -83,7 +83,7 @@ class LexiconAutomaton:
         return known
 
     def matches(self, word: str) -> list[tuple[int, int]]:
-        """(term number, edits) of every term the word spells."""
+        """(term number, edits) of the longest of the terms the word spells with the fewest edits."""
         if len(self.steps) > self.limit:
             self.reset()
         state, best = self.start, {}
@@ -94,5 +94,9 @@ class LexiconAutomaton:
             for k, edits in self.accepts[state][1]:
                 best[k] = min(edits, best.get(k, 9))
         if state >= 0:
-            best.update(self.accepts[state][0])
-        return list(best.items())
+            for k, edits in self.accepts[state][0]:
+                best[k] = min(edits, best.get(k, 9))
+        fewest = min(best.values(), default=0)
+        closest = [k for k, edits in best.items() if edits == fewest]
+        longest = max((len(self.terms[k][0]) for k in closest), default=0)
+        return [(k, fewest) for k in closest if len(self.terms[k][0]) == longest]

@@ -20,7 +20,7 @@ from .common import cut, id_and_text, strings
 
 FIT_ROWS, MAX_TERMS = 100_000, 2_000
 STEMS = (4, 5, 6, 7, 8)  # lengths of word beginnings that may be terms
-LEAST_DOCS, LEAST_LIFT = 8, 20.0
+LEAST_DOCS, LEAST_LIFT, LEAST_SURE = 10, 20.0, 0.8
 WINDOW = 8  # words on either side of a hit
 QUOTES = set("\"“”„«»‟‘’")
 REPORTS = {"said", "says", "wrote", "writes", "called", "calls", "quoted", "quote", "quotes", "quoting", "reported", "according", "slur", "insult", "word", "term",
@@ -44,6 +44,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFram
     return rows.join(F.broadcast(first.select("doc_id")), "doc_id", "left_semi")  # no more rows than fit_rows
 
 
+def best_terms(counted: list[tuple[str, bool, int, int]]) -> list[tuple[str, bool]]:
+    """Terms from the surest on; what a chosen term explains is taken from the word beginnings above it and ends those below."""
+    left = {(t, stem): (n1, n0) for t, stem, n1, n0 in counted}
+    sure = lambda x: (left[x][0] + 0.5) / (left[x][0] + left[x][1] + 3)
+    found = []
+    while left and len(found) < MAX_TERMS:
+        term, stem = best = max(left, key=lambda x: (sure(x), len(x[0]), x))
+        if sure(best) < LEAST_SURE:
+            break
+        if left[best][0] < LEAST_DOCS:
+            del left[best]
+            continue
+        found.append(best)
+        n1, n0 = left.pop(best)
+        for n in range(1, len(term) + (not stem)):
+            if (above := (term[:n], True)) in left and above != best:
+                left[above] = (left[above][0] - n1, max(0, left[above][1] - n0))
+        if stem:
+            left = {x: v for x, v in left.items() if not (x[0].startswith(term) and (len(x[0]) > len(term)))}
+    return found
+
+
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[tuple[str, bool]], dict[tuple[int, int], float], float]:
     """Terms (at most ``MAX_TERMS``), the precision of each (term, edits), and the share of toxic rows."""
     rows = training_rows(docs, labels, fit_rows)
@@ -54,10 +76,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     forms += [F.when(F.length("word") > n, F.struct(F.substring("word", 1, n).alias("term"), F.lit(True).alias("stem"))) for n in STEMS]
     terms = counts.select("n1", "n0", F.explode(F.filter(F.array(*forms), lambda x: x.isNotNull())).alias("f")).groupBy("f.term", "f.stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     lift = (F.col("n1") + 0.5) / (toxic + 1) / ((F.col("n0") + 0.5) / (clean + 1))
-    chosen = terms.where((F.col("n1") >= max(LEAST_DOCS, toxic // 1000)) & (lift >= LEAST_LIFT) & (F.length("term") >= 3)).orderBy(F.desc("n1"), "term", "stem").limit(MAX_TERMS)
-    found = [(r["term"], r["stem"]) for r in chosen.collect()]  # at most MAX_TERMS
-    stems = {t for t, stem in found if stem}
-    found = [(t, s) for t, s in found if not any(t[:n] in stems for n in STEMS if n < len(t) or n == len(t) and not s)]  # a shorter stem says the same
+    chosen = terms.where((F.col("n1") >= max(LEAST_DOCS, toxic // 1000)) & (lift >= LEAST_LIFT) & (F.length("term") >= 3)).orderBy(F.desc("n1"), "term", "stem").limit(5 * MAX_TERMS)
+    found = best_terms([tuple(r) for r in chosen.select("term", "stem", "n1", "n0").collect()])  # at most 5 * MAX_TERMS
     if not found:
         return [], {}, base
 

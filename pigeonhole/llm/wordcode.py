@@ -3,7 +3,7 @@
 Both vocabularies cut a text before a single space between printable characters, whatever stands around it, so the ids of a
 text are those of its words in a row; the byte-level one also cuts before a line feed between such characters, and both
 before a mark after a letter. A word whose ends could merge with white space beside it has no code of its own: the whole text
-then goes through the library. What is remembered is bounded by ``limit`` words a worker.
+then goes through the library. What is remembered is bounded by twice ``limit`` words a worker.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +46,13 @@ class WordCoder:
     case doesn't count.
     """
 
-    def __init__(self, path: str, spaced: bool, limit: int = 300_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced, self.limit, self.known = spaced, limit, {}
+        self.spaced, self.limit, self.known, self.older = spaced, limit, {}, {}
         self.marks = {c: self.whole(c) for c in ".,;:!?"}
         self.newline = len(self.whole("\n")) // 4
 
@@ -83,8 +84,12 @@ class WordCoder:
 
     def codes(self, words: list[str]) -> list[bytes | None]:
         missing = set(words).difference(self.known)
-        if missing and len(self.known) + len(missing) > self.limit:  # words that came again stay
-            self.known = {w: self.known[w] for w in words if w not in missing}
+        if len(self.known) + len(missing) > self.limit:  # words that come again soon are kept once more
+            self.known, self.older = {}, self.known
+        if self.older:
+            again = {w: self.older[w] for w in missing if w in self.older}
+            self.known.update(again)
+            missing = missing.difference(again)
         self.learn(missing)
         return [self.known[w] for w in words]
 
@@ -115,6 +120,12 @@ class WordCoder:
         yield np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
+@lru_cache(2)
+def coder_of(path: str, spaced: bool) -> WordCoder:
+    """The coder of a worker process, which keeps what it knows from task to task."""
+    return WordCoder(path, spaced)
+
+
 def assemble(own: np.ndarray, begin: np.ndarray, first: np.ndarray, codes: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts from the codes of their words: ``own`` ids of each word from ``begin`` in the joined codes on."""
     flat = np.frombuffer(b"".join(c or b"" for c in codes), "<u4")
