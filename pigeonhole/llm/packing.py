@@ -49,7 +49,7 @@ def fit_repeats(columns: np.ndarray, wanted: np.ndarray, rounds: int) -> np.ndar
         column[0] = 0
         active, dense, x = [*active, best], np.column_stack([dense, column]), np.append(x, 0.0)
         while True:
-            goal = np.linalg.lstsq(dense, wanted, rcond=None)[0]
+            goal = np.linalg.solve(dense.T @ dense + 1e-9 * np.eye(dense.shape[1]), dense.T @ wanted)
             if (goal > 1e-9).all():
                 x = goal
                 break

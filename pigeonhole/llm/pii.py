@@ -141,7 +141,10 @@ class Pseudonyms:
             return None
         if not 0 <= old < DAYS:
             return None
-        new = datetime.date.fromordinal(FIRST_DAY + self.network.permute("date", old, DAYS, back))
+        new = None
+        while new is None or american and new.day <= 12:  # month before day only shows with a day above 12
+            old = self.network.permute("date-us" if american else "date", old, DAYS, back)
+            new = datetime.date.fromordinal(FIRST_DAY + old)
         if len(parts[0]) == 4:
             return new.isoformat()
         first, second = (new.month, new.day) if american else (new.day, new.month)

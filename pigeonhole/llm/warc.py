@@ -72,12 +72,12 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     # Within a day: the latest full response strictly before; rows of one time see none of each other.
     today = Window.partitionBy("page", "day").orderBy(F.unix_micros("fetched")).rangeBetween(Window.unboundedPreceding, -1)
     asked = light.withColumn("same_day", F.max(F.when(F.col("full"), last)).over(today)).where("asks")
-    found = asked.join(carried, ["page", "day"]).select("record_id", "page", "fetched", F.coalesce("same_day", "carried").alias("r"))
-    targets = found.select("record_id", "fetched", F.col("r.record_id").alias("response_id"), F.col("r.fetched").alias("response_fetched")).distinct()
+    found = asked.join(carried, ["page", "day"]).select("page", "fetched", F.coalesce("same_day", "carried").alias("r"))
+    targets = found.select("page", "fetched", F.col("r.record_id").alias("response_id"), F.col("r.fetched").alias("response_fetched")).distinct()
 
     revisits = events.where("kind = 'revisit'").select("record_id", "page", "fetched", "headers")
     full = events.where("full").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored")).dropDuplicates(["response_id"])
-    rows = revisits.join(targets, ["record_id", "fetched"], "left").join(full, "response_id", "left")
+    rows = revisits.join(targets, ["page", "fetched"], "left").join(full, "response_id", "left")
     tag = lambda c: F.regexp_replace(F.col(c)["etag"], "^W/", "")
     modified = lambda c: F.col(c)["last-modified"]
     differs = F.coalesce(tag("headers") != tag("stored"), F.lit(False)) | F.coalesce(modified("headers") != modified("stored"), F.lit(False))

@@ -85,12 +85,10 @@ class WordCoder:
     def codes(self, words: list[str]) -> list[bytes | None]:
         missing = set(words).difference(self.known)
         if len(self.known) + len(missing) > self.limit:  # words that come again soon are kept once more
-            self.known, self.older = {}, self.known
-        if self.older:
-            again = {w: self.older[w] for w in missing if w in self.older}
-            self.known.update(again)
-            missing = missing.difference(again)
-        self.learn(missing)
+            self.known, self.older, missing = {}, self.known, set(words)
+        again = {w: self.older[w] for w in missing if w in self.older}
+        self.known.update(again)
+        self.learn(missing.difference(again))
         return [self.known[w] for w in words]
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
