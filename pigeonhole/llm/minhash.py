@@ -6,8 +6,8 @@ miss a pair at similarity 0.8 with a probability under 1e-7; a pair is dropped b
 coordinates agree in fewer than 84 of 128 places (4.5 standard deviations below those of 0.8).
 
 No bucket emits all its pairs. Texts of equal sets become one class; each bucket first compares its members with one pivot of
-its own. Only members that are then not yet in the component of most of their bucket are compared with the others, so groups
-of near copies cost their size, and no link between components is lost.
+its own. Only members that are then not yet in the component of most of their bucket are compared with the others, blocks of
+which stay in a task while they pass, so that no pair but a link is ever a row, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -16,16 +16,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, id_and_text, strings
+from .decontaminate import MAP_BITS, bit_words
 from .graph import components
 from .shingles import ODD, WordHashes, ascii_words, mixed, shingle_set
 
 CIRCLE, COORDINATES, ROWS = 1 << 20, 128, 4
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
 AGREE = 84
+BLOCK = 1 << 16  # shingles of a block held in a task
 
 
 @lru_cache(1)
@@ -65,14 +68,18 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(convert, SKETCH)
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Shingle sets of the wanted documents; a bit map of fixed size leaves most others out before they are shuffled."""
+    there = bit_words(wanted.select(F.pmod(F.col("doc_id"), F.lit(1 << MAP_BITS)).alias("bit")))
+
     def convert(batches):
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(hashes.of(ascii_words(text)), k).view(np.int64) for text in strings(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            own = batch.filter(pc.fill_null(pa.array(there[batch["doc_id"].fill_null(0).to_numpy() % (1 << MAP_BITS)]), False))
+            sets = [shingle_set(hashes.of(ascii_words(text)), k).view(np.int64) for text in strings(own["text"])]
+            yield pa.RecordBatch.from_arrays([own["doc_id"], pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    return docs.mapInArrow(convert, "doc_id long, shingles array<long>")
+    return cut(docs.mapInArrow(convert, "doc_id long, shingles array<long>").join(wanted, "doc_id", "left_semi"), "sets").dropDuplicates(["doc_id"])
 
 
 def agreeing(x: str, y: str) -> F.Column:
@@ -93,13 +100,56 @@ def similar_sizes(x: str, y: str, percent: int) -> F.Column:
 def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full shingle sets are similar enough."""
     pairs = cut(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(full_sets(docs.join(ends, "doc_id", "left_semi"), k), "sets").dropDuplicates(["doc_id"])
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = full_sets(docs, cut(ends, "ends"), k)
     of = lambda end: sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(f"s{end}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.col("shared") * 100 >= (F.size("sa") + F.size("sb") - F.col("shared")) * percent).select("a", "b")
 
 
+def linked_in_blocks(divided: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between components that meet in a bucket: its members are dealt to blocks of about ``BLOCK`` shingles,
+    and those outside its main component are sent to each block. A task holds one block and streams the others past it;
+    a member is reported with one partner of each component and block, so what comes out grows with the members only.
+    """
+    sets = full_sets(docs, cut(divided.select("doc_id").distinct(), "ends"), k)
+    blocks = divided.groupBy("bucket").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
+    rows = divided.join(blocks, "bucket")
+    columns = ["bucket", "block", "probe", "doc_id", "component"]
+    members = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("probe", F.lit(False)).select(columns)
+    probes = rows.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True)).select(columns)
+    dealt = members.union(probes).join(sets, "doc_id").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "probe", "doc_id")
+
+    def convert(batches):
+        key, held, index = None, [], None
+        for batch in batches:
+            values, at = batch["shingles"].flatten().to_numpy(), batch["shingles"].offsets.to_numpy() - batch["shingles"].offsets[0].as_py()
+            found = []
+            for i, (bucket, block, probe, doc, component) in enumerate(zip(*(batch[c].to_pylist() for c in columns))):
+                if (bucket, block) != key:
+                    key, held, index = (bucket, block), [], None
+                own = values[at[i]:at[i + 1]]
+                if not probe:
+                    held.append((doc, component, own))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    sizes = np.array([len(h[2]) for h in held])
+                    joined = np.concatenate([h[2] for h in held])
+                    order = np.argsort(joined, kind="stable")
+                    index = joined[order], np.repeat(np.arange(len(held)), sizes)[order], sizes, np.array([h[1] for h in held])
+                shingles, owner, sizes, parts = index
+                lo, hi = np.searchsorted(shingles, own), np.searchsorted(shingles, own, "right")
+                hit = owner[np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
+                shared = np.bincount(hit, minlength=len(held))
+                near = np.flatnonzero((shared * 100 >= (sizes + len(own) - shared) * percent) & (parts != component))
+                found += [(min(doc, held[j][0]), max(doc, held[j][0])) for j in near[np.unique(parts[near], return_index=True)[1]]]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(convert, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per document: n_shingles, component_id (the smallest id reachable over links, its own included) and kept.
 
@@ -117,26 +167,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     pivots = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "bucket")).alias("pivot")).where("n > 1")
     crowded = cut(banded.join(pivots.select("bucket", "pivot"), "bucket"), "buckets")
     traits = lambda end: heads.select(F.col("doc_id").alias(end), F.col("n_shingles").alias(f"n{end}"), F.col("bits").alias(f"bits{end}"))
-    near = lambda pairs: pairs.where(similar_sizes("na", "nb", percent)).where(agreeing("bitsa", "bitsb") >= AGREE).select("a", "b").distinct()
+    near = lambda pairs: pairs.where(similar_sizes("na", "nb", percent)).where(agreeing("bitsa", "bitsb") >= AGREE).select("a", "b")
 
     starred = crowded.where("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
     first = cut(linked(near(starred.join(traits("a"), "a").join(traits("b"), "b")), docs, k, percent), "links")
     roots = components(first)
 
-    # What most of a bucket is linked with is known; members elsewhere meet every member of another component.
+    # What most of a bucket is linked with is known; members elsewhere meet every member of another component, in blocks.
     placed = crowded.drop("pivot").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     main = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed_rows = cut(placed.join(main.select("bucket", "main"), "bucket").join(traits("a").withColumnRenamed("a", "doc_id"), "doc_id"), "mixed")
-    side = lambda end: mixed_rows.select("bucket", "main", F.col("doc_id").alias(end), F.col("component").alias(f"c{end}"), F.col("na").alias(f"n{end}"), F.col("bitsa").alias(f"bits{end}"))
-    x, y = side("a").where("ca <> main").alias("x"), side("b").alias("y")
-    fit = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("y.main")) | (F.col("a") < F.col("b"))) & similar_sizes("na", "nb", percent) & (agreeing("bitsa", "bitsb") >= AGREE)
-    left = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = cut(linked(left.join(starred, ["a", "b"], "left_anti"), docs, k, percent), "links")
+    divided = cut(placed.join(main.select("bucket", "main"), "bucket").join(heads.select("doc_id", "n_shingles"), "doc_id"), "divided")
+    second = cut(linked_in_blocks(divided, docs, k, percent), "links") if not divided.isEmpty() else first.limit(0)
     joined = components(first.union(second)) if not second.isEmpty() else roots
 
     members = sketched.join(classes, ["set_a", "set_b", "n_shingles"], "left").withColumn("least", F.coalesce("least", "doc_id"))
     found = members.join(joined, members["least"] == joined["node"], "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))).alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")))).alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
