@@ -21,7 +21,7 @@ from .shingles import runs
 
 K, WINDOW = 6, 14
 GAP_COST = 0.1  # score that each word between two seeds takes, on either side; a seed gives K
-MOST_GAP, REACH = 120, 128  # words between seeds of one chain; words compared beyond a chain's ends
+APART, MOST_GAP, REACH = 40, 120, 128  # words between seeds of one stretch (edits leave out some); words between seeds of one chain; words compared beyond a chain's ends
 LEAST_WORDS, SUBSTITUTION = 50, 4  # of a passage; what a differing word costs against one that agrees
 BAND = 24  # drift that an alignment follows beyond that of its chain
 
@@ -38,6 +38,8 @@ def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     else:
         at = np.array([int(seeds.argmin())])
     found = seeds[at]
+    if len(np.unique(found)) == len(found):
+        return at, found
     grams = np.sort(words[at[:, None] + np.arange(K)], axis=1)
     poor = np.flatnonzero((np.diff(grams, axis=1) != 0).sum(1) < K // 2)
     if len(poor):
@@ -71,6 +73,15 @@ def chain(at: np.ndarray, there: np.ndarray) -> list[np.ndarray]:
     the places, that best is a prefix maximum over the source's places, kept in a Fenwick tree.
     """
     n = len(at)
+    if (np.diff(at) > 0).all() and (np.diff(there) > 0).all():  # in order already: each match follows the one before it, or begins anew
+        costs, starts, score = (GAP_COST * (np.diff(at) + np.diff(there))).tolist(), [0], float(K)
+        for j, cost in enumerate(costs, 1):
+            if score > cost:
+                score += K - cost
+            else:
+                starts.append(j)
+                score = float(K)
+        return np.split(np.arange(n), starts[1:])
     ranks = np.unique(there, return_inverse=True)[1] + 1
     top, tree = int(ranks.max()), [(-np.inf, -1)] * (int(ranks.max()) + 1)
     score, back = np.zeros(n), np.full(n, -1)
@@ -136,16 +147,32 @@ def group_runs(batches, keys: tuple[str, str]) -> Iterator[tuple[tuple, dict[str
 CHAINS = "doc_id long, source_id long, lo int, hi int, source_lo int, source_hi int, drift int"
 
 
-def chain_table(matches: DataFrame) -> DataFrame:
+def covered(at: np.ndarray, least_words: int) -> np.ndarray:
+    """Which of a document's matched places lie in a stretch of seeds, met with any source, that is long enough.
+
+    A repeated passage of ``least_words`` words is such a stretch: all its seeds are shared ones, no two next to each other
+    are further apart than a window, and the first and last lie within a window of its ends.
+    """
+    places = np.unique(at)
+    part = np.concatenate([[0], np.cumsum(np.diff(places) > APART)])
+    first, last = (np.flatnonzero(np.diff(part, prepend=-1)), np.flatnonzero(np.diff(part, append=part[-1] + 1)))
+    long = places[last] - places[first] + K >= max(K, least_words - 2 * (WINDOW - 1))
+    return long[part[np.searchsorted(places, at)]]
+
+
+def chain_table(matches: DataFrame, least_words: int) -> DataFrame:
     def convert(batches):
         rows = []
-        for (doc, source), cols in group_runs(batches, ("doc_id", "source_id")):
-            at, there = cols["at"].astype(np.int64), cols["source_at"].astype(np.int64)
-            for whole in chain(at, there):
-                for part in parts_of(whole, at, there):
-                    a, b = at[part], there[part]
-                    drift = a - b
-                    rows.append((doc, source, a[0], a[-1] + K, b[0], b[-1] + K, drift.max() - drift.min()))
+        for (doc, _), cols in group_runs(batches, ("doc_id", "doc_id")):
+            kept = covered(cols["at"], least_words)
+            sources, at, there = (cols[c][kept].astype(np.int64) for c in ("source_id", "at", "source_at"))
+            edges = [0, *(np.flatnonzero(np.diff(sources)) + 1), len(sources)] if len(sources) else []
+            for lo, hi in zip(edges, edges[1:]):
+                for whole in chain(at[lo:hi], there[lo:hi]):
+                    for part in parts_of(whole + lo, at, there):
+                        a, b = at[part], there[part]
+                        drift = a - b
+                        rows.append((doc, sources[lo], a[0], a[-1] + K, b[0], b[-1] + K, drift.max() - drift.min()))
             if len(rows) > 5000:
                 yield packed(rows)
                 rows = []
@@ -156,7 +183,7 @@ def chain_table(matches: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5)
         return pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "source_id", "lo", "hi", "source_lo", "source_hi", "drift"])
 
-    dealt = matches.repartition("doc_id", "source_id").sortWithinPartitions("doc_id", "source_id", "at", "source_at")
+    dealt = matches.repartition("doc_id").sortWithinPartitions("doc_id", "source_id", "at", "source_at")
     return dealt.mapInArrow(convert, CHAINS)
 
 
@@ -234,13 +261,17 @@ def align_chains(lined: DataFrame, least_words: int) -> DataFrame:
         for batch in batches:
             rows = []
             own, source = ((batch[c].flatten().to_numpy(), batch[c].offsets.to_numpy() - batch[c].offsets[0].as_py()) for c in ("part", "source_part"))
-            for i, r in enumerate(batch.drop_columns(["part", "source_part"]).to_pylist()):
+            names = ("doc_id", "source_id", "lo", "source_lo", "from", "source_from", "drift")
+            for i, values in enumerate(zip(*(batch[c].to_pylist() for c in names))):
+                r = dict(zip(names, values))
                 a, b = own[0][own[1][i]:own[1][i + 1]], source[0][source[1][i]:source[1][i + 1]]
                 shift = (r["source_lo"] - r["source_from"]) - (r["lo"] - r["from"])
-                places = np.arange(len(a)) + shift
-                inside = (places >= 0) & (places < len(b))
-                places[~inside] = -1
-                places[inside] = np.where(b[places[inside]] == a[inside], places[inside], -1)
+                low, high = max(0, -shift), max(0, min(len(a), len(b) - shift))
+                places = np.full(len(a), -1)
+                if low < high:
+                    places[low:high] = np.where(a[low:high] == b[low + shift:high + shift], np.arange(low + shift, high + shift), -1)
+                if not r["drift"] and np.count_nonzero(places >= 0) < least_words * SUBSTITUTION // (SUBSTITUTION + 1):
+                    continue  # too few agree, in whatever order
                 found = stretches(places >= 0, least_words)
                 if r["drift"]:  # words were put in or left out between seeds
                     gapped = align(a, b, shift, BAND + r["drift"])
@@ -271,7 +302,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     firsts = firsts.select("seed", F.col("first.doc_id").alias("source_id"), F.col("first.at").alias("source_at"))
     matches = seeds.join(firsts, "seed").where("doc_id <> source_id or at > source_at").select("doc_id", "source_id", "at", "source_at")
     # A passage as long as is asked for holds two seeds or, edited, one and what lies around it.
-    chains = cut(chain_table(matches), "chains")
+    chains = cut(chain_table(matches, least_words), "chains")
     wanted = chains.select(F.explode(F.array("doc_id", "source_id")).alias("doc_id")).distinct()
     words = cut(word_table(docs, cut(wanted, "wanted")), "words").dropDuplicates(["doc_id"])
     slice_of = lambda c, lo, hi: F.slice(c, F.col(lo) + 1, F.greatest(F.col(hi) - F.col(lo), F.lit(0)))
