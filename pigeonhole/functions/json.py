@@ -17,10 +17,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def parse(c: Column) -> Column:
-    """Variant value, null for malformed text. Wrapped in an array first, because the parser alone would accept
-    anything after the first value."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    return let(wrapped, lambda a: F.when(F.try_variant_get(a, "$[1]", "variant").isNull(), F.try_variant_get(a, "$[0]", "variant")))
+    """Variant value, null for malformed text.
+
+    The parser alone ignores what follows the first value. Inside brackets trailing text is either an error or a second
+    element, unless it closes the bracket itself; inside braces it then is an error, because a bracket can't close a brace.
+    The two tests together accept one whole value only.
+    """
+    def whole(a: Column) -> Column:
+        one = F.try_variant_get(a, "$[1]", "variant").isNull()
+        inside = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}"))).isNotNull()
+        return F.when(one & inside, F.try_variant_get(a, "$[0]", "variant"))
+    return let(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), whole)
 
 
 def json_token(v: Column, path: str) -> Column:

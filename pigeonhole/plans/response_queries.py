@@ -31,7 +31,8 @@ def conf_bodies(t: Inputs) -> DataFrame:
         F.lit('"answers":{"classification":{"type":"choice","choice":"'), F.when(d == "choice", "type_xx").otherwise(F.col("choice")),
         F.lit('","confidence":'), F.when(d == "range", "1.5").otherwise(n("certainty")), F.lit(',"probabilities":'), probs, F.lit("},"),
         nouls, F.when(d == "keys", ',"is_more":{"type":"noul","noul":0.1}').otherwise(""), F.lit("}}"))
-    body = F.when(d == "json", F.substring(body, F.lit(1), F.length(body) - 3)).when(d == "array", F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
+    broken = F.when(F.col("doc_id") % 2 == 0, F.substring(body, F.lit(1), F.length(body) - 3)).otherwise(F.concat(body, F.lit("],[garbage")))
+    body = F.when(d == "json", broken).when(d == "array", F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
     return t.view("v_model").withColumn("defect", F.expr(CONF_CASE)).withColumns({
         "body": body, "pin": F.lit(PIN), "pin_policy": F.lit("versioned"), "type_ids": type_ids()})
 
@@ -66,8 +67,8 @@ READ_DEFECTS = ["json", "drift", "status", "refusal", "two", "fields", "missing"
                 "four", "empty", "altered", "respaced", "extra"]
 READ_CASE = "case doc_id % 37 " + " ".join(f"when {i} then '{d}'" for i, d in enumerate(READ_DEFECTS)) + " end"
 POLICY_CASE = "case when doc_id % 3 = 0 then 'exact-substring-v1' when doc_id % 3 = 1 then 'whitespace-quotes-v1' end"
-# the quoted passage: the start of the text up to 200 characters, so that it usually spans a line break
-QUOTE = "substr(text, 1, 200)"
+# the quoted passage: 200 characters from the start, the middle or the end of the text, so that it usually spans a line break
+QUOTE = "substr(text, 1 + cast(floor(greatest(length(text) - 200, 0) * (doc_id % 3) / 2.0) as int), 200)"
 
 
 def reader_bodies(t: Inputs) -> DataFrame:
@@ -91,7 +92,7 @@ def reader_bodies(t: Inputs) -> DataFrame:
     output = F.concat(F.lit('[{"type":"reasoning","summary":[]},'), item, F.when(d == "two", F.concat(F.lit(","), item)).otherwise(""), F.lit("]"))
     body = F.concat(F.lit('{"model":"'), F.when(d == "drift", "gpt-6-luna").otherwise("gpt-6-sol-2026-02-03"), F.lit('","status":"'),
                     F.when(d == "status", "incomplete").otherwise("completed"), F.lit('","error":null,"output":'), output, F.lit("}"))
-    body = F.when(d == "json", F.concat(body, F.lit("}"))).otherwise(body)
+    body = F.when(d == "json", F.concat(body, F.when(F.col("doc_id") % 2 == 0, "}").otherwise("] trailing"))).otherwise(body)
     docs = t.view("v_docs").withColumn("defect", F.expr(READ_CASE))
     return docs.withColumns({"body": body, "pin": F.lit(READER_PIN), "pin_policy": F.lit("owner_approved_alias"), "type_ids": type_ids(),
                              "evidence_policy": F.expr(POLICY_CASE)}).drop("text")
@@ -114,9 +115,9 @@ def _(t: Inputs) -> DataFrame:
     return out.select("run_id", "fingerprint", "finding.code", F.when(F.col("finding.detail").isin(named), F.col("finding.detail")).otherwise("").alias("detail"))
 
 
-@query("explode_evidence", """
+@query("explode_evidence", f"""
 select run_id, fingerprint, v as verdict_index, 0 as quote_index, case v when 0 then 'type_de' when 1 then 'type_en' when 2 then 'type_es' else 'type_fr' end as type_id,
-  true_type = case v when 0 then 'type_de' when 1 then 'type_en' when 2 then 'type_es' else 'type_fr' end as is_type, substr(text, 1, 200) as quote
+  true_type = case v when 0 then 'type_de' when 1 then 'type_en' when 2 then 'type_es' else 'type_fr' end as is_type, {QUOTE} as quote
 from (select d.*, unnest([0, 1, 2, 3]) as v from v_docs d where doc_id % 37 > 15) x""")
 def _(t: Inputs) -> DataFrame:
     good = responses.decode_reader(reader_bodies(t), t.view("v_docs"), ["run_id", "fingerprint"]).filter("defect is null and finding is null")
@@ -157,10 +158,10 @@ def _(t: Inputs) -> DataFrame:
 # Each document is asked for one benchmark passage and for its own tail (an equi join, not every pair).
 @query("evidence_matches", """
 select d.doc_id, b.item_id, contains(d.text, b.text) as passage_found, contains(d.text, substr(d.text, length(d.text) // 2)) as tail_found
-from documents d join benchmark b on b.item_id = d.doc_id % 40""")
+from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark)""")
 def _(t: Inputs) -> DataFrame:
     d, b = t.table("documents"), t.table("benchmark").withColumnRenamed("text", "passage")
-    rows = d.withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id")
+    rows = d.withColumn("item_id", F.col("doc_id") % b.count()).join(b, "item_id")
     policy = F.when(F.col("doc_id") % 2 == 0, k.EVIDENCE_EXACT)
     half = F.floor(F.length("text") / 2).cast("int")
     tail = F.substring(F.col("text"), F.greatest(half, F.lit(1)), F.length("text"))

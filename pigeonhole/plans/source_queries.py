@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pigeonhole.operators import batching, correlation
 from pigeonhole.plans import response_queries as rq
@@ -42,7 +37,7 @@ def _(t: Inputs) -> DataFrame:
 
 # Every source folder may hold an earlier build: summaries exist for English subfolders, some with a wrong header.
 TREE_FILES = TEXT_FILES + """ union all select concat(source, '/', lang, '/build-summary-', substr(SHA(source), 1, 8), '-0000-0000-0000-', substr(SHA(lang), 1, 12), '.md'),
- concat(case when source like '%5' then '# Something else' else '# Local build summary' end, chr(10), chr(10), 'Run: ', substr(SHA(source), 1, 8), '-0000-0000-0000-', substr(SHA(lang), 1, 12), chr(10), 'more'), -1 from documents where lang = 'en' group by source, lang"""
+ concat(case when source like '%5' then '# Something else' else '# Local build summary' end, chr(10), chr(10), 'Run: ', substr(SHA(source), 1, 8), '-0000-0000-0000-', substr(SHA(lang), 1, 12), chr(10), repeat(case when source like '%3' then 'é' else 'xé' end, 200)), -1 from documents where lang = 'en' group by source, lang"""
 
 
 def tree_files(t: Inputs) -> DataFrame:
@@ -67,46 +62,29 @@ def _(t: Inputs) -> DataFrame:
     return files.selection_findings(chosen, files.discover_generated_trees(tree_files(t)))
 
 
-def _office_bytes(t: Inputs) -> DataFrame:
-    """A DOCX or PPTX per document, written inside tasks: lines are paragraphs, some carry a heading style, and one table
-    closes each DOCX."""
-    word = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    slide = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xml.sax.saxutils import escape
-        for frame in frames:
-            contents = []
-            for form, text, doc_id in zip(frame["format"], frame["text"], frame["doc_id"]):
-                buffer, lines = io.BytesIO(), [escape(l) for l in text.split("\n")]
-                with zipfile.ZipFile(buffer, "w") as z:
-                    if form == "docx":
-                        style = lambda i: '<w:pPr><w:pStyle w:val="Sub"/></w:pPr>' if i % 5 == 0 else ""
-                        body = "".join(f'<w:p>{style(i)}<w:r><w:t xml:space="preserve">{l}</w:t></w:r></w:p>' for i, l in enumerate(lines))
-                        cell = lambda x: f"<w:tc><w:p><w:r><w:t>{x}</w:t></w:r></w:p></w:tc>"
-                        table = f"<w:tbl><w:tr>{cell('skipped')}{cell('x')}</w:tr><w:tr><w:trPr><w:tblHeader/></w:trPr>{cell('doc')}{cell(doc_id)}</w:tr></w:tbl>"
-                        z.writestr("word/document.xml", f"<w:document {word}><w:body>{body}{table}</w:body></w:document>")
-                        z.writestr("word/styles.xml", f'<w:styles {word}><w:style w:styleId="Base"><w:pPr><w:outlineLvl w:val="1"/></w:pPr></w:style><w:style w:styleId="Sub"><w:basedOn w:val="Base"/></w:style></w:styles>')
-                    else:
-                        half = (len(lines) + 1) // 2
-                        z.writestr("ppt/presentation.xml", f'<p:presentation {slide}><p:sldIdLst><p:sldId id="1" r:id="rId2"/><p:sldId id="2" r:id="rId1"/></p:sldIdLst></p:presentation>')
-                        z.writestr("ppt/_rels/presentation.xml.rels", '<Relationships><Relationship Id="rId1" Type="x/slide" Target="slides/slide1.xml"/><Relationship Id="rId2" Type="x/slide" Target="slides/slide2.xml"/></Relationships>')
-                        for number, part in ((2, lines[:half]), (1, lines[half:])):
-                            shape = lambda l: f"<p:sp><p:txBody><a:p><a:r><a:t>{l}</a:t></a:r></a:p></p:txBody></p:sp>"
-                            title = f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="title"/></p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>Slide of {doc_id}</a:t></a:r></a:p></p:txBody></p:sp>'
-                            z.writestr(f"ppt/slides/slide{number}.xml", f"<p:sld {slide}><p:cSld><p:spTree>{title}{''.join(map(shape, part))}</p:spTree></p:cSld></p:sld>")
-                    z.writestr("docProps/core.xml", f'<c xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>Title {doc_id}</dc:title></c>')
-                data = buffer.getvalue()
-                contents.append(data[:-30] if doc_id % 50 == 7 else data)  # a broken archive now and then
-            yield frame[["path", "fingerprint", "format", "doc_id"]].assign(content=contents)
-
-    docs = t.view("v_docs").withColumn("format", F.substring_index("original_filename", ".", -1)).filter("format in ('docx', 'pptx')")
-    return docs.select(F.col("original_filename").alias("path"), "fingerprint", "format", "doc_id", "text").mapInPandas(
-        write, "path string, fingerprint string, format string, doc_id bigint, content binary")
+def _piece(kind: str, text=None, section=1, **more) -> Column:
+    kinds = {"level": "int", "table_id": "bigint", "row": "int", "cells": "array<string>", "header_row": "boolean"}
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(F.lit(section).cast("bigint").alias("section"), F.lit(kind).alias("kind"), as_column(text).cast("string").alias("text"),
+                    *[as_column(more.get(n)).cast(c).alias(n) for n, c in kinds.items()])
 
 
 def _pieces(t: Inputs) -> DataFrame:
-    return cut(office.office_pieces(_office_bytes(t)), "pieces")
+    """Each document as its reader would list it: lines are paragraphs, every fifth a heading, and one table closes a text
+    document; a presentation has two slides; now and then a file couldn't be read."""
+    docs = t.view("v_docs").withColumn("format", F.substring_index("original_filename", ".", -1)).filter("format in ('docx', 'pptx')")
+    lines, doc = F.split("text", "\n"), F.col("doc_id").cast("string")
+    half = F.floor((F.size(lines) + 1) / 2).cast("int")
+    paragraph = lambda l, i: F.when(i % 5 == 0, _piece("heading", l, level=2)).otherwise(_piece("text", l))
+    row = lambda number, head, *cells: _piece("row", F.concat_ws("\t", *cells), table_id=1, row=number, cells=F.array(*cells), header_row=head)
+    title = F.array(_piece("title", F.concat(F.lit("Title "), doc)))
+    table = F.array(_piece("anchor", table_id=1), row(0, False, F.lit("skipped"), F.lit("x")), row(1, True, F.lit("doc"), doc))
+    text = F.concat(F.array(_piece("marker", "[Page 1]")), F.transform(lines, paragraph), table, title)
+    slide = lambda n, part: F.concat(F.array(_piece("marker", f"[Slide {n}]", n), _piece("heading", F.concat(F.lit("Slide of "), doc), n, level=1)), F.transform(part, lambda l: _piece("text", l, n)))
+    slides = F.concat(slide(1, F.slice(lines, 1, half)), slide(2, F.slice(lines, half + 1, F.size(lines))), title)
+    listed = F.when(F.col("doc_id") % 50 == 7, F.array(_piece("failure", "E_EXTRACTION: the archive is broken"))).when(F.col("format") == "docx", text).otherwise(slides)
+    rows = docs.select(F.col("original_filename").alias("path"), "fingerprint", F.posexplode(listed).alias("seq", "p"))
+    return cut(rows.select("path", "fingerprint", F.col("seq").cast("bigint").alias("seq"), "p.*"), "pieces")
 
 
 OFFICE_SQL = """with d as (select * from v_docs where doc_id % 10 between 1 and 7), l as (select d.*, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as kept, string_split(text, chr(10)) as whole from d)"""

@@ -13,22 +13,24 @@ from pigeonhole.session import new_folder
 from pigeonhole.streaming import guards
 
 
+def replayed(calls: DataFrame) -> DataFrame:
+    """Every fiftieth call is delivered twice."""
+    again = F.explode(F.when(F.pmod(F.hash("attempt_id"), F.lit(50)) == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return calls.withColumn("copy", again).drop("copy")
+
+
 @query("stream_charge_once", "select attempt_id, run_id, role, status from v_calls")
 def _(t: Inputs) -> DataFrame:
-    calls = t.stream("select attempt_id, run_id, role, status, cast(created_at as timestamp) as created_at from v_calls")
-    # every fiftieth call is delivered twice
-    again = F.explode(F.when(F.col("attempt_id").cast("bigint") % 50 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
-    replayed = calls.withColumn("copy", again).drop("copy")
-    out = guards.run_available(guards.stream_charge_once(replayed, late="3650 days"), new_folder(t.spark, "charge-once"))
-    return out.select("attempt_id", "run_id", "role", "status")
+    calls = replayed(t.stream("select attempt_id, run_id, role, status from v_calls"))
+    return guards.stream_charge_once(calls, new_folder(t.spark, "charge-once"))
 
 
 @query("stream_live_spend", f"""{ADMISSION_SQL}, b as (select a.*, unknown_calls > 0 and (coalesce(spend_policy, 'halt-on-unknown-v1') = 'halt-on-unknown-v1' or budget_mode <> 'unlimited') as blocks from a)
 select run_id, blocks or over_b or over_o or over_t as halt, case when blocks then 'unknown_spend' when over_b or over_o or over_t then 'limit_reached' end as reason, unknown_calls from b""")
 def _(t: Inputs) -> DataFrame:
     runs = t.view("v_runs").select("run_id", "spend_policy", "budget_mode", *[F.col(f"limit_{n}").cast("decimal(38,0)").alias(f"limit_{n}") for n in budgets.DIMENSIONS])
-    calls = t.stream("select run_id, role, cost_nano from v_ledger")
-    return guards.run_available(guards.stream_live_spend(calls, runs), new_folder(t.spark, "live-spend"), "update", ["run_id"]).select("run_id", "halt", "reason", "unknown_calls")
+    calls = replayed(t.stream("select attempt_id, run_id, role, cost_nano from v_ledger"))
+    return guards.stream_live_spend(calls, runs, new_folder(t.spark, "live-spend")).select("run_id", "halt", "reason", "unknown_calls")
 
 
 @query("stream_cooldowns", """
@@ -43,14 +45,13 @@ def _(t: Inputs) -> DataFrame:
 @query("stream_circuit_breaker", STREAKS_SQL + " select run_id, vendor, max(case when n = 1 then consecutive end) as failures, max(consecutive) as longest, max(consecutive) >= 3 as tripped from c group by run_id, vendor")
 def _(t: Inputs) -> DataFrame:
     folder = new_folder(t.spark, "circuit")
-    # outcomes arrive in four appends, one file per trigger, so that counters really carry over micro-batches
+    # outcomes arrive in four appends, each handled before the next, so that counters really carry over micro-batches
     source, rows = f"{folder}/source", t.view("v_outcomes")
     low, high = rows.agg(F.min("created_ms"), F.max("created_ms")).first()
     quarter = F.least(F.floor((F.col("created_ms") - low) * 4 / (high - low + 1)), F.lit(3))
     for part in range(4):
-        rows.filter(quarter == part).coalesce(1).write.mode("append").parquet(source)
-    stream = t.spark.readStream.schema(t.spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
-    guards.run_batches(stream, folder, guards.circuit_writer(f"{folder}/state"))
+        rows.filter(quarter == part).write.mode("append").parquet(source)
+        guards.run_batches(t.spark.readStream.schema(rows.schema).parquet(source), folder, guards.circuit_writer(f"{folder}/state"))
     return guards.current_circuit(t.spark, f"{folder}/state")
 
 
@@ -58,11 +59,11 @@ def _(t: Inputs) -> DataFrame:
 with d as (select concat('u', cast(user_id as varchar)) as run_id, count(*) as n from events where event_type = 'view' group by user_id)
 select r.run_id, d.n as completed, case when r.user_id % 3 = 0 then d.n else d.n + 1 end as expected_count, r.user_id % 3 = 0 as complete from v_runs r join d on d.run_id = r.run_id""")
 def _(t: Inputs) -> DataFrame:
-    done = t.stream("select concat('u', cast(user_id as string)) as run_id, cast(event_id as string) as fingerprint, cast(ts as timestamp) as created_at from events where event_type = 'view'")
+    done = t.stream("select concat('u', cast(user_id as string)) as run_id, cast(event_id as string) as fingerprint from events where event_type = 'view'")
     runs = t.sql("""select r.run_id, case when r.user_id % 3 = 0 then d.n else d.n + 1 end as expected_count from v_runs r
         join (select concat('u', cast(user_id as string)) as run_id, count(*) as n from events where event_type = 'view' group by user_id) d on d.run_id = r.run_id""")
-    progress = guards.stream_run_progress(done, runs, late="3650 days")
-    return guards.run_available(progress, new_folder(t.spark, "progress"), "update", ["run_id"]).select("run_id", "completed", "expected_count", "complete")
+    again = done.unionByName(done.filter("cast(fingerprint as bigint) % 7 = 0"))  # every seventh completion is reported twice
+    return guards.stream_run_progress(again, runs, new_folder(t.spark, "progress")).select("run_id", "completed", "expected_count", "complete")
 
 
 @query("stream_first_halt", """

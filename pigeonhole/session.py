@@ -31,10 +31,16 @@ def build_session(app: str = "pigeonhole", master: str | None = None, **extra: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``.
+
+    Only a session that runs in one process may leave it unset and gets a folder of its own; on a cluster each machine would
+    write to its own disk, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 

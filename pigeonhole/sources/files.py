@@ -34,9 +34,10 @@ def route_by_format(files: DataFrame) -> DataFrame:
 def discover_generated_trees(files: DataFrame) -> DataFrame:
     """Folders holding a build summary: the file name and the start of its text must both match.
 
-    ``files``: path, content. Only candidate summaries are decoded.
+    ``files``: path, content. The header is ASCII, so the bytes are read one to one: text in any encoding, or a letter cut
+    in half by the end of the part that is read, can't stop the job.
     """
-    head = F.decode(F.substring(F.col("content"), 1, 256), "UTF-8")
+    head = F.decode(F.substring(F.col("content"), 1, 256), "ISO-8859-1")
     rows = files.filter(filename(F.col("path")).rlike(SUMMARY_NAME)).withColumn("run_id", F.regexp_extract(head, SUMMARY_HEADER, 1)).filter("run_id <> ''")
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
     return rows.select(folder.alias("path"), "run_id", F.col("path").alias("summary_path"))

@@ -1,309 +1,25 @@
-"""DOCX and PPTX text with its outline.
+"""Office documents as rows of pieces in reading order; reading the bytes themselves is left to the caller's own reader.
 
-Python only unzips a file and lists its pieces in reading order. Positions, full text, heading attachment and table
-headers are DataFrame work shared with every other source.
+Positions, full text, heading attachment and table headers are DataFrame work shared with every other source.
 """
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree as ET
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pigeonhole.functions.json import let
 from pigeonhole.operators.outline import assemble_full_text, table_headers
 
-# Namespaces of the formats.
-WORD = {"http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://purl.oclc.org/ooxml/wordprocessingml/main"}
-DRAWING = {"http://schemas.openxmlformats.org/drawingml/2006/main", "http://purl.oclc.org/ooxml/drawingml/main"}
-SLIDES = {"http://schemas.openxmlformats.org/presentationml/2006/main", "http://purl.oclc.org/ooxml/presentationml/main"}
-CHOICES = WORD | DRAWING | SLIDES | {"http://schemas.microsoft.com/office/word/2010/wordprocessingShape"}
-COMPATIBILITY = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
 PIECES = "path string, fingerprint string, seq bigint, section bigint, kind string, text string, level int, table_id bigint, row int, cells array<string>, header_row boolean"
-SKIPPED = {"pPr", "rPr", "endParaRPr"}
-
-
-class Unreadable(Exception):
-    """A file that cannot be read, with its code."""
-
-    def __init__(self, code: str, detail: str):
-        super().__init__(detail)
-        self.code = code
-
-
-def _name(node: ET.Element) -> str:
-    return node.tag.rsplit("}", 1)[-1]
-
-
-def _attribute(node: ET.Element | None, name: str, qualified: bool = False) -> str | None:
-    if node is None:
-        return None
-    if not qualified and name in node.attrib:
-        return node.attrib[name]
-    found = [v for key, v in node.attrib.items() if key.startswith("{") and key.endswith("}" + name)]
-    if len(found) > 1:
-        raise Unreadable("E_EXTRACTION", "Ambiguous XML attribute namespace.")
-    return found[0] if found else None
-
-
-class Archive:
-    """Parts of one file, parsed on demand, with the prefixes each part declares."""
-
-    def __init__(self, content: bytes):
-        self.zip = zipfile.ZipFile(io.BytesIO(content))
-        self.names = self.zip.namelist()
-        if len(set(self.names)) != len(self.names):
-            raise Unreadable("E_EXTRACTION_ARCHIVE", "The archive contains duplicate paths.")
-        self.prefixes: dict[str, str] = {}
-
-    def part(self, path: str, required: bool = True) -> ET.Element | None:
-        if path not in self.names:
-            if required:
-                raise Unreadable("E_EXTRACTION_XML", f"Required document part is missing: {path}")
-            return None
-        root = None
-        for event, value in ET.iterparse(io.BytesIO(self.zip.read(path)), ("start-ns", "start")):
-            if event == "start-ns":
-                self.prefixes[value[0]] = value[1]
-            elif root is None:
-                root = value
-        return root
-
-    def links(self, path: str) -> list[ET.Element]:
-        folder, _, name = path.rpartition("/")
-        root = self.part(f"{folder}/_rels/{name}.rels".lstrip("/"), required=False)
-        return [] if root is None else [n for n in root.iter() if _name(n) == "Relationship"]
-
-    def target(self, base: str, link: ET.Element | None) -> str | None:
-        value = _attribute(link, "Target")
-        if not value or _attribute(link, "TargetMode") == "External":
-            return None
-        out = [] if value.startswith("/") else base.split("/")[:-1]
-        for step in value.split("/"):
-            if step == "..":
-                if not out:
-                    raise Unreadable("E_EXTRACTION", "Invalid document relationship path.")
-                out.pop()
-            elif step not in ("", "."):
-                out.append(step)
-        return "/".join(out)
-
-    def children(self, node: ET.Element) -> list[ET.Element]:
-        """Child elements; alternate content gives its first supported choice, else its fallback."""
-        if node.tag != COMPATIBILITY + "AlternateContent":
-            return list(node)
-        for choice in node.findall(COMPATIBILITY + "Choice"):
-            needed = (choice.get("Requires") or "").split()
-            if not needed:
-                raise Unreadable("E_EXTRACTION", "AlternateContent Choice Requires is missing or empty.")
-            if all(self.prefixes.get(p) in CHOICES for p in needed):
-                return list(choice)
-        fallback = node.find(COMPATIBILITY + "Fallback")
-        if fallback is None:
-            raise Unreadable("E_EXTRACTION", "AlternateContent has no supported Choice or declared Fallback.")
-        return list(fallback)
-
-    def descend(self, node: ET.Element, name: str) -> Iterator[ET.Element]:
-        for child in self.children(node):
-            if _name(child) == name:
-                yield child
-            yield from self.descend(child, name)
-
-    def text(self, node: ET.Element) -> str:
-        name = _name(node)
-        if name == "t":
-            space = node.tag[1:].split("}")[0]
-            if space in WORD | DRAWING or space in (self.prefixes.get("w"), self.prefixes.get("a")):
-                return node.text or ""
-        if name in ("tab", "br"):
-            return "\t" if name == "tab" else "\n"
-        return "".join(self.text(c) for c in self.children(node))
-
-    def paragraph(self, node: ET.Element) -> str:
-        return "".join(self.text(c) for c in node if _name(c) not in SKIPPED)
-
-
-class Pieces:
-    """Pieces of one file in reading order."""
-
-    def __init__(self, archive: Archive):
-        self.archive, self.rows, self.section, self.tables = archive, [], 0, 0
-
-    def add(self, kind: str, text: str | None, **more) -> None:
-        self.rows.append({"seq": len(self.rows), "section": self.section, "kind": kind, "text": text, **more})
-
-    def table(self, node: ET.Element) -> None:
-        self.tables += 1
-        self.add("anchor", None, table_id=self.tables)
-        for number, row in enumerate(r for r in node if _name(r) == "tr"):
-            cells = ["\n".join(self.archive.paragraph(p) for p in self.archive.descend(cell, "p")) for cell in row if _name(cell) == "tc"]
-            flagged = any(True for _ in self.archive.descend(row, "tblHeader"))
-            self.add("row", "\t".join(cells), table_id=self.tables, row=number, cells=cells, header_row=flagged)
 
-    def title(self) -> None:
-        core = self.archive.part("docProps/core.xml", required=False)
-        found = [] if core is None else [n.text for n in core.iter() if _name(n) == "title" and (n.text or "").strip()]
-        if found:
-            self.add("title", found[0])
 
+def outline_from_pieces(pieces: DataFrame) -> dict[str, DataFrame]:
+    """``documents`` (full_text, title, code), ``headings``, ``blocks`` and ``tables`` of files given as ``PIECES`` rows.
 
-def _outline_level(node: ET.Element | None) -> int | None:
-    value = int(_attribute(node, "val") or -1) if node is not None else -1
-    return value + 1 if 0 <= value < 9 else None
-
-
-def docx_pieces(archive: Archive) -> Pieces:
-    out, page = Pieces(archive), 1
-    root = archive.part("word/document.xml")
-    styles: dict[str, tuple[int | None, str | None]] = {}
-    sheet = archive.part("word/styles.xml", required=False)
-    for style in [] if sheet is None else [n for n in sheet.iter() if _name(n) == "style"]:
-        level = next((_outline_level(n) for n in style.iter() if _name(n) == "outlineLvl"), None)
-        parent = next((_attribute(n, "val") for n in style if _name(n) == "basedOn"), None)
-        styles[_attribute(style, "styleId") or ""] = (level, parent)
-
-    def style_level(name: str | None) -> int | None:
-        seen: set[str] = set()
-        while name:
-            if name in seen:
-                raise Unreadable("E_EXTRACTION", "Document heading styles contain a cycle.")
-            seen.add(name)
-            level, name = styles.get(name, (None, None))
-            if level is not None:
-                return level
-        return None
-
-    def paragraph(node: ET.Element) -> None:
-        nonlocal page
-        settings = next((c for c in node if _name(c) == "pPr"), None)
-        part = lambda n: None if settings is None else next((c for c in settings if _name(c) == n), None)
-        level = _outline_level(part("outlineLvl")) if part("outlineLvl") is not None else style_level(_attribute(part("pStyle"), "val"))
-        kind, buffer = ("heading" if level else "text"), []
-
-        def run(items: list[ET.Element]) -> None:
-            nonlocal page
-            for item in items:
-                name = _name(item)
-                if name in ("pPr", "rPr"):
-                    continue
-                if name == "lastRenderedPageBreak" or (name == "br" and _attribute(item, "type") == "page"):
-                    out.add(kind, "".join(buffer), level=level)
-                    buffer.clear()
-                    page += 1
-                    out.add("marker", f"[Page {page}]")
-                elif name in ("t", "tab", "br"):
-                    buffer.append(archive.text(item))
-                else:
-                    run(archive.children(item))
-        run(list(node))
-        out.add(kind, "".join(buffer), level=level)
-
-    def walk(nodes: list[ET.Element]) -> None:
-        for node in nodes:
-            if _name(node) == "tbl":
-                out.table(node)
-            elif _name(node) == "p":
-                paragraph(node)
-            else:
-                walk(archive.children(node))
-
-    body = next((n for n in root.iter() if _name(n) == "body"), None)
-    if body is None:
-        raise Unreadable("E_EXTRACTION", "The document body is missing.")
-    out.add("marker", "[Page 1]")
-    walk(archive.children(body))
-    for link in archive.links("word/document.xml"):
-        path = archive.target("word/document.xml", link)
-        if path and re.fullmatch(r"word/(?:header\d+|footer\d+|footnotes|endnotes)\.xml", path):
-            walk([archive.part(path)])
-    out.title()
-    return out
-
-
-def pptx_pieces(archive: Archive) -> Pieces:
-    out, base = Pieces(archive), "ppt/presentation.xml"
-    root, links = archive.part(base), archive.links(base)
-    space = root.tag[1:].split("}")[0]
-    if _name(root) != "presentation" or space not in SLIDES:
-        raise Unreadable("E_EXTRACTION", "The presentation root is missing or unsupported.")
-    slides = [s for group in root.findall(f"{{{space}}}sldIdLst") for s in group.findall(f"{{{space}}}sldId")]
-    if not slides:
-        raise Unreadable("E_EXTRACTION", "The presentation contains no slides.")
-    related = lambda items, kind: next((l for l in items if (_attribute(l, "Type") or "").endswith(kind)), None)
-
-    def walk(nodes: list[ET.Element], layout: ET.Element | None) -> None:
-        for node in nodes:
-            if _name(node) == "tbl":
-                out.table(node)
-            elif _name(node) == "sp":
-                holder = next(archive.descend(node, "ph"), None)
-                same = lambda p: (_attribute(p, "idx") or "0") == (_attribute(holder, "idx") or "0")
-                inherited = None if holder is None or layout is None else next((p for p in archive.descend(layout, "ph") if same(p)), None)
-                kind = _attribute(holder, "type") or _attribute(inherited, "type")
-                texts = [archive.paragraph(p) for p in archive.descend(node, "p")]
-                if kind in ("title", "ctrTitle"):
-                    out.add("heading", "\n".join(texts), level=1)
-                else:
-                    for text in texts:
-                        out.add("text", text)
-            else:
-                walk(archive.children(node), layout)
-
-    for number, slide in enumerate(slides, 1):
-        wanted = _attribute(slide, "id", qualified=True)
-        path = archive.target(base, next((l for l in links if _attribute(l, "Id") == wanted), None))
-        if not path:
-            raise Unreadable("E_EXTRACTION", "A slide relationship is missing or external.")
-        own = archive.links(path)
-        layout = archive.target(path, related(own, "/slideLayout"))
-        out.section = number
-        out.add("marker", f"[Slide {number}]")
-        walk([archive.part(path)], archive.part(layout) if layout else None)
-        notes = archive.target(path, related(own, "/notesSlide"))
-        if notes:
-            walk([archive.part(notes)], None)
-    out.title()
-    return out
-
-
-def office_pieces(files: DataFrame) -> DataFrame:
-    """Pieces of every DOCX and PPTX (path, fingerprint, format, content); a file that cannot be read is one row of
-    kind ``failure``. Arrow hands over a few files at a time, results are flushed per file."""
-    names = [c.split()[0] for c in PIECES.split(", ")]
-    schema = pa.schema([("path", pa.string()), ("fingerprint", pa.string()), ("seq", pa.int64()), ("section", pa.int64()), ("kind", pa.string()), ("text", pa.string()),
-                        ("level", pa.int32()), ("table_id", pa.int64()), ("row", pa.int32()), ("cells", pa.list_(pa.string())), ("header_row", pa.bool_())])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                path, fingerprint, form, content = (batch.column(c)[i].as_py() for c in ("path", "fingerprint", "format", "content"))
-                try:
-                    rows = (docx_pieces if form == "docx" else pptx_pieces)(Archive(content)).rows
-                except Unreadable as error:
-                    rows = [{"seq": 0, "section": 0, "kind": "failure", "text": f"{error.code}: {error}"}]
-                except (ET.ParseError, zipfile.BadZipFile, ValueError) as error:
-                    rows = [{"seq": 0, "section": 0, "kind": "failure", "text": f"E_EXTRACTION: {error}"}]
-                yield pa.RecordBatch.from_pylist([{"path": path, "fingerprint": fingerprint, **{n: r.get(n) for n in names[2:]}} for r in rows], schema=schema)
-
-    wanted = files.filter(F.col("format").isin("docx", "pptx")).select("path", "fingerprint", "format", "content")
-    return wanted.mapInArrow(read, PIECES)
-
-
-def extract_office(files: DataFrame) -> dict[str, DataFrame]:
-    """``documents`` (full_text, title, code), ``headings``, ``blocks`` and ``tables`` of DOCX and PPTX files.
-
-    ``files``: path, fingerprint, format, content. Cut or store ``office_pieces`` first when several of the four tables
-    are used, so that archives are opened once.
+    Kinds: ``marker`` (a page or slide begins), ``heading`` with its level, ``text``, ``anchor`` (a table begins), ``row`` with
+    its cells, ``title``, and ``failure`` with a text ``code: detail`` for a file that couldn't be read. Cut or store the
+    pieces first when several of the four tables are used.
     """
-    return outline_from_pieces(office_pieces(files))
-
-
-def outline_from_pieces(pieces: DataFrame) -> dict[str, DataFrame]:
     keys = ["path", "fingerprint"]
     failed = pieces.filter("kind = 'failure'").select(*keys, F.split("text", ": ", 2).alias("_f"))
     titles = pieces.filter("kind = 'title'").select(*keys, F.col("text").alias("title"))

@@ -13,23 +13,60 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pigeonhole import constants as k
+from pigeonhole.functions.checks import BlockerError
 from pigeonhole.functions.money import NANO, nano
 from pigeonhole.operators import attempts, budgets, correlation, ledger
 from pigeonhole.operators.models import code_by_role
 from pigeonhole.sources.ledger import exists
 
 
-def stream_charge_once(calls: DataFrame, time: str = "created_at", late: str = "1 day") -> DataFrame:
-    """One row per attempt id. Replays may arrive up to ``late`` behind the newest call; the bound is our choice and
-    must cover the longest redelivery, because state older than it is dropped."""
-    return calls.withWatermark(time, late).dropDuplicatesWithinWatermark(["attempt_id"])
+ADMISSION_BUCKETS = 64
 
 
-def stream_live_spend(calls: DataFrame, runs: DataFrame) -> DataFrame:
-    """Running spend per run with the admission verdict (update mode).
+def admission_writer(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that admits each key once, however late it or its replay arrives.
 
-    ``runs`` (static): run_id, spend_policy, budget_mode, limit_blended, limit_openai, limit_typesafe (decimals).
+    The admitted rows are the append-only ledger ``path/epoch=N/bucket=B``; there is no watermark. A batch is compared with
+    the keys of its own buckets in the epochs before it and overwrites its own epoch, so a replayed micro-batch admits the
+    same rows again. ``keys`` are never null.
     """
+    def admit(batch: DataFrame, epoch: int) -> None:
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(ADMISSION_BUCKETS))).dropDuplicates(keys)
+        before = epochs(batch.sparkSession, path, epoch)
+        if before is not None:
+            touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most ADMISSION_BUCKETS
+            rows = rows.join(before.filter(F.col("bucket").isin(touched)).select("bucket", *keys), ["bucket", *keys], "left_anti")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
+    return admit
+
+
+def epochs(spark: SparkSession, path: str, below: int) -> DataFrame | None:
+    """What the epochs before ``below`` hold; null where none does."""
+    if not exists(spark, path):
+        return None
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows.filter(F.col("epoch") < below)
+
+
+def admitted(spark: SparkSession, path: str) -> DataFrame:
+    """Everything admitted so far."""
+    return spark.read.parquet(path).drop("epoch", "bucket")
+
+
+def stream_charge_once(calls: DataFrame, path: str) -> DataFrame:
+    """One row per attempt id of everything that has arrived; a replay or a call far behind the newest one is neither
+    charged twice nor lost. ``path`` keeps the ledger and the place in the stream from run to run."""
+    run_batches(calls, path, admission_writer(f"{path}/ledger", ["attempt_id"]))
+    return admitted(calls.sparkSession, f"{path}/ledger")
+
+
+def stream_live_spend(calls: DataFrame, runs: DataFrame, path: str) -> DataFrame:
+    """Spend per run of everything that has arrived, each attempt once, with the admission verdict.
+
+    ``calls`` need an attempt_id. ``runs`` (static): run_id, spend_policy, budget_mode, limit_blended, limit_openai,
+    limit_typesafe (decimals).
+    """
+    calls = stream_charge_once(calls, path)
     inference = F.col("role") != k.METADATA
     cost, zero = nano(F.col("cost_nano")), F.lit(0).cast(NANO)
     of = lambda name: [r for r, s in k.SCOPE_OF_ROLE.items() if s == name]
@@ -49,12 +86,14 @@ def stream_cooldowns(calls: DataFrame) -> DataFrame:
     return rows.groupBy("scope").agg(best.alias("b")).select("scope", (-F.col("b.u")).alias("until"), F.col("b.a").alias("source_attempt_id"), F.col("b.c").alias("observed_at"))
 
 
-def stream_run_progress(completions: DataFrame, runs: DataFrame, time: str = "created_at", late: str = "1 day") -> DataFrame:
-    """Completed documents per run (update mode); ``complete`` turns true with the row that reaches the expected count.
+def stream_run_progress(completions: DataFrame, runs: DataFrame, path: str) -> DataFrame:
+    """Completed documents per run of everything that has arrived; ``complete`` turns true with the row that reaches the
+    expected count, however late it is.
 
     Repeated completions of one document count once. ``runs`` (static): run_id, expected_count.
     """
-    once = completions.withWatermark(time, late).dropDuplicatesWithinWatermark(["run_id", "fingerprint"])
+    run_batches(completions, path, admission_writer(f"{path}/ledger", ["run_id", "fingerprint"]))
+    once = admitted(completions.sparkSession, f"{path}/ledger")
     return (once.groupBy("run_id").agg(F.count(F.lit(1)).alias("completed")).join(runs.select("run_id", "expected_count"), "run_id")
             .withColumn("complete", F.col("completed") == F.col("expected_count")))
 
@@ -94,12 +133,15 @@ def circuit_writer(path: str, limit: int = k.CIRCUIT_LIMIT) -> Callable[[DataFra
     """``foreachBatch`` function keeping the counters in ``path/epoch=N``.
 
     Every epoch is computed from the one before and overwrites its own folder, so a replayed micro-batch gives the same
-    state again.
+    state again. Counters without the epoch before them would be wrong, so a missing one is an error. Outcomes count in the
+    order of their batches and, inside a batch, of their times.
     """
     def fold(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         before = f"{path}/epoch={epoch - 1}"
-        previous = spark.read.parquet(before) if epoch > 0 and exists(spark, before) else None
+        if epoch > 0 and not exists(spark, before):
+            raise BlockerError(f"E_STREAM_STATE: {before} is missing")
+        previous = spark.read.parquet(before) if epoch > 0 else None
         fold_circuit(previous, batch, limit).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
     return fold
 

@@ -1,12 +1,9 @@
-import io
-import zipfile
-
 import pytest
 from pyspark.sql import functions as F
 
 from pigeonhole.functions.checks import BlockerError
 from pigeonhole.session import new_folder
-from pigeonhole.sources import batches, config, files, ledger, office
+from pigeonhole.sources import batches, config, files, ledger
 
 
 def test_append_is_create_only(spark):
@@ -52,45 +49,12 @@ def test_trees_need_name_and_header(spark, tmp_path):
     assert "good/in/a.pdf" not in left and {"fake/in/a.pdf", "named/in/a.pdf"} <= left
 
 
-def archive(parts):
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for name, text in parts:
-            z.writestr(name, text)
-    return buffer.getvalue()
-
-
-W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:x="urn:x"'
-
-
-def docx(body, *more):
-    return archive([("word/document.xml", f"<w:document {W}><w:body>{body}</w:body></w:document>"), *more])
-
-
-def test_office_rules(spark):
-    p = lambda t, s="": f"<w:p>{s}<w:r><w:t>{t}</w:t></w:r></w:p>"
-    h1 = '<w:pPr><w:pStyle w:val="H1"/></w:pPr>'
-    styles = ("word/styles.xml", f'<w:styles {W}><w:style w:styleId="H1"><w:pPr><w:outlineLvl w:val="0"/></w:pPr></w:style><w:style w:styleId="L1"><w:basedOn w:val="L2"/></w:style><w:style w:styleId="L2"><w:basedOn w:val="L1"/></w:style></w:styles>')
-    cases = {
-        "ok.docx": docx(p("Head", h1) + '<w:p><w:r><w:t>one</w:t><w:br w:type="page"/><w:t>two</w:t></w:r></w:p>' + "<w:tbl><w:tr><w:tc>" + p("c1") + "</w:tc><w:tc>" + p("c2") + "</w:tc></w:tr></w:tbl>", styles),
-        "choice.docx": docx(f'<mc:AlternateContent><mc:Choice Requires="x">{p("no")}</mc:Choice><mc:Fallback>{p("fallback")}</mc:Fallback></mc:AlternateContent>'),
-        "supported.docx": docx(f'<mc:AlternateContent><mc:Choice Requires="w">{p("chosen")}</mc:Choice><mc:Fallback>{p("no")}</mc:Fallback></mc:AlternateContent>'),
-        "neither.docx": docx(f'<mc:AlternateContent><mc:Choice Requires="x">{p("no")}</mc:Choice></mc:AlternateContent>'),
-        "cycle.docx": docx(p("x", '<w:pPr><w:pStyle w:val="L1"/></w:pPr>'), styles),
-        "empty.docx": docx(""), "twice.docx": docx(p("a"), ("a", "1"), ("a", "2")), "broken.docx": b"not a zip", "missing.pptx": archive([("a", "b")]),
-    }
-    df = spark.createDataFrame([(n, n, n.split(".")[1], bytearray(c)) for n, c in cases.items()], "path string, fingerprint string, format string, content binary")
-    parts = office.extract_office(df)
-    docs = {r.path: r for r in parts["documents"].collect()}
-    assert docs["ok.docx"].full_text == "[Page 1]\nHead\none\n[Page 2]\ntwo\nc1\tc2"
-    assert docs["choice.docx"].full_text.endswith("fallback") and docs["supported.docx"].full_text.endswith("chosen")
-    assert {n: docs[n].code for n in cases if docs[n].code} == {"neither.docx": "E_EXTRACTION", "cycle.docx": "E_EXTRACTION", "empty.docx": "E_NO_TEXT", "twice.docx": "E_EXTRACTION_ARCHIVE",
-                                                                "broken.docx": "E_EXTRACTION", "missing.pptx": "E_EXTRACTION_XML"}
-    heads = {r.path: r for r in parts["headings"].collect()}
-    assert (heads["ok.docx"].id, heads["ok.docx"].level, heads["ok.docx"].position) == ("heading_9", 1, 9)
-    assert {(r.text, r.position, r.heading_id) for r in parts["blocks"].filter("path = 'ok.docx'").collect()} == {("one", 14, "heading_9"), ("two", 27, "heading_9"), ("c1\tc2", 31, "heading_9")}
-    table = parts["tables"].first()
-    assert table.headers == ["c1", "c2"] and table.position == 31
+def test_any_bytes_after_the_header(spark):
+    run = "0123abcd-0000-0000-0000-0123456789ab"
+    head = f"# Local build summary\n\nRun: {run}\n".encode()
+    rows = [(f"f{i}/build-summary-{run}.md", bytearray(head + b"x" * i + tail)) for i in range(2) for tail in ("é".encode() * 200,)] + [(f"g/build-summary-{run}.md", bytearray(head + b"\xff\xfe\x80" * 100))]
+    found = files.discover_generated_trees(spark.createDataFrame(rows, "path string, content binary"))
+    assert {(r.path, r.run_id) for r in found.collect()} == {("f0", run), ("f1", run), ("g", run)}
 
 
 def test_type_files(spark):
