@@ -12,8 +12,11 @@ from pigeonhole.operators.models import check_model_policy, code_by_role
 def classify_attempt(attempts: DataFrame) -> DataFrame:
     """First matching outcome of each attempt: ``action`` (decode, retry, document, blocker) and ``code``.
 
-    Input: role, status, network_failure, body, pin, pin_policy, last_attempt (no retry is left).
+    Input: role, status, network_failure, body, pin, pin_policy, last_attempt (no retry is left); with a column cost_unknown
+    (true where the isolating spend policy holds and no cost is verified) such an attempt ends its document before any
+    retry, but not before what stops the whole run.
     """
+    unknown = F.coalesce(F.col("cost_unknown"), F.lit(False)) if "cost_unknown" in attempts.columns else F.lit(False)
     status, role = F.col("status"), F.col("role")
     pair = lambda action, code: F.struct(F.lit(action).alias("action"), (F.lit(code) if isinstance(code, str) else code).cast("string").alias("code"))
 
@@ -23,9 +26,11 @@ def classify_attempt(attempts: DataFrame) -> DataFrame:
         usage = F.coalesce(count("$.usage.input_tokens") & count("$.usage.output_tokens"), F.lit(False))
         again = F.col("network_failure") | status.isin(408, 409, 429) | (status >= 500)
         refused = status.isNull() | ~status.between(200, 299)
+        everywhere = F.coalesce(status.isin(401, 403, 404), F.lit(False)) | F.coalesce(error("code") == "model_not_found", F.lit(False)) | F.coalesce(error("param") == "model", F.lit(False))
         return (
             F.when(named.isNotNull() & drift.isNotNull(), F.struct(drift["kind"].alias("action"), drift["code"].alias("code")))
             .when((role != k.CONFIDENCE) & (status == 429) & error("code").isin(k.QUOTA_CODES), pair("blocker", "E_OPENAI_QUOTA"))
+            .when(unknown & ~everywhere, pair("document", "E_VENDOR_COST_UNKNOWN"))
             .when(again & F.col("last_attempt"), pair("document", "E_VENDOR_UNAVAILABLE"))
             .when(again, pair("retry", F.lit(None)))
             .when(status.between(300, 399), pair("document", "E_VENDOR_REDIRECT"))

@@ -93,6 +93,15 @@ def actual_usage_cost(calls: DataFrame, rate: Column, usage: str = "usage_json",
     return parsed.withColumn("usage_code", code).withColumn("cost_nano", cost).drop("_u")
 
 
+def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """Adds ``rate`` from the price row of the call's (pack_id, mode, role); a call without a verified price gets
+    ``price_code`` E_PRICING_UNVERIFIED and no rate, which stops its run. ``prices`` as in ``price_findings``."""
+    keys = ["pack_id", "mode", "role"]
+    verified = prices.join(price_findings(prices).select(*keys).distinct(), keys, "left_anti")
+    rate = F.struct(*[F.col(n).cast("decimal(19,0)").alias(n) for n in RATE_FIELDS]).alias("rate")
+    return calls.join(verified.select(*keys, rate), keys, "left").withColumn("price_code", F.when(F.col("rate").isNull(), "E_PRICING_UNVERIFIED"))
+
+
 def price_findings(prices: DataFrame) -> DataFrame:
     """Missing or malformed price rows block their (pack, mode, role).
 

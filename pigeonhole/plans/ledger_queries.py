@@ -62,6 +62,24 @@ def _(t: Inputs) -> DataFrame:
     return costs.actual_usage_cost(t.sql(USAGE), costs.rates(**RATE)).select("attempt_id", "usage_code", "cost_nano")
 
 
+# Every call of a pack is priced by its mode and role; the batch price of readers was never verified.
+PRICED = """select attempt_id, 'p' as pack_id, case when event_id % 2 = 0 then 'batch' else 'interactive' end as mode, role, input_tokens, output_tokens from v_calls where input_tokens is not null"""
+
+
+@query("price_calls", f"""
+select attempt_id, case when role = 'reader' and mode = 'batch' or role = 'recovery' then 'E_PRICING_UNVERIFIED' end as price_code,
+  case when not (role = 'reader' and mode = 'batch' or role = 'recovery') then cast(case when mode = 'batch' then (cast(input_tokens as hugeint) * 1000 + 999999) // 1000000 + (cast(output_tokens as hugeint) * 5000 + 999999) // 1000000
+    else {cost_sql('input_tokens', 'output_tokens')} end as varchar) end as cost_nano from ({PRICED}) c""")
+def _(t: Inputs) -> DataFrame:
+    card = lambda mode, role, verified, rate: (F.lit("p"), F.lit(mode), F.lit(role), F.lit(verified), F.lit("page"), *map(F.lit, rate))
+    long, flat = ("1234567", "10000003", "272000", "2", "1", "3", "2"), ("1000", "5000", None, None, None, None, None)
+    cards = [card("interactive", "confidence", "2026-01-01", long), card("interactive", "reader", "2026-01-01", long), card("batch", "confidence", "2026-01-01", flat), card("batch", "reader", " ", flat)]
+    names = ["pack_id", "mode", "role", "verified_at", "source", *costs.RATE_FIELDS]
+    rows = t.table("region").limit(1).select(F.explode(F.array(*[F.struct(*[v.cast("string").alias(n) for n, v in zip(names, c)]) for c in cards])).alias("c")).select("c.*")
+    priced = costs.price_calls(t.sql(PRICED), rows)
+    return costs.add_call_cost(priced, F.col("rate")).select("attempt_id", "price_code", "cost_nano")
+
+
 @query("vendor_spend", "select run_id, blended, openai, typesafe from (" + SPEND_SQL.replace("from v_ledger", "from v_ledger where cost_nano is not null") + ") s")
 def _(t: Inputs) -> DataFrame:
     s = budgets.vendor_spend(t.view("v_ledger"))

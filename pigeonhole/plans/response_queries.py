@@ -261,6 +261,10 @@ select event_id, case when event_id % 19 = 0 then 'blocker' when status = 429 an
   when status = 302 then 'E_VENDOR_REDIRECT' when status = 401 then 'E_VENDOR_AUTH' when status = 404 then 'E_MODEL_REJECTED' when status = 400 then case when event_id % 5 = 0 then 'E_READER_CONTEXT' else 'E_VENDOR_REQUEST' end
   when k is null then 'E_VENDOR_USAGE' end as code from a""")
 def _(t: Inputs) -> DataFrame:
+    return attempts.classify_attempt(attempt_rows(t)).select("event_id", "action", "code")
+
+
+def attempt_rows(t: Inputs) -> DataFrame:
     e, role = F.col("event_id"), F.col("role")
     pin = F.when(role == "confidence", "jev-2.0.1").when(role == "reader", "gpt-6-sol").otherwise("gpt-6-luna")
     error = (F.when((F.col("status") == 429) & (e % 5 == 0), ',"error":{"code":"insufficient_quota"}')
@@ -270,7 +274,20 @@ def _(t: Inputs) -> DataFrame:
     rows = rows.withColumns({"pin": pin, "pin_policy": F.when(role == "confidence", "versioned").otherwise("owner_approved_alias"),
                              "network_failure": F.col("status").isNull(), "last_attempt": e % 2 == 0})
     body = F.concat(F.lit('{"model":"'), F.when(e % 19 == 0, "strange").otherwise(F.col("pin")), F.lit('"'), error, usage, F.lit("}"))
-    return attempts.classify_attempt(rows.withColumn("body", body)).select("event_id", "action", "code")
+    return rows.withColumn("body", body)
+
+
+# Under the isolating policy an attempt without a verified cost ends its document, whatever else its status would say.
+@query("classify_attempt_unknown_cost", f"""
+with a as (select event_id, role, k, {ATTEMPT_STATUS} as status from (select c.*, input_tokens as k from v_calls c where role <> 'batch_metadata' and event_id % 19 <> 0) y)
+select event_id, case when status in (401, 404) then 'blocker' when status = 429 and role <> 'confidence' and event_id % 5 = 0 then 'blocker' else 'document' end as action,
+  case when status = 401 then 'E_VENDOR_AUTH' when status = 404 then 'E_MODEL_REJECTED' when status = 429 and role <> 'confidence' and event_id % 5 = 0 then 'E_OPENAI_QUOTA' else 'E_VENDOR_COST_UNKNOWN' end as code
+from a where k is null""")
+def _(t: Inputs) -> DataFrame:
+    rows = attempt_rows(t).filter("input_tokens is null and event_id % 19 <> 0").withColumn("cost_unknown", F.col("input_tokens").isNull())
+    return attempts.classify_attempt(rows).select("event_id", "action", "code")
+
+
 
 
 HEADER = "case event_id % 8 when 0 then cast(event_id % 500 as string) when 1 then concat(cast(event_id % 90 as string), '.5') when 2 then '-3' when 3 then 'Mon, 01 Jan 2024 12:00:00 GMT' when 4 then 'soon' when 5 then '99999999' end"
