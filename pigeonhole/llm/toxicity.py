@@ -160,6 +160,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the scores don't reject; the decision joins back by id, rejected ids only."""
-    rejected = score_documents(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__toxic")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["__toxic"]), "left_anti")
+    """The rows of ``docs`` that their score doesn't reject, with all their columns; rows are judged one by one, in one pass."""
+    terms, trust, base = learn(id_and_text(docs), labels)
+
+    def keep(batches):
+        scorer = Scorer(terms, trust, base)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(t) < 0.5 for t in strings(batch["text"])], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

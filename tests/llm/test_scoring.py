@@ -86,7 +86,7 @@ def test_scores_held_out_and_misspelled(spark):
     assert by[1001][1] == 0 and by[1002][1] == by[1003][1] == 0
     assert {p for d, _, _, p in got if d == 1000} == {0, 1} and [p for d, _, _, p in got if d is None] == [1]
     kept = toxicity.drop_toxic(frame, known)
-    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {i for i in range(400) if i % 4} | {1001, 1002, 1003}
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {i for i in range(400) if i % 4} | {1000, 1001, 1002, 1003}
     none = toxicity.score_documents(frame, known.limit(0)).collect()
     assert {r.predicted for r in none} == {0} and toxicity.score_documents(frame.limit(0), known).count() == 0
 
