@@ -168,16 +168,20 @@ def assemble_full_text(pieces: DataFrame, keys: list[str], carry: list[str] | No
     return grouped.select(*keys, F.array_join(shown, "\n").alias("full_text"), items.alias("items"))
 
 
-def structural(text: Column, vocabulary: Column) -> Column:
-    """Some vocabulary term occurs as whole consecutive words; empty terms never match."""
-    return let(token_phrase(text), lambda t: F.exists(vocabulary, lambda term: let(
-        token_phrase(term), lambda p: (F.length(p) > 0) & F.contains(t, p))))
+def phrases(vocabulary: Column) -> Column:
+    """Each term as a phrase of whole words, ready to be searched; empty terms are left out."""
+    return F.filter(F.transform(vocabulary, token_phrase), lambda p: F.length(p) > 0)
+
+
+def structural(text: Column, vocabulary_phrases: Column) -> Column:
+    """Some vocabulary term occurs as whole consecutive words."""
+    return let(token_phrase(text), lambda t: F.exists(vocabulary_phrases, lambda p: F.contains(t, p)))
 
 
 def match_structural(headings: DataFrame, packs: DataFrame, pack_key: str) -> DataFrame:
-    """Adds ``structural`` to headings. ``packs``: pack key, vocabulary (array); a pack's list is one row."""
-    return headings.join(packs.select(pack_key, "vocabulary"), pack_key).withColumn(
-        "structural", structural(F.col("text"), F.col("vocabulary"))).drop("vocabulary")
+    """Adds ``structural`` to headings. ``packs``: pack key, vocabulary (array); a pack's list is one row, made ready once."""
+    ready = packs.select(pack_key, phrases(F.col("vocabulary")).alias("_phrases"))
+    return headings.join(ready, pack_key).withColumn("structural", structural(F.col("text"), F.col("_phrases"))).drop("_phrases")
 
 
 def vocabulary_collisions(packs: DataFrame, types: DataFrame, pack_key: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pigeonhole import constants as k
 from pigeonhole.functions.arrays import running_offsets
 from pigeonhole.functions.json import let
 from pigeonhole.functions.text import utf16_len
-from pigeonhole.operators.outline import structural
+from pigeonhole.operators.outline import phrases, structural
 
 HEADING = "struct<id:string,text:string,level:int,position:bigint>"
 NO_NULLS = {"ignoreNullFields": "false"}
@@ -84,7 +84,8 @@ def build_confidence_state(docs: DataFrame, policy: str = "state_policy") -> Dat
 
 def ordered_blocks() -> Column:
     """Blocks in digest order: structural headings first, then other headings, then unattached blocks."""
-    marked = F.transform("headings", lambda h, i: F.struct(h["id"].alias("id"), i.alias("rank"), (~structural(h["text"], F.col("vocabulary"))).cast("int").alias("group")))
+    marked = let(phrases(F.col("vocabulary")), lambda terms: F.transform("headings", lambda h, i: F.struct(
+        h["id"].alias("id"), i.alias("rank"), (~structural(h["text"], terms)).cast("int").alias("group"))))
 
     def with_order(m: Column) -> Column:
         def key(b: Column, i: Column) -> Column:

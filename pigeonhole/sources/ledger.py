@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pigeonhole.functions.checks import BlockerError
+from pigeonhole.session import cut
 
 LEDGERS = ["runs", "documents", "calls", "events", "checkpoints", "artifacts", "batches", "recoveries"]
 
@@ -23,24 +24,35 @@ def exists(spark: SparkSession, path: str) -> bool:
 def append_immutable(df: DataFrame, path: str, keys: list[str], receipts: str | None = None) -> None:
     """Create-only append: a key that exists, or occurs twice, stops it before anything is written.
 
-    With ``receipts`` the intent (``writing``) is recorded first and ``complete`` after the write, so a lost job leaves a
-    visible trace. Only keys are compared; row contents are not shuffled.
+    The input is evaluated once. Keys are compared with those of the same runs only, and again after the write: of two
+    writers that passed the first test at once, the later one stops before its receipt. With ``receipts`` the intent
+    (``writing``) is recorded first and ``complete`` after the write, so a lost job leaves a visible trace.
     """
-    spark = df.sparkSession
-    twice = df.groupBy(*keys).count().filter("count > 1").take(1)
-    if twice:
-        raise BlockerError(f"E_ARTIFACT_EXISTS: repeated key {twice[0].asDict()}")
-    if exists(spark, path):
-        taken = df.select(*keys).join(spark.read.parquet(path).select(*keys), keys, "left_semi").take(1)
-        if taken:
-            raise BlockerError(f"E_ARTIFACT_EXISTS: {taken[0].asDict()}")
+    df = cut(df, "append")
+    spark, own = df.sparkSession, df.select(*keys)
+
+    def stored() -> DataFrame:
+        rows = spark.read.parquet(path)
+        if "run_id" in df.columns:  # the partitions that the new rows belong to
+            rows = rows.join(df.select("run_id").distinct(), "run_id", "left_semi")
+        return rows.select(*keys)
+
+    def refuse(rows: DataFrame, what: str) -> None:
+        found = rows.take(1)
+        if found:
+            raise BlockerError(f"E_ARTIFACT_EXISTS: {what} {found[0].asDict()}")
 
     def receipt(state: str) -> None:
         if receipts:
-            df.select(*keys, F.lit(state).alias("state"), F.current_timestamp().alias("written_at")).write.mode("append").parquet(receipts)
+            own.select("*", F.lit(state).alias("state"), F.current_timestamp().alias("written_at")).write.mode("append").parquet(receipts)
+
+    refuse(own.groupBy(*keys).count().filter("count > 1"), "repeated key")
+    if exists(spark, path):
+        refuse(own.join(stored(), keys, "left_semi"), "taken key")
     receipt("writing")
     writer = df.write.mode("append")
     (writer.partitionBy("run_id") if "run_id" in df.columns else writer).parquet(path)
+    refuse(stored().join(own, keys, "left_semi").groupBy(*keys).count().filter("count > 1"), "key written twice at once")
     receipt("complete")
 
 
