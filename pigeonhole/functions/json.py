@@ -21,11 +21,11 @@ def parse(c: Column) -> Column:
 
     The parser alone ignores what follows the first value. Inside brackets trailing text is either an error or a second
     element, unless it closes the bracket itself; inside braces it then is an error, because a bracket can't close a brace.
-    The two tests together accept one whole value only.
+    The two tests together accept one whole value only; the second is left out where no bracket occurs.
     """
     def whole(a: Column) -> Column:
         one = F.try_variant_get(a, "$[1]", "variant").isNull()
-        inside = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}"))).isNotNull()
+        inside = ~F.contains(c, F.lit("]")) | F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}"))).isNotNull()
         return F.when(one & inside, F.try_variant_get(a, "$[0]", "variant"))
     return let(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), whole)
 

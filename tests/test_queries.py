@@ -8,9 +8,10 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from pigeonhole.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -34,3 +35,7 @@ def test_entry(spark):
 
 def test_every_query_has_sql():
     assert set(SQL) == set(QUERIES)
+
+
+def test_entry_registers_them():
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
