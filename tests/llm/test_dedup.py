@@ -176,3 +176,20 @@ def test_a_passage_of_many_is_matched_once_each(spark):
     got = chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in got if r.source_id == 0) == list(range(1, 300)) and len(got) < 320
     assert all(60 <= r.words <= 62 and (r.source_id == 0 or r.words > 60) for r in got)  # a word beside it may be shared too
+
+
+def test_every_repeated_run_of_words_is_in_a_passage(spark, docs):
+    from pigeonhole.llm.decontaminate import EDGES
+
+    words = {r.doc_id: [w.strip(EDGES) or w for w in r.text.lower().split()] for r in docs.orderBy("doc_id").collect()}
+    held = {}
+    for r in chains.repeated_passages(docs).collect():
+        held.setdefault(r.doc_id, []).append((r.start, r.start + r.words))
+    first, places = {}, 0
+    for doc, own in words.items():
+        for k in range(len(own) - 50):
+            run = tuple(own[k:k + 51])
+            if first.setdefault(run, doc) != doc:
+                places += 1
+                assert any(a <= k and k + 51 <= b for a, b in held.get(doc, [])), (doc, k)
+    assert places > 100
