@@ -20,6 +20,7 @@ from .common import cut, id_and_text, salt_of, spread
 from .wordcode import coder_of, vocabulary
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+KNOWN_WORDS = 300_000  # a worker remembers, twice at most
 BLOCK = 100_000  # pieces of a salted block, on average
 
 
@@ -154,7 +155,7 @@ def slots_of(groups: list[tuple[tuple[int, ...], int]], longest: int) -> np.ndar
 def cut_pieces(docs: DataFrame, vocab: str, max_tokens: int, with_ids: bool = False) -> DataFrame:
     """Encoded documents, each closed by id 0, whole if they fit and else in pieces of ``max_tokens``."""
     def convert(batches):
-        coder = coder_of(vocab, False)
+        coder = coder_of(vocab, False, KNOWN_WORDS)
         for batch in batches:
             at = 0
             for ids, places in coder.encode(batch["text"]):

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut, id_and_text, new_folder, open_store, spread
 from .wordcode import coder_of, vocabulary
 
+KNOWN_WORDS = 700_000  # a worker remembers, twice at most
 NO_ID = -(2**63)  # stands for a null document id in .docs
 MANIFEST = "shard int, path string, width int, documents long, tokens long"
 LOADED = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -38,7 +39,7 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str, spaced: bool = T
     ranged = rows.repartitionByRange(spread(size, shard_bytes), "doc_id").sortWithinPartitions("doc_id")
 
     def write(batches):
-        coder, store, at = coder_of(vocab, spaced), None, None
+        coder, store, at = coder_of(vocab, spaced, KNOWN_WORDS), None, None
         kind = np.dtype("<u2" if coder.library.get_vocab_size() <= 1 << 16 else "<u4")
         offsets, ids_of, total, out = [np.zeros(1, np.int64)], [], 0, None
         for batch in batches:

@@ -46,7 +46,7 @@ class WordCoder:
     case doesn't count.
     """
 
-    def __init__(self, path: str, spaced: bool, limit: int = 800_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -119,9 +119,9 @@ class WordCoder:
 
 
 @lru_cache(2)
-def coder_of(path: str, spaced: bool) -> WordCoder:
+def coder_of(path: str, spaced: bool, limit: int) -> WordCoder:
     """The coder of a worker process, which keeps what it knows from task to task."""
-    return WordCoder(path, spaced)
+    return WordCoder(path, spaced, limit)
 
 
 def assemble(own: np.ndarray, begin: np.ndarray, first: np.ndarray, codes: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
