@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pigeonhole.functions.json import let
+
 from .common import cut
 
 # Headers that a 304 may update in the stored response (fixed by the HTTP caching standard).
@@ -32,8 +34,8 @@ def header_map(block: str | Column) -> Column:
     """``Name: value`` lines as a map with lower-case names; of repeated names the last one counts."""
     lines = F.filter(F.split(block, "\r?\n"), lambda x: x.contains(":"))
     pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, "^([^:]*):", 1))).alias("k"), F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    last = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["k"] == p["k"]))
+    return let(pairs, lambda ps: F.map_from_entries(last(ps)))  # bound once: the lines aren't read again for each other line
 
 
 def parse_records(raw: DataFrame) -> DataFrame:
