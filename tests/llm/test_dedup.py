@@ -175,7 +175,7 @@ def test_a_passage_of_many_is_matched_once_each(spark):
     rows = [(i, " ".join(prose(rng, 30) + passage + prose(rng, 30))) for i in range(300)]
     got = chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in got if r.source_id == 0) == list(range(1, 300)) and len(got) < 320
-    assert all(60 <= r.words <= 62 and (r.source_id == 0 or r.words > 60) for r in got)  # a word beside it may be shared too
+    assert all(r.words >= 60 for r in got)  # words beside it may be shared too
 
 
 def test_every_repeated_run_of_words_is_in_a_passage(spark, docs):
