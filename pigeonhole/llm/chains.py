@@ -21,7 +21,7 @@ from .shingles import runs
 
 K, WINDOW = 6, 14
 GAP_COST = 0.1  # score that each word between two seeds takes, on either side; a seed gives K
-APART, MOST_GAP, REACH = 40, 120, 128  # words between seeds of one stretch (edits leave out some); words between seeds of one chain; words compared beyond a chain's ends
+MOST_GAP, REACH = 120, 128  # words between seeds of one chain; words compared beyond a chain's ends
 LEAST_WORDS, SUBSTITUTION = 50, 4  # of a passage; what a differing word costs against one that agrees
 BAND = 24  # drift that an alignment follows beyond that of its chain
 
@@ -147,32 +147,34 @@ def group_runs(batches, keys: tuple[str, str]) -> Iterator[tuple[tuple, dict[str
 CHAINS = "doc_id long, source_id long, lo int, hi int, source_lo int, source_hi int, drift int"
 
 
-def covered(at: np.ndarray, least_words: int) -> np.ndarray:
-    """Which of a document's matched places lie in a stretch of seeds, met with any source, that is long enough.
-
-    A repeated passage of ``least_words`` words is such a stretch: all its seeds are shared ones, no two next to each other
-    are further apart than a window, and the first and last lie within a window of its ends.
-    """
-    places = np.unique(at)
-    part = np.concatenate([[0], np.cumsum(np.diff(places) > APART)])
-    first, last = (np.flatnonzero(np.diff(part, prepend=-1)), np.flatnonzero(np.diff(part, append=part[-1] + 1)))
-    long = places[last] - places[first] + K >= max(K, least_words - 2 * (WINDOW - 1))
-    return long[part[np.searchsorted(places, at)]]
+def joined(parts: list[tuple]) -> Iterator[tuple]:
+    """Parts of a pair of documents as (lo, hi, source_lo, source_hi, drift), those of one diagonal made one where the words compared around them meet."""
+    last = None
+    for part in sorted(parts, key=lambda p: (p[4] > 0, p[0] - p[2], p[0])):
+        if last and not part[4] and part[0] - part[2] == last[0] - last[2] and part[0] - last[1] <= 2 * REACH:
+            last = (last[0], max(last[1], part[1]), last[2], max(last[3], part[3]), 0)
+            continue
+        if last:
+            yield last
+        last = part
+    if last:
+        yield last
 
 
-def chain_table(matches: DataFrame, least_words: int) -> DataFrame:
+def chain_table(matches: DataFrame) -> DataFrame:
     def convert(batches):
         rows = []
         for (doc, _), cols in group_runs(batches, ("doc_id", "doc_id")):
-            kept = covered(cols["at"], least_words)
-            sources, at, there = (cols[c][kept].astype(np.int64) for c in ("source_id", "at", "source_at"))
-            edges = [0, *(np.flatnonzero(np.diff(sources)) + 1), len(sources)] if len(sources) else []
+            sources, at, there = (cols[c].astype(np.int64) for c in ("source_id", "at", "source_at"))
+            edges = [0, *(np.flatnonzero(np.diff(sources)) + 1), len(sources)]
             for lo, hi in zip(edges, edges[1:]):
+                parts = []
                 for whole in chain(at[lo:hi], there[lo:hi]):
                     for part in parts_of(whole + lo, at, there):
                         a, b = at[part], there[part]
                         drift = a - b
-                        rows.append((doc, sources[lo], a[0], a[-1] + K, b[0], b[-1] + K, drift.max() - drift.min()))
+                        parts.append((a[0], a[-1] + K, b[0], b[-1] + K, drift.max() - drift.min()))
+                rows += [(doc, sources[lo], *p) for p in joined(parts)]
             if len(rows) > 5000:
                 yield packed(rows)
                 rows = []
@@ -302,7 +304,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     firsts = firsts.select("seed", F.col("first.doc_id").alias("source_id"), F.col("first.at").alias("source_at"))
     matches = seeds.join(firsts, "seed").where("doc_id <> source_id or at > source_at").select("doc_id", "source_id", "at", "source_at")
     # A passage as long as is asked for holds two seeds or, edited, one and what lies around it.
-    chains = cut(chain_table(matches, least_words), "chains")
+    chains = cut(chain_table(matches), "chains")
     wanted = chains.select(F.explode(F.array("doc_id", "source_id")).alias("doc_id")).distinct()
     words = cut(word_table(docs, cut(wanted, "wanted")), "words").dropDuplicates(["doc_id"])
     slice_of = lambda c, lo, hi: F.slice(c, F.col(lo) + 1, F.greatest(F.col(hi) - F.col(lo), F.lit(0)))

@@ -193,3 +193,24 @@ def test_every_repeated_run_of_words_is_in_a_passage(spark, docs):
                 places += 1
                 assert any(a <= k and k + 51 <= b for a, b in held.get(doc, [])), (doc, k)
     assert places > 100
+
+
+def test_edited_passages_need_one_seed(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    hashes, rows, due = chains.PlainWords(), [], set()
+    for n in range(60):
+        passage = [word() for _ in range(rng.randrange(50, 101))]
+        copy = list(passage)
+        for i in range(rng.randrange(6, 13), len(copy) - 6, 12):
+            copy[i] = word()
+        texts = [[word() for _ in range(40)] + p + [word() for _ in range(40)] for p in (passage, copy)]
+        seeds = [set(zip(*(x.tolist() for x in chains.minimisers(hashes.of(t))))) for t in texts]
+        gain = np.concatenate([[0], np.cumsum([1 if a == b else -4 for a, b in zip(passage, copy)])])
+        best = max((gain[j] - gain[i], j - i) for i in range(len(gain)) for j in range(i, len(gain)))
+        if seeds[0] & seeds[1] and best[1] >= 50:
+            due.add((2 * n + 1, 2 * n))
+        rows += [(2 * n + k, " ".join(t)) for k, t in enumerate(texts)]
+    assert len(due) > 30
+    got = {(r.doc_id, r.source_id) for r in chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == due
