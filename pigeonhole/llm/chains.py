@@ -1,25 +1,30 @@
 """Substring deduplication by collinear chaining: shared k-mer seeds, chains with gap costs, alignment of what they span.
 
 Seeds are minimisers of word k-mers, so any run of ``K + WINDOW - 1`` equal words shares one. Every occurrence of a seed is
-matched with its first one only (by document and place), so a passage in a third of all documents costs one match each. The
-matches of a document with one source are chained by a Fenwick tree over the source's places, and the words that a chain
+matched with its first one and the one before it (by document and place), so a passage in a third of all documents costs two
+matches each. Runs of 2 and 4 shared seeds are seeds too: where the parts of a passage come from different documents, they
+lead to those that hold the parts together. The matches of a document with one source are chained by a Fenwick tree over the source's places, and the words that a chain
 spans are compared with those of the source, from where the passages of at least ``least_words`` words are cut.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, row_chunks, strings
+from .common import cut, id_and_text, row_chunks, spread, strings
 from .decontaminate import MAP_BITS, PlainWords, bit_words, plain_words
 from .shingles import runs
 
 K, WINDOW = 6, 14
+RUN_SEEDS = (2, 4)  # runs of shared seeds that are seeds too
+SEEDS_A_TASK = 1_000_000
 GAP_COST = 0.1  # score that each word between two seeds takes, on either side; a seed gives K
 MOST_GAP, REACH = 120, 128  # words between seeds of one chain; words compared beyond a chain's ends
 LEAST_WORDS, SUBSTITUTION = 50, 4  # of a passage; what a differing word costs against one that agrees
@@ -144,6 +149,96 @@ def group_runs(batches, keys: tuple[str, str]) -> Iterator[tuple[tuple, dict[str
         yield own, {n: np.concatenate([h[n] for h in held]) for n in held[0]}
 
 
+LINKS = "doc_id long, at int, seed long, first_id long, first_at int, last_id long, last_at int, part int, opening int"
+
+
+def link_table(seeds: DataFrame) -> DataFrame:
+    """Each occurrence of a seed that occurs more than once, with the first one and the one before it (its own values: it is the first).
+
+    Occurrences are sorted over all tasks, so a seed of many documents lies in many of them. A task leaves open what its
+    first seed has met in the tasks before; its last seed is told by a row whose ``opening`` is 2 or, if it is the first too, 3.
+    """
+    def convert(batches):
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId(), [b for b in batches if b.num_rows]
+        if not held:
+            return
+        seed, doc, at = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("seed", "doc_id", "at"))
+        fresh = np.concatenate([[True], (np.diff(seed) != 0) | (np.diff(doc) != 0) | (np.diff(at) != 0)])  # rows that repeat an id
+        seed, doc, at = seed[fresh], doc[fresh], at[fresh]
+        n = np.arange(len(seed))
+        begins = np.concatenate([[True], seed[1:] != seed[:-1]])
+        first, last = np.maximum.accumulate(np.where(begins, n, 0)), np.where(begins, n, n - 1)
+        opening, closing = seed == seed[0], seed == seed[-1]
+        many = np.concatenate([seed[1:] == seed[:-1], [False]]) | ~begins
+        rows = np.flatnonzero(many | opening | closing)
+        kind = opening[rows].astype(np.int32)
+        kind = np.append(kind, np.int32(3 if opening[-1] else 2))
+        rows = np.append(rows, n[-1])
+        for lo in range(0, len(rows), 1 << 16):
+            r = rows[lo:lo + (1 << 16)]
+            cols = (doc[r], at[r], seed[r], doc[first[r]], at[first[r]], doc[last[r]], at[last[r]], np.full(len(r), part, np.int32), kind[lo:lo + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [f.split()[0] for f in LINKS.split(", ")])
+
+    size = seeds.count()
+    dealt = seeds.repartitionByRange(spread(size, SEEDS_A_TASK), "seed", "doc_id", "at").sortWithinPartitions("seed", "doc_id", "at")
+    links = cut(dealt.mapInArrow(convert, LINKS), "links")
+    # What the seed that opens a task has met before: one row of each task decides it.
+    ends = links.where("opening > 1").select("part", "opening", "seed", "doc_id", "at", "first_id", "first_at").orderBy("part").collect()
+    carried, before = {}, None
+    for e in ends:
+        if before:
+            carried[e["part"]] = before
+        whole = e["opening"] == 3 and before and before[0] == e["seed"]
+        before = (e["seed"], *(before[1:3] if whole else (e["first_id"], e["first_at"])), e["doc_id"], e["at"])
+
+    def settle(batches):
+        for batch in batches:
+            cols = {c: batch[c].to_numpy().copy() for c in batch.schema.names}
+            for p in np.unique(cols["part"][cols["opening"] == 1]):
+                c = carried.get(int(p))
+                if c:
+                    here = (cols["part"] == p) & (cols["opening"] == 1) & (cols["seed"] == c[0])
+                    head = here & (cols["doc_id"] == cols["first_id"]) & (cols["at"] == cols["first_at"])
+                    cols["first_id"][here], cols["first_at"][here] = c[1], c[2]
+                    cols["last_id"][head], cols["last_at"][head] = c[3], c[4]
+            kept = cols["opening"] < 2
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in cols.values()], list(cols))
+
+    return links.mapInArrow(settle, LINKS)
+
+
+def run_table(links: DataFrame) -> DataFrame:
+    """Runs of 2 and 4 shared seeds of a document, none of them further from the next than a window, as seeds at their first place."""
+    def convert(batches):
+        for _, cols in group_runs(batches, ("doc_id", "doc_id")):
+            at, seed = cols["at"], cols["seed"].view(np.uint64)
+            for n in RUN_SEEDS:
+                if len(at) < n:
+                    continue
+                size = len(at) - n + 1
+                near = np.concatenate([[0], np.cumsum(np.diff(at) > WINDOW)])
+                hashes = np.full(size, n, np.uint64)
+                for k in range(n):  # with the words between them
+                    hashes = (hashes * np.uint64(0x9E3779B97F4A7C15) ^ seed[k:k + size]) * np.uint64(0xD6E8FEB86659FD93)
+                    hashes ^= (hashes >> np.uint64(32)) + (at[k:k + size] - at[:size]).astype(np.uint64)
+                rows = np.flatnonzero(near[n - 1:] == near[:size])
+                for lo in range(0, len(rows), 1 << 16):
+                    r = rows[lo:lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[r].view(np.int64)), pa.array(cols["doc_id"][r]), pa.array(at[r])], ["seed", "doc_id", "at"])
+
+    dealt = links.select("doc_id", "at", "seed").repartition("doc_id").sortWithinPartitions("doc_id", "at")
+    return dealt.mapInArrow(convert, "seed long, doc_id long, at int")
+
+
+def match_table(links: DataFrame) -> DataFrame:
+    """Matches with the first occurrence and the one before, each once."""
+    earlier = F.array(F.struct(F.col("first_id").alias("source_id"), F.col("first_at").alias("source_at")), F.struct(F.col("last_id").alias("source_id"), F.col("last_at").alias("source_at")))
+    pairs = links.where("doc_id <> first_id or at <> first_at").select("doc_id", "at", F.explode(F.array_distinct(earlier)).alias("s"))
+    return pairs.select("doc_id", "s.source_id", "at", "s.source_at")
+
+
 CHAINS = "doc_id long, source_id long, lo int, hi int, source_lo int, source_hi int, drift int"
 
 
@@ -166,6 +261,8 @@ def chain_table(matches: DataFrame) -> DataFrame:
         rows = []
         for (doc, _), cols in group_runs(batches, ("doc_id", "doc_id")):
             sources, at, there = (cols[c].astype(np.int64) for c in ("source_id", "at", "source_at"))
+            fresh = np.concatenate([[True], (np.diff(sources) != 0) | (np.diff(at) != 0) | (np.diff(there) != 0)])
+            sources, at, there = sources[fresh], at[fresh], there[fresh]
             edges = [0, *(np.flatnonzero(np.diff(sources)) + 1), len(sources)]
             for lo, hi in zip(edges, edges[1:]):
                 parts = []
@@ -289,22 +386,43 @@ def align_chains(lined: DataFrame, least_words: int) -> DataFrame:
     return lined.mapInArrow(convert, PASSAGES)
 
 
+def earliest(found: DataFrame) -> DataFrame:
+    """Passages without those that lie inside a passage that the same document shares with an earlier source."""
+    def convert(batches):
+        for (doc, _), cols in group_runs(batches, ("doc_id", "doc_id")):
+            starts, ends, kept = [], [], []  # of the passages with earlier sources, none inside another: both rise
+            own = list(zip(cols["source_id"].tolist(), cols["start"].tolist(), (cols["start"] + cols["words"]).tolist()))
+            for _, rows in groupby(own, key=lambda r: r[0]):
+                rows = list(rows)
+                inside = [(k := bisect_right(starts, s)) > 0 and ends[k - 1] >= e for _, s, e in rows]
+                kept += [not x for x in inside]
+                for (_, s, e), x in zip(rows, inside):
+                    k = bisect_right(starts, s)
+                    if x or k and ends[k - 1] >= e:
+                        continue
+                    k, stop = bisect_left(starts, s), bisect_right(ends, e)
+                    starts[k:max(k, stop)], ends[k:max(k, stop)] = [s], [e]
+            kept = np.array(kept)
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in cols.values()], list(cols))
+
+    return found.repartition("doc_id").sortWithinPartitions("doc_id", "source_id", F.desc("words"), "start").mapInArrow(convert, PASSAGES)
+
+
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Passages of ``doc_id`` (start and length in words) that repeat one of ``source_id``, which comes earlier by id or place.
 
     Added or missing words are followed where equal words of a seed's length lie on both sides of them.
     A passage has at least ``least_words`` words, of which each one that differs (or is missing or added) is outweighed by
     four that agree; ``agreeing`` counts those that do. Case and punctuation around words don't count. A passage of many
-    documents is listed once for each but its first. A document that repeats itself is its own source. Null and empty texts
+    documents is listed once for each but its first; another source is listed too where its passage reaches further. A document that repeats itself is its own source. Null and empty texts
     and null ids have no passages; rows that repeat an id are one document. Two passages of one place and source are one.
     """
     docs = id_and_text(docs).where("doc_id is not null")
     seeds = cut(seed_table(docs), "seeds")
-    firsts = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = firsts.select("seed", F.col("first.doc_id").alias("source_id"), F.col("first.at").alias("source_at"))
-    matches = seeds.join(firsts, "seed").where("doc_id <> source_id or at > source_at").select("doc_id", "source_id", "at", "source_at")
+    links = link_table(seeds)
+    runs_of = link_table(cut(run_table(links), "runs"))
     # A passage as long as is asked for holds two seeds or, edited, one and what lies around it.
-    chains = cut(chain_table(matches), "chains")
+    chains = cut(chain_table(match_table(links).unionByName(match_table(runs_of))), "chains")
     wanted = chains.select(F.explode(F.array("doc_id", "source_id")).alias("doc_id")).distinct()
     words = cut(word_table(docs, cut(wanted, "wanted")), "words").dropDuplicates(["doc_id"])
     slice_of = lambda c, lo, hi: F.slice(c, F.col(lo) + 1, F.greatest(F.col(hi) - F.col(lo), F.lit(0)))
@@ -313,5 +431,6 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     mine = near.join(words, "doc_id").withColumn("part", slice_of("words", "from", "to")).drop("words")
     lined = mine.join(words.withColumnRenamed("doc_id", "source_id"), "source_id").withColumn("source_part", slice_of("words", "source_from", "source_to")).drop("words")
     found = align_chains(lined, least_words)
-    return found.groupBy("doc_id", "source_id", "start").agg(F.max(F.struct("words", "agreeing", "source_start", "source_words")).alias("p")).select(
+    found = found.groupBy("doc_id", "source_id", "start").agg(F.max(F.struct("words", "agreeing", "source_start", "source_words")).alias("p")).select(
         "doc_id", "source_id", "start", "p.words", "p.source_start", "p.source_words", "p.agreeing")
+    return earliest(found)

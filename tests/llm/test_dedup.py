@@ -214,3 +214,33 @@ def test_edited_passages_need_one_seed(spark):
     assert len(due) > 30
     got = {(r.doc_id, r.source_id) for r in chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == due
+
+
+def test_links_equal_the_first_and_the_one_before(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = list({(rng.choice([-9, 3, 5, 5, 5, 5, 5, 8, 10**9 + rng.randrange(40)]), rng.randrange(60), rng.randrange(5)) for _ in range(400)})
+    frame = spark.createDataFrame(rows + rows[:50], "seed long, doc_id long, at int")
+    by = {}
+    for seed, *place in sorted(rows):
+        by.setdefault(seed, []).append(tuple(place))
+    due = {(*p, seed, *at[0], *at[max(0, k - 1)]) for seed, at in by.items() if len(at) > 1 for k, p in enumerate(at)}
+    for per_task in (7, 60, 10**6):
+        monkeypatch.setattr(chains, "SEEDS_A_TASK", per_task)
+        got = [tuple(r)[:7] for r in chains.link_table(frame).collect()]
+        assert len(got) == len(set(got)) and {r for r in got if len(by[r[2]]) > 1} == due
+
+
+def test_passages_of_parts_that_occur_earlier(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    prose_of = lambda n: [word() for _ in range(n)]
+    rows, due = [], set()
+    for n in range(25):
+        parts = [prose_of(rng.randrange(30, 45)) for _ in range(2)] if n % 2 else [prose_of(rng.randrange(20, 30)) for _ in range(3)]
+        parts_in = lambda: [prose_of(20) + p + prose_of(20) for p in parts]
+        whole = lambda: prose_of(20) + sum(parts, []) + prose_of(20)
+        texts = [*parts_in(), whole(), *(parts_in() if n % 3 else []), whole()]
+        due.add((100 * n + len(texts) - 1, 100 * n + len(parts), sum(map(len, parts))))
+        rows += [(100 * n + k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {(r.doc_id, r.source_id, r.agreeing) for r in chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == due
