@@ -109,13 +109,17 @@ def hit_documents(docs: DataFrame, there: np.ndarray, short: list[int]) -> DataF
     return docs.mapInArrow(convert, "doc_id long, words array<long>, hits array<struct<mask:int,at:int,seed:long>>")
 
 
-def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and agreeing words of the stretch where agreement outweighs substitutions most."""
+def widest_stretch(same: np.ndarray, worth: np.ndarray) -> tuple[int, int]:
+    """Start and end of the stretch of most worth (sums up to each word) in which agreement outweighs substitutions; both its
+    end words agree, and of several the shortest is given. Start and end are 0 if no word agrees."""
     gain = np.concatenate([[0], np.cumsum(np.where(same, 1, -SUBSTITUTION))])
-    low = np.minimum.accumulate(gain)
-    end = int((gain - low).argmax())
-    start = int(np.flatnonzero(gain[:end + 1] == low[end])[-1])
-    return start, end, int(same[start:end].sum())
+    starts = np.flatnonzero(same)
+    if not len(starts):
+        return 0, 0
+    # The first start that lies lower than an end: the lowest values so far fall, so it is found by halving.
+    first = starts[np.searchsorted(-np.minimum.accumulate(gain[starts]), -gain[starts + 1], side="right")]
+    best = np.lexsort((starts - first, worth[first] - worth[starts + 1]))[0]
+    return int(first[best]), int(starts[best]) + 1
 
 
 OVERLAP = "doc_id long, item_id long, doc_start long, words long, agreeing long, item_words long, same_items long"
@@ -124,8 +128,8 @@ OVERLAP = "doc_id long, item_id long, doc_start long, words long, agreeing long,
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per document and benchmark passage it holds: where, over how many words, and how many of those agree.
 
-    A passage is held where at least ``least_words`` of its words (all of a shorter one) agree along one diagonal, each
-    substitution set against four words that agree. The longest such place of a pair is given. Items of the same words are one
+    A passage is held where at least ``least_words`` of its words (all of a shorter one) agree along one diagonal, more than
+    four for each substitution between them. The place of a pair where most words agree is given. Items of the same words are one
     passage, named by the smallest id, with their number. Null and empty texts, null ids and empty tables hold nothing; a
     passage shorter than a mask is sought by all its words, so without substitutions. Rows that repeat an id are one document.
     """
@@ -146,7 +150,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAS
                 item, part, skip = np.array(r["item_words"]), np.array(r["part"], np.int64), max(0, -r["diagonal"])
                 same = np.zeros(len(item), bool)
                 same[skip:skip + len(part)] = item[skip:skip + len(part)] == part
-                start, end, agreeing = best_stretch(same)
+                held = np.concatenate([[0], np.cumsum(same)])
+                start, end = widest_stretch(same, held)
+                agreeing = int(held[end] - held[start])
                 if agreeing >= min(least_words, len(item)):
                     rows.append((r["doc_id"], r["item_id"], r["diagonal"] + start, end - start, agreeing, len(item), r["same_items"]))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(7)], ["doc_id", "item_id", "doc_start", "words", "agreeing", "item_words", "same_items"])

@@ -38,6 +38,28 @@ def test_overlaps_bear_substitutions(spark):
     assert decontaminate.find_overlaps(frame.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_short_items_bear_substitutions_anywhere(spark):
+    rng = random.Random(9)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    items, docs, due = [], [], set()
+    for n in range(150):
+        item = [word() for _ in range(rng.randrange(12, 25))]
+        copy = list(item)
+        for i in rng.sample(range(len(item)), rng.randrange(1, 4)):
+            copy[i] = word()
+        same = [a == b for a, b in zip(item, copy)]
+        spans = [same[i:j] for i in range(len(same)) for j in range(i + 1, len(same) + 1)]
+        most = max([sum(x) for x in spans if sum(x) > 4 * (len(x) - sum(x))], default=0)
+        seen = any(all(same[k + i] for i, c in enumerate(mask) if c == "1") for mask in decontaminate.MASKS.values() for k in range(len(same) - 10))
+        if most >= 12 and seen:
+            due.add((n, n, most))
+        items.append((n, " ".join(item)))
+        docs.append((n, " ".join([word() for _ in range(30)] + copy + [word() for _ in range(30)])))
+    assert len(due) > 60
+    got = decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.agreeing) for r in got.collect()} == due
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
