@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, id_and_text, row_chunks, spread, strings
-from .decontaminate import MAP_BITS, PlainWords, bit_words, plain_words
+from .decontaminate import MAP_BITS, PlainWords, bit_words, plain_words, widest_stretch
 from .shingles import runs
 
 K, WINDOW = 6, 14
@@ -333,7 +333,7 @@ def align(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> np.ndarray:
 
 
 def stretches(same: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Runs of at least ``least`` words in which agreement outweighs differences, none touching another."""
+    """Runs of at least ``least`` words in which agreement outweighs differences, none in another: where any is, one is found that meets it."""
     found, todo = [], [(0, len(same))]
     while todo:
         lo, hi = todo.pop()
@@ -343,11 +343,13 @@ def stretches(same: np.ndarray, least: int) -> list[tuple[int, int]]:
         low = np.minimum.accumulate(gain)
         end = int((gain - low).argmax())
         start = int(np.flatnonzero(gain[:end + 1] == low[end])[-1])
-        if end - start < least:
-            if gain[end] - low[end] < least // 2:
+        if end - start < least:  # a longer one may gain less, with words that differ near its ends
+            if np.count_nonzero(same[lo:hi]) * (SUBSTITUTION + 1) <= least * SUBSTITUTION:
                 continue
-        else:
-            found.append((lo + start, lo + end))
+            start, end = widest_stretch(same[lo:hi], np.arange(hi - lo + 1))
+            if end - start < least:
+                continue
+        found.append((lo + start, lo + end))
         todo += [(lo, lo + start), (lo + end, hi)]
     return sorted(found)
 

@@ -244,3 +244,18 @@ def test_passages_of_parts_that_occur_earlier(spark):
         rows += [(100 * n + k, " ".join(t)) for k, t in enumerate(texts)]
     got = {(r.doc_id, r.source_id, r.agreeing) for r in chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == due
+
+
+@pytest.mark.parametrize("least, rate", [(50, 0.02), (50, 0.05), (50, 0.1), (20, 0.1), (20, 0.2)])
+def test_stretches_meet_every_passage(least, rate):
+    rng, hard = np.random.default_rng(7), 0
+    for _ in range(150):
+        same = np.concatenate([rng.random(30) < 0.05, rng.random(int(rng.integers(least, 2 * least))) >= rate, rng.random(30) < 0.05])
+        gain = np.concatenate([[0], np.cumsum(np.where(same, 1, -chains.SUBSTITUTION))])
+        due = [(i, j) for i in range(len(same)) for j in range(i + least, len(same) + 1) if gain[j] > gain[i] and same[i] and same[j - 1]]
+        found = chains.stretches(same, least)
+        assert all(e - s >= least and gain[e] > gain[s] for s, e in found)
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+        assert all(any(s < j and i < e for s, e in found) for i, j in due)
+        hard += bool(due)
+    assert hard > 10
