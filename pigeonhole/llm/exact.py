@@ -12,7 +12,7 @@ from .common import cut, id_and_text, salt_of
 SALTS = 64
 
 
-def normal_form(text: str) -> Column:
+def normal_form(text: str | Column) -> Column:
     """Each run of ASCII white space is one space (runs that are one space already are not touched)."""
     return F.regexp_replace(text, "[\\x09-\\x0D][\\x20\\x09-\\x0D]*|\\x20[\\x20\\x09-\\x0D]+", " ")
 
@@ -52,7 +52,9 @@ def duplicate_groups(docs: DataFrame, digest: Callable[[str], Column] = sha256)
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = duplicate_groups(docs).where("kept").select(F.col("doc_id").alias("__kept"))
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    """The rows of ``docs`` that stay, with all their columns: one for each text, also where texts share an id or have none."""
+    kept = duplicate_groups(docs).where("kept").select("doc_id", "digest")
+    own = max(docs.columns, key=len) + "_digest"  # no column has this name
+    rows = docs.withColumn(own, F.sha2(normal_form(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256))
+    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["doc_id"]) & (rows[own] == kept["digest"]), "left_semi")
+    return rows.dropDuplicates([id_col, own]).drop(own)

@@ -56,6 +56,15 @@ def test_exact_keeps_one_row_each(spark, docs):
     assert exact.duplicate_groups(docs.limit(0)).count() == 0
 
 
+def test_exact_keeps_every_text_of_an_id(spark):
+    rows = [(None, "a"), (None, "b c"), (None, "b  c"), (None, "c"), (1, "c"), (2, "d"), (2, "e"), (2, "e"), (3, "d"), (2, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = exact.drop_duplicates(frame).collect()
+    found = sorted([(r.doc_id, " ".join((r.text or "").split())) for r in kept], key=repr)
+    assert found == sorted([(None, "a"), (None, "b c"), (1, "c"), (2, "d"), (2, "e"), (2, "")], key=repr)
+    assert exact.duplicate_groups(frame).where("kept").count() == len(kept)
+
+
 def shingles(text, k):
     words = (text or "").encode().lower().split()
     return {tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
