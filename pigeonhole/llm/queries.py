@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chains, chat, decontaminate, exact, minhash, packing, pii, tokenfiles, toxicity, warc
+from . import chains, chat, decontaminate, exact, importance, minhash, packing, phrases, pii, tokenfiles, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,13 @@ def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
