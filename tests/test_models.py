@@ -89,10 +89,7 @@ def test_failure_counters_fold_like_one_pass(spark):
         rows += [(f"r{run}", "reader", i * 1_000 + run, i, rng.random() < 0.7) for i in range(rng.randrange(0, 60))]
     df = spark.createDataFrame(rows, "run_id string, vendor string, created_ms bigint, outcome_id bigint, exhausted boolean")
     once = {(r.run_id, r.outcome_id): r.consecutive for r in ledger.consecutive_failures(df, ["run_id", "vendor"], F.floor(F.col("created_ms") / 7_000)).collect()}
-    state = None
-    for low in range(0, 60_000, 13_000):
-        state = spark.createDataFrame(guards.fold_circuit(state, df.filter((F.col("created_ms") >= low) & (F.col("created_ms") < low + 13_000)), block_ms=4_000).collect(), "run_id string, vendor string, failures bigint, longest bigint, tripped boolean")
-    folded = {r.run_id: (r.failures, r.longest, r.tripped) for r in state.collect()}
+    folded = {r.run_id: (r.failures, r.longest, r.tripped) for r in guards.circuit_counters(guards.circuit_blocks(df, 4_000), days=3).collect()}
     for run in {r[0] for r in rows}:
         want = streaks([r[4] for r in rows if r[0] == run])
         assert [once[(run, i)] for i in range(len(want))] == want

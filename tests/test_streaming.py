@@ -1,10 +1,17 @@
 """Admission over several micro-batches: replays, rows far behind the newest one, repeated batches and missing state."""
 
+import glob
+import os
+import random
+import shutil
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pigeonhole.functions import json as j
-from pigeonhole.functions.checks import BlockerError
+from pigeonhole.operators import ledger
 from pigeonhole.session import new_folder, shared_folder
 from pigeonhole.streaming import guards
 
@@ -33,13 +40,63 @@ def test_late_calls_and_replays_are_charged_once(spark):
     assert spend == {"r": (107, 0), "q": (0, 1)}
 
 
+def last_progress(query):
+    return [p for p in query.recentProgress if p["numInputRows"]]
+
+
 def test_a_repeated_micro_batch_admits_the_same_rows(spark):
-    path = new_folder(spark, "ledger")
-    admit = guards.admission_writer(path, ["k"])
-    rows = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k string")
-    for epoch, batch in ((0, "ab"), (1, "bc"), (1, "bc"), (2, "a")):
-        admit(rows(*batch), epoch)
-    assert sorted(r.k for r in guards.admitted(spark, path).collect()) == ["a", "b", "c"]
+    for stream, folder in arrivals(spark, [[("a",), ("b",)], [("b",), ("c",)]], "k string"):
+        guards.admit_once(stream, folder, ["k"])
+    read = lambda: sorted(r.k for r in guards.admitted(spark, f"{folder}/ledger").collect())
+    assert read() == ["a", "b", "c"]
+    for files in ("kept", "lost"):  # the job ended before the last epoch was committed, after or before its files were written
+        for side in glob.glob(f"{folder}/checkpoint/commits/*1") + glob.glob(f"{folder}/checkpoint/commits/.1*"):
+            os.remove(side)
+        before = set(glob.glob(f"{folder}/ledger/*/*"))
+        if files == "lost":
+            shutil.rmtree(f"{folder}/ledger/epoch=1")
+        guards.admit_once(stream, folder, ["k"])
+        assert read() == ["a", "b", "c"] and (files == "lost" or set(glob.glob(f"{folder}/ledger/*/*")) == before)
+
+
+def test_the_first_arrival_counts(spark):
+    """A later or larger row of one id never replaces the first, whatever it says."""
+    seen = []
+    for stream, folder in arrivals(spark, [[("a", "r", "reader", "7", None), ("a", "r", "reader", "5", None)], [("a", "r", "reader", "1", None), ("b", "r", "reader", "2", None)]], CALLS):
+        seen.append({r.attempt_id: r.cost_nano for r in guards.stream_charge_once(stream, folder, ["cost_nano"]).collect()})
+    assert seen == [{"a": "5"}, {"a": "5", "b": "2"}]
+
+
+def test_work_of_a_batch_does_not_grow_with_the_ledger(spark):
+    source, folder = new_folder(spark, "source"), new_folder(spark, "stream")
+    found = []
+    for n in range(4):
+        spark.range(n * 3000, n * 3000 + (3000 if n < 3 else 50)).selectExpr("concat('k', id) as k", "id % 7 as run_id").coalesce(2).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k string, run_id bigint").parquet(source)
+        query = guards.run_batches(guards.first_arrivals(stream, ["k"]), folder, guards.admission_writer(f"{folder}/ledger"), "update")
+        step = last_progress(query)[-1]
+        state = step["stateOperators"][0]
+        found.append((step["numInputRows"], state["numRowsUpdated"], state["numRowsTotal"]))
+        assert "RocksDB" in spark.conf.get(guards.STATE_STORE)
+    assert found == [(3000, 3000, 3000), (3000, 3000, 6000), (3000, 3000, 9000), (50, 50, 9050)]
+    once, path = guards.admitted(spark, f"{folder}/ledger"), folder
+    first = {r.run_id: r.n for r in guards.running(once, path, ["run_id"], F.count(F.lit(1)).alias("n")).collect()}
+    spark.createDataFrame([("new", 3), ("k5", 3)], "k string, run_id bigint").write.mode("append").parquet(source)
+    guards.admit_once(spark.readStream.schema("k string, run_id bigint").parquet(source), folder, ["k"])
+    again = {r.run_id: r.n for r in guards.running(once, path, ["run_id"], F.count(F.lit(1)).alias("n")).collect()}
+    assert again == {**first, 3: first[3] + 1}
+    assert spark.read.parquet(f"{folder}/running/rows/epoch={guards.epochs(spark, f'{folder}/running/rows')[-1]}").count() == 1  # only the touched run
+
+
+def test_snapshots_of_updates(spark, monkeypatch):
+    monkeypatch.setattr(guards, "KEEP_EPOCHS", 3)
+    path, want = new_folder(spark, "updates"), {}
+    for epoch in range(8):
+        rows = [(k, epoch * 10 + k) for k in range(epoch % 3, 5)]
+        guards.update_writer(path)(spark.createDataFrame(rows, "k int, v int"), epoch)
+        want.update(rows)
+        assert {r.k: r.v for r in guards.newest(spark, path, ["k"]).collect()} == want
+    assert guards.epochs(spark, f"{path}-whole") == [2, 5]
 
 
 def test_progress_completes_with_a_late_row(spark):
@@ -50,16 +107,39 @@ def test_progress_completes_with_a_late_row(spark):
     assert states == [(2, False), (2, False), (3, True)]
 
 
-def test_circuit_state_is_never_forgotten(spark):
-    path = new_folder(spark, "circuit")
-    fold = guards.circuit_writer(path)
-    rows = lambda ms: spark.createDataFrame([("r", "v", ms, str(ms), True)], "run_id string, vendor string, created_ms bigint, outcome_id string, exhausted boolean")
-    fold(rows(1), 0)
-    fold(rows(2), 1)
-    fold(rows(3), 2)
-    assert [(r.failures, r.tripped) for r in guards.current_circuit(spark, path).collect()] == [(3, True)]
-    with pytest.raises(BlockerError):
-        fold(rows(4), 4)
+OUTCOMES = "run_id string, vendor string, created_ms bigint, outcome_id string, exhausted boolean"
+
+
+def test_late_outcomes_find_their_place(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice("uv"), rng.randrange(0, 4_000_000), str(i), rng.random() < 0.7) for i in range(300)]
+    parts = [rows[i::5] + rows[:20] for i in range(5)]  # in no order of time, some again and again
+    for n, (stream, folder) in enumerate(arrivals(spark, parts, OUTCOMES)):
+        got = guards.stream_circuit_breaker(stream, folder, block_ms=50_000).collect()
+        so_far = spark.createDataFrame(sorted({r for p in parts[:n + 1] for r in p}), OUTCOMES)
+        want = {(r.run_id, r.vendor): (r.failures, r.longest, r.code is not None) for r in ledger.circuit_state(so_far).collect()}
+        assert {(r.run_id, r.vendor): (r.failures, r.longest, r.tripped) for r in got} == want
+
+
+def test_circuit_writes_touched_blocks_only(spark):
+    for stream, folder in arrivals(spark, [[("r", "v", t, str(t), True) for t in range(0, 500_000, 10_000)], [("r", "v", 70_001, "late", False)]], OUTCOMES):
+        out = guards.stream_circuit_breaker(stream, folder).collect()
+    assert [(r.failures, r.longest, r.tripped) for r in out] == [(42, 42, True)]
+    assert [r.block for r in spark.read.parquet(f"{folder}/blocks/epoch=1").collect()] == [1]
+
+
+@settings(deadline=None, max_examples=25)
+@given(st.lists(st.booleans(), max_size=12), st.integers(0, 12))
+def test_summaries_join_in_any_grouping(spark, outcomes, cut):
+    def of(rows):
+        n, reset = len(rows), not all(rows)
+        runs = [len(x) for x in "".join("x" if r else " " for r in rows).split()]
+        lead = next((i for i, r in enumerate(rows) if not r), n)
+        tail = next((i for i, r in enumerate(rows[::-1]) if not r), n)
+        return n, lead, tail, max(runs, default=0), reset
+
+    one = lambda rows: guards.summary(*map(F.lit, of(rows)))
+    assert tuple(spark.range(1).select(guards.joined(one(outcomes[:cut]), one(outcomes[cut:])).alias("s")).first().s) == of(outcomes)
 
 
 def test_json_is_one_whole_value(spark):
