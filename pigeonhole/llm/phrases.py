@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut, row_chunks
 from .shingles import ODD, mixed
 
-SHARD_BYTES = 8 << 20  # of text
+SHARD_BYTES = 6 << 20  # of text
 MAP_BITS = 25  # a bit map of 4 MB, whatever the corpus
 SALTS = 64
 LEAST_SHARE = 50  # percent of a phrase's occurrences inside a longer one from which the longer one stands for it
@@ -60,40 +60,51 @@ def word_sequence(texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return words.dictionary.to_pylist(), np.concatenate([[0], np.insert(ids, broken, 0), [0]])
 
 
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """Places of the keys (not below 0) in ascending order, equal ones as they stand: key and place are sorted as one number where they fit."""
+    bits = max(len(keys) - 1, 1).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + bits > 63:
+        return np.argsort(keys, kind="stable")
+    both = keys << bits | np.arange(len(keys))
+    both.sort()
+    return both & ((1 << bits) - 1)
+
+
 class Half:
     """One direction of the index: rows are the places of the sequence, sorted by the ``depth`` symbols from there on.
 
-    For phrases up to that depth the intervals are those of the whole order. ``before`` is the symbol before each row (the
-    transform), ``lf`` the row of that symbol.
+    For phrases up to that depth the intervals are those of the whole order, whichever way equal rows are sorted. ``before``
+    is the symbol before each row (the transform), ``lf`` the row of that symbol.
     """
 
     def __init__(self, ids: np.ndarray, symbols: int, depth: int):
         self.symbols = symbols
-        key, width = ids.astype(np.uint64), symbols
+        key, width = ids.copy(), symbols
         for d in range(1, depth):
-            if width > 2**63 // symbols:
+            if width > 2**62 // symbols:
                 values, key = np.unique(key, return_inverse=True)
-                key, width = key.astype(np.uint64), len(values)
-            key = key * np.uint64(symbols) + np.roll(ids, -d).astype(np.uint64)
+                width = len(values)
+            key *= symbols
+            key += np.roll(ids, -d)
             width *= symbols
-        order = np.argsort(key, kind="stable")
-        self.before = ids[order - 1]
-        by_symbol = np.argsort(self.before, kind="stable")
+        self.before = ids[np.argsort(key) - 1]
+        del key
         self.lf = np.empty(len(ids), np.int64)
-        self.lf[by_symbol] = np.arange(len(ids))
+        self.lf[stable_order(self.before)] = np.arange(len(ids))
 
     def extend(self, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """Every symbol before the rows of every interval: the interval it extends, the symbol, the new interval's first row,
         its rows, and how many rows of the old interval have a smaller symbol."""
+        begin = np.cumsum(size) - size
         owner = np.repeat(np.arange(len(low)), size)
-        rows = np.arange(len(owner)) + np.repeat(low - (np.cumsum(size) - size), size)
-        symbols = self.before[rows]
-        order = np.argsort(owner * self.symbols + symbols, kind="stable")
-        owner, symbols, rows = owner[order], symbols[order], rows[order]
-        fresh = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (symbols[1:] != symbols[:-1])])) if len(rows) else np.zeros(0, np.int64)
+        rows = np.arange(len(owner)) + np.repeat(low - begin, size)
+        key = owner * self.symbols + self.before[rows]
+        order = stable_order(key)
+        key = key[order]
+        fresh = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(rows) else np.zeros(0, np.int64)
         count = np.diff(np.append(fresh, len(rows)))
-        smaller = fresh - (np.cumsum(size) - size)[owner[fresh]]
-        return owner[fresh], symbols[fresh], self.lf[rows[fresh]], count, smaller
+        of, symbol = key[fresh] // self.symbols, key[fresh] % self.symbols
+        return of, symbol, self.lf[rows[order[fresh]]], count, fresh - begin[of]
 
 
 class WordIndex:
@@ -128,6 +139,11 @@ class WordIndex:
         return (grown, first, other, n) if left else (grown, other, first, n)
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of words, after that of id 0."""
+    return np.array([0, *(xxhash.xxh3_64_intdigest(w) for w in words)], np.uint64)
+
+
 def phrase_hashes(words: np.ndarray, lang: str) -> np.ndarray:
     """Hashes of phrases from those of their words, one phrase a row."""
     total = np.full(len(words), xxhash.xxh3_64_intdigest(lang), np.uint64)
@@ -141,10 +157,10 @@ def allowed(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def shard_phrases(texts: pa.Array, lang: str, length: int, maps: list[np.ndarray]) -> tuple[pa.Array, np.ndarray, np.ndarray, int]:
-    """Phrases of ``length`` words in one shard whose shorter parts may all be frequent: text, hash, count; and the shard's words."""
+def shard_phrases(texts: pa.Array, lang: str, length: int, maps: list[np.ndarray]) -> tuple[pa.Array, np.ndarray, int]:
+    """Phrases of ``length`` words in one shard whose shorter parts may all be frequent: text and count; and the shard's words."""
     words, ids = word_sequence(texts)
-    own = np.array([0, *(xxhash.xxh3_64_intdigest(w) for w in words)], np.uint64)
+    own = word_hashes(words)
     names, all_words = pa.array(words, pa.string()), int(np.count_nonzero(ids))
     if length > 1 and len(words):
         good = np.concatenate([[False], allowed(phrase_hashes(own[1:, None], lang), maps[0])])
@@ -163,10 +179,10 @@ def shard_phrases(texts: pa.Array, lang: str, length: int, maps: list[np.ndarray
     phrases = found[0]
     columns = [names.take(pa.array(phrases[:, k] - 1)) for k in range(length)]
     texts_of = pc.binary_join_element_wise(*columns, " ") if length > 1 else columns[0]
-    return texts_of, phrase_hashes(own[phrases], lang), found[3], all_words
+    return texts_of, found[3], all_words
 
 
-COUNTS = "lang string, phrase string, hash long, f long"
+COUNTS = "lang string, phrase string, f long"
 
 
 def phrase_counts(docs: DataFrame, length: int, maps: list[np.ndarray]) -> DataFrame:
@@ -176,13 +192,13 @@ def phrase_counts(docs: DataFrame, length: int, maps: list[np.ndarray]) -> DataF
 
         def index() -> Iterator[pa.RecordBatch]:
             for lang, texts in held.items():
-                phrases, hashes, counts, words = shard_phrases(pa.chunked_array(texts), lang, length, maps)
+                phrases, counts, words = shard_phrases(pa.chunked_array(texts), lang, length, maps)
                 if length == 1 and words:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([0]), pa.array([words])], ["lang", "phrase", "hash", "f"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([words])], ["lang", "phrase", "f"])
                 for lo in range(0, len(phrases), 1 << 16):
                     part = slice(lo, lo + (1 << 16))
                     p = phrases[part]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(p)), p.cast(pa.string()), pa.array(hashes[part].view(np.int64)), pa.array(counts[part])], ["lang", "phrase", "hash", "f"])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(p)), p.cast(pa.string()), pa.array(counts[part])], ["lang", "phrase", "f"])
 
         for batch in batches:
             at = 0
@@ -197,13 +213,22 @@ def phrase_counts(docs: DataFrame, length: int, maps: list[np.ndarray]) -> DataF
                     held, size = {}, 0
         yield from index()
 
-    return docs.mapInArrow(convert, COUNTS).groupBy("lang", "hash", "phrase").agg(F.sum("f").alias("f"))
+    return docs.mapInArrow(convert, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def bit_map(frequent: DataFrame) -> np.ndarray:
-    """One bit for each hash, gathered as at most 2 ** MAP_BITS / 64 words of 64 bits."""
-    place = f"(hash & {(1 << MAP_BITS) - 1})"
-    rows = frequent.groupBy(F.expr(f"cast(shiftright({place}, 6) as int)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({place} & 63 as int)))").alias("w"))
+def bit_map(frequent: DataFrame, length: int) -> np.ndarray:
+    """One bit for each phrase of ``length`` words, gathered as at most 2 ** MAP_BITS / 64 words of 64 bits."""
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = []
+            for lang in pc.unique(batch["lang"]).to_pylist():
+                words = pc.split_pattern(batch["phrase"].filter(pc.equal(batch["lang"], lang)), " ").flatten().dictionary_encode()
+                hashes = word_hashes(words.dictionary.to_pylist())[1:][words.indices.to_numpy()]
+                places.append(phrase_hashes(hashes.reshape(-1, length), lang) & np.uint64((1 << MAP_BITS) - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *places]).astype(np.int64))], ["place"])
+
+    places = frequent.select("lang", "phrase").mapInArrow(convert, "place long")
+    rows = places.groupBy(F.expr("cast(shiftright(place, 6) as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("w"))
     out, got = np.zeros((1 << MAP_BITS) // 64, "<i8"), rows.toArrow()
     out[got["at"].to_numpy()] = got["w"].to_numpy()
     return out.view(np.uint8)
@@ -216,7 +241,7 @@ def frequent_phrases(docs: DataFrame, most_words: int, least_count: int) -> list
         rows = cut(phrase_counts(docs, length, maps).where((F.col("f") >= least_count) | F.col("phrase").isNull()), f"phrases-{length}")
         found.append(rows)
         if length < most_words:
-            maps.append(bit_map(rows.where("phrase is not null")))
+            maps.append(bit_map(rows.where("phrase is not null"), length))
     return found
 
 
