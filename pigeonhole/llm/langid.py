@@ -43,7 +43,8 @@ def training_rows(docs: DataFrame, fit_rows: int) -> DataFrame:
     for keys in (("lang", "salt"), ("lang",)):  # a language of a third of all rows is thinned out in parts first
         place = F.row_number().over(Window.partitionBy(*keys).orderBy("at", "doc_id"))
         ids = ids.withColumn("salt", salt_of("doc_id", salts=SALTS)).withColumn("place", place).where(F.col("place") <= fit_rows).drop("place")
-    return rows.select("doc_id", "lang", "text").join(ids.select("doc_id", "lang"), ["doc_id", "lang"], "left_semi")
+    chosen = F.broadcast(ids.select("doc_id", "lang"))  # no more than fit_rows of each language, so no text is shuffled
+    return rows.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
 
 
 def learn(docs: DataFrame, fit_rows: int = FIT_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> list[tuple[str, bytes]]:
