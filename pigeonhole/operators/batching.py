@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pigeonhole import constants as k
+from pigeonhole.session import cut
 
 
 def group_findings(requests: DataFrame) -> DataFrame:
@@ -30,75 +31,105 @@ def _next_starts(sizes: np.ndarray, limit: int, rows: int) -> np.ndarray:
     return np.where(sizes > limit, np.arange(n) + 1, found).clip(max=n)
 
 
-def plan_batch_groups(requests: DataFrame, prefix: int = 2, limit: int = k.GROUP_BYTES, rows: int = k.BATCH_MAX_REQUESTS) -> DataFrame:
-    """``group_index`` per request: greedy packing in fingerprint order per run.
+TABLE = "run_id string, node bigint, start bigint, before bigint, block_bytes bigint, block_rows bigint, out_bytes bigint, out_rows bigint, opened bigint"
+NUMBERS = ["start", "before", "block_bytes", "block_rows", "out_bytes", "out_rows", "opened"]
+FAN = 8  # blocks joined at once
+
+
+class BlockTable:
+    """What a run of rows makes of the group that is open before it.
 
-    A group closes on the request that would pass the byte or row limit. The packing is sequential, but not the work:
-    fingerprints are hashes, so their first hex digits cut a run into even blocks in order. Each block reports where
-    it would end for every row at which its first own group could start; those small tables are walked per run to find
-    the state each block really starts with; then every block is packed on its own. ``prefix`` digits give 16^prefix
-    blocks per run.
+    Entry i tells, if its first i rows still join that group, how the rows end: bytes and rows of the group then open, and how
+    many groups were begun. There is an entry for every i that the limits allow, so no table has more than a group's rows.
     """
-    keyed = requests.select("run_id", "fingerprint", F.col("bytes").cast("bigint").alias("bytes"), F.substring("fingerprint", 1, prefix).alias("block"))
 
-    def exits(table: pa.Table) -> pa.Table:
-        frame = table.select(["fingerprint", "bytes"]).to_pandas().sort_values("fingerprint")
-        sizes = frame["bytes"].to_numpy(np.int64)
+    def __init__(self, before, block_bytes, block_rows, out_bytes, out_rows, opened):
+        self.before, self.bytes, self.rows = before, int(block_bytes), int(block_rows)
+        self.out_bytes, self.out_rows, self.opened = out_bytes, out_rows, opened
+
+    @classmethod
+    def of_rows(cls, sizes: np.ndarray, limit: int, rows: int) -> BlockTable:
         n, nxt = len(sizes), _next_starts(sizes, limit, rows)
         total = np.concatenate(([0], np.cumsum(sizes)))
-        out_bytes, out_rows, opened = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-        for i in range(n - 1, -1, -1):
-            j = nxt[i]
-            if j < n:
-                out_bytes[i], out_rows[i], opened[i] = out_bytes[j], out_rows[j], opened[j] + 1
-            else:
-                alone = sizes[i] > limit
-                out_bytes[i], out_rows[i], opened[i] = (0, 0, 1) if alone else (total[n] - total[i], n - i, 1)
         last = min(int(np.searchsorted(total[1:], limit, side="right")), rows, n)
-        i = np.arange(last + 1)
-        names = {"start": i, "before": total[i], "block_bytes": np.full(last + 1, total[n]), "block_rows": np.full(last + 1, n),
-                 "out_bytes": out_bytes[i], "out_rows": out_rows[i], "opened": opened[i]}
-        keys = {c: [table.column(c)[0].as_py()] * (last + 1) for c in ("run_id", "block")}
-        return pa.table({**keys, **{c: pa.array(v, pa.int64()) for c, v in names.items()}})
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of one run in order; holds one block's table at a time."""
-        held, held_bytes, held_rows, groups = None, 0, 0, 0
-        result: list[tuple] = []
-
-        def step(frame: pd.DataFrame) -> None:
-            nonlocal held_bytes, held_rows, groups
-            result.append((frame["run_id"].iat[0], frame["block"].iat[0], held_bytes, held_rows, groups))
-            n = int(frame["block_rows"].iat[0])
-            if held_rows == 0:
-                start = 0
-            else:
-                ends = frame["before"].to_numpy()[1:]
-                start = min(int(np.searchsorted(ends, limit - held_bytes, side="right")), rows - held_rows, n)
-            if start >= n:
-                held_bytes, held_rows = held_bytes + int(frame["block_bytes"].iat[0]), held_rows + n
-            else:
-                row = frame.iloc[start]
-                groups += int(row["opened"])
-                held_bytes, held_rows = int(row["out_bytes"]), int(row["out_rows"])
-
-        for batch in batches:
-            frame = batch.to_pandas()
-            frame = frame if held is None else pd.concat([held, frame])
-            last = frame["block"].iat[-1]
-            for _, part in frame[frame["block"] != last].groupby("block", sort=True):
-                step(part)
-            held = frame[frame["block"] == last]
-        if held is not None and len(held):
-            step(held)
-        columns = list(zip(*result))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), *[pa.array(c, pa.int64()) for c in columns[2:]]],
-                                         names=["run_id", "block", "in_bytes", "in_rows", "in_groups"])
+        at = np.arange(last + 1)
+        begin, opened = at.copy(), np.zeros(last + 1, np.int64)
+        while (live := np.flatnonzero(at < n)).size:  # one step a group, for all starts at once
+            begin[live] = at[live]
+            at[live] = nxt[at[live]]
+            opened[live] += 1
+        ends = np.minimum(begin, n - 1)
+        closed = (begin >= n) | (sizes[ends] > limit)
+        return cls(total[:last + 1], total[n], n, np.where(closed, 0, total[n] - total[ends]), np.where(closed, 0, n - ends), opened)
+
+    def after(self, held: np.ndarray, count: np.ndarray, limit: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes and rows of the open group after these rows, and the groups begun, for open groups of ``held`` bytes and ``count`` rows."""
+        start = np.minimum(np.searchsorted(self.before[1:], limit - held, side="right"), np.minimum(rows - count, self.rows))
+        start = np.where(count == 0, 0, start)
+        whole, at = start >= self.rows, np.minimum(start, len(self.before) - 1)
+        return (np.where(whole, held + self.bytes, self.out_bytes[at]), np.where(whole, count + self.rows, self.out_rows[at]), np.where(whole, 0, self.opened[at]))
+
+    def then(self, other: BlockTable, limit: int, rows: int) -> BlockTable:
+        """The table of these rows followed by the other ones."""
+        n = min(len(self.before), self.rows)
+        out_bytes, out_rows, more = other.after(self.out_bytes[:n], self.out_rows[:n], limit, rows)
+        parts = [(self.before[:n], out_bytes, out_rows, self.opened[:n] + more)]
+        if len(self.before) > self.rows:  # all rows may join the group before them, and more of the next
+            fits = (self.bytes + other.before <= limit) & (self.rows + np.arange(len(other.before)) <= rows)
+            parts.append(tuple(x[fits] for x in (self.bytes + other.before, other.out_bytes, other.out_rows, other.opened)))
+        before, out_bytes, out_rows, opened = (np.concatenate(x) for x in zip(*parts))
+        return BlockTable(before, self.bytes + other.bytes, self.rows + other.rows, out_bytes, out_rows, opened)
+
+    def to_arrow(self, run: str, node: int) -> pa.Table:
+        n = len(self.before)
+        columns = (np.arange(n), self.before, np.full(n, self.bytes), np.full(n, self.rows), self.out_bytes, self.out_rows, self.opened)
+        return pa.table({"run_id": pa.array([run] * n), "node": pa.array(np.full(n, node)), **{c: pa.array(v, pa.int64()) for c, v in zip(NUMBERS, columns)}})
+
+    @classmethod
+    def all_in(cls, table: pa.Table) -> Iterator[tuple[int, BlockTable]]:
+        """The tables of one run by node, ascending."""
+        table = table.select(["node", *NUMBERS]).sort_by([("node", "ascending"), ("start", "ascending")])
+        cols = {c: table[c].to_numpy() for c in table.column_names}
+        edges = [0, *(np.flatnonzero(np.diff(cols["node"])) + 1), len(cols["node"])]
+        for lo, hi in zip(edges, edges[1:]):
+            if hi > lo:
+                yield int(cols["node"][lo]), cls(cols["before"][lo:hi], cols["block_bytes"][lo], cols["block_rows"][lo], *(cols[c][lo:hi] for c in ("out_bytes", "out_rows", "opened")))
+
+
+def plan_batch_groups(requests: DataFrame, block_rows: int = 50_000, limit: int = k.GROUP_BYTES, rows: int = k.BATCH_MAX_REQUESTS) -> DataFrame:
+    """``group_index`` per request: greedy packing in fingerprint order per run.
+
+    A group closes on the request that would pass the byte or row limit. The packing is sequential, but not the work: all
+    requests are ordered over tasks in blocks of about ``block_rows``, so a run has as many blocks as its size asks for.
+    Each block tells how it ends for every way the group before it may end (``BlockTable``). Neighbouring tables are joined, eight
+    at a time, until one is left; going down again each block learns the group that is open where it begins, and all blocks
+    are packed at once. No task holds more than a block of rows or eight tables.
+    """
+    keyed = requests.select("run_id", "fingerprint", F.col("bytes").cast("bigint").alias("bytes"))
+    blocks = max(1, -(-keyed.count() // block_rows))
+    keyed = cut(keyed.repartitionByRange(blocks, "run_id", "fingerprint").withColumn("node", F.spark_partition_id().cast("bigint")), "requests")
+
+    def table_of(key: tuple, rows_of: pa.Table) -> pa.Table:
+        sizes = rows_of.sort_by("fingerprint")["bytes"].to_numpy()
+        return BlockTable.of_rows(sizes, limit, rows).to_arrow(key[0].as_py(), key[1].as_py())
+
+    def joined(key: tuple, tables: pa.Table) -> pa.Table:
+        whole = reduce(lambda a, b: a.then(b, limit, rows), (t for _, t in BlockTable.all_in(tables)))
+        return whole.to_arrow(key[0].as_py(), key[1].as_py())
+
+    def walk(key: tuple, states: pa.Table, tables: pa.Table) -> pa.Table:
+        held, count, groups = (int(states[c][0].as_py()) for c in ("in_bytes", "in_rows", "in_groups"))
+        out = []
+        for node, t in BlockTable.all_in(tables):
+            out.append((key[0].as_py(), node, held, count, groups))
+            (held,), (count,), (more,) = t.after(np.array([held]), np.array([count]), limit, rows)
+            held, count, groups = int(held), int(count), groups + int(more)
+        return pa.table({c: pa.array(v, pa.string() if c == "run_id" else pa.int64()) for c, v in zip(("run_id", "node", "in_bytes", "in_rows", "in_groups"), zip(*out))})
 
     def pack(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas().sort_values("fingerprint")
-        sizes, n = frame["bytes"].to_numpy(np.int64), len(frame)
-        held, count, base = (int(frame[c].iat[0]) for c in ("in_bytes", "in_rows", "in_groups"))
+        table = table.sort_by("fingerprint")
+        sizes, n = table["bytes"].to_numpy(), table.num_rows
+        held, count, base = (int(table[c][0].as_py()) for c in ("in_bytes", "in_rows", "in_groups"))
         nxt, at = _next_starts(sizes, limit, rows), 0
         group = np.empty(n, np.int64)
         if count:
@@ -107,24 +138,23 @@ def plan_batch_groups(requests: DataFrame, prefix: int = 2, limit: int = k.GROUP
         while at < n:
             group[at:nxt[at]] = base
             base, at = base + 1, nxt[at]
-        return pa.table({"run_id": frame["run_id"], "fingerprint": frame["fingerprint"], "bytes": sizes, "group_index": group})
-
-    tables = keyed.groupBy("run_id", "block").applyInArrow(
-        exits, "run_id string, block string, start bigint, before bigint, block_bytes bigint, block_rows bigint, out_bytes bigint, out_rows bigint, opened bigint")
-    starts = (tables.repartition("run_id").sortWithinPartitions("run_id", "block", "start").groupBy("run_id")
-              .applyInArrow(_ordered(walk), "run_id string, block string, in_bytes bigint, in_rows bigint, in_groups bigint"))
-    return keyed.join(starts, ["run_id", "block"]).groupBy("run_id", "block").applyInArrow(
+        return pa.table({"run_id": table["run_id"], "fingerprint": table["fingerprint"], "bytes": sizes, "group_index": group})
+
+    above = F.floor(F.col("node") / FAN).cast("bigint")
+    levels, width = [cut(keyed.groupBy("run_id", "node").applyInArrow(table_of, TABLE), "block-tables")], blocks
+    while width > FAN:
+        levels.append(cut(levels[-1].groupBy("run_id", above.alias("parent")).applyInArrow(joined, TABLE), "block-tables"))
+        width = -(-width // FAN)
+    zero = F.lit(0).cast("bigint")
+    states = keyed.select("run_id").distinct().select("run_id", zero.alias("node"), zero.alias("in_bytes"), zero.alias("in_rows"), zero.alias("in_groups"))
+    for tables in reversed(levels):
+        by_parent = tables.withColumn("parent", above).groupBy("run_id", "parent")
+        states = states.withColumnRenamed("node", "parent").groupBy("run_id", "parent").cogroup(by_parent).applyInArrow(
+            walk, "run_id string, node bigint, in_bytes bigint, in_rows bigint, in_groups bigint")
+    return keyed.join(states, ["run_id", "node"]).groupBy("run_id", "node").applyInArrow(
         pack, "run_id string, fingerprint string, bytes bigint, group_index bigint")
 
 
-def _ordered(walk):
-    """Iterator form of a grouped function over rows sorted by block and start."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from walk(batches)
-    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return run
-
-
 def group_summary(planned: DataFrame) -> DataFrame:
     return planned.groupBy("run_id", "group_index").agg(F.count(F.lit(1)).alias("requests"), F.sum("bytes").alias("bytes"),
                                                         F.min("fingerprint").alias("first_fingerprint"), F.max("fingerprint").alias("last_fingerprint"))

@@ -101,7 +101,7 @@ with recursive r as (select run_id, fingerprint, bytes, row_number() over (parti
    case when w.closed or w.held + r.bytes > 8388608 then w.group_index + 1 else w.group_index end, r.bytes > 8388608, r.bytes from w join r on r.run_id = w.run_id and r.n = w.n + 1)
 select run_id, fingerprint, bytes, group_index from w""")
 def _(t: Inputs) -> DataFrame:
-    return batching.plan_batch_groups(t.view("v_requests"), prefix=1)
+    return batching.plan_batch_groups(t.view("v_requests"), block_rows=1_000)
 
 
 @query("group_findings", """

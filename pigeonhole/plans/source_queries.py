@@ -19,14 +19,16 @@ def _(t: Inputs) -> DataFrame:
     return t.table("documents").select("doc_id", F.sha2("text", 256).alias("fingerprint"))
 
 
+# Files hold about a thousand document ids each, so their number grows with the table; those of one source are read in pieces.
 @query("scan_source_folder", """
-select concat('source=', source, '/lang=', lang) as folder, SHA(concat(string_agg(text, chr(10) order by doc_id), chr(10))) as fingerprint, sum(octet_length(encode(text)) + 1) as length from documents group by source, lang""")
+select concat('source=', source, '/lang=', lang, '/part=', cast(doc_id // 1024 as varchar)) as folder, SHA(concat(string_agg(text, chr(10) order by doc_id), chr(10))) as fingerprint,
+  sum(octet_length(encode(text)) + 1) as length from documents group by source, lang, doc_id // 1024""")
 def _(t: Inputs) -> DataFrame:
     folder = new_folder(t.spark, "scan")
-    docs = t.table("documents").select("source", "lang", "doc_id", F.col("text").alias("value"))
-    (docs.repartition("source", "lang").sortWithinPartitions("source", "lang", "doc_id").drop("doc_id")
-     .write.partitionBy("source", "lang").option("lineSep", "\n").text(folder))
-    found = files.scan_source_folder(t.spark, folder).filter(F.col("path").contains("part-"))
+    docs = t.table("documents").select("source", "lang", F.expr("doc_id div 1024").alias("part"), "doc_id", F.col("text").alias("value"))
+    (docs.repartition("source", "lang", "part").sortWithinPartitions("source", "lang", "part", "doc_id").drop("doc_id")
+     .write.partitionBy("source", "lang", "part").option("lineSep", "\n").text(folder))
+    found = files.scan_source_folder(t.spark, folder, large=50_000).filter(F.col("path").contains("part-"))
     return found.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "fingerprint", "length")
 
 
@@ -139,17 +141,26 @@ def _(t: Inputs) -> DataFrame:
 SIZES = "select i.run_id, i.fingerprint, 1 + d.n_chars * 20 as bytes from v_ids i join documents d on d.doc_id = i.doc_id"
 
 
+# Bodies as a vendor would keep them: blanks, number forms and a repeated key that no JSON writer would repeat.
+BODIES = """select i.fingerprint, concat('{ "model" :"m", "n":1.0e2, "input":"', translate(d.text, concat('"', chr(92), chr(10), chr(9), chr(13)), '     '), '" ,"n":', d.n_chars, ' }') as body
+ from v_ids i join documents d on d.doc_id = i.doc_id"""
+
+
 @query("write_batch_input", f"""
 with recursive r as (select s.*, row_number() over (partition by run_id order by fingerprint) as n from ({SIZES}) s),
  w as (select run_id, fingerprint, n, bytes as held, cast(0 as bigint) as g from r where n = 1
-  union all select r.run_id, r.fingerprint, r.n, case when w.held + r.bytes > 8388608 then r.bytes else w.held + r.bytes end, case when w.held + r.bytes > 8388608 then w.g + 1 else w.g end from w join r on r.run_id = w.run_id and r.n = w.n + 1)
-select run_id, g as group_index, count(*) as lines, min(concat('{{"custom_id":"', fingerprint, '","method":"POST","url":"/v1/responses","body":{{"n":1}}}}')) as first_line from w group by run_id, g""")
+  union all select r.run_id, r.fingerprint, r.n, case when w.held + r.bytes > 8388608 then r.bytes else w.held + r.bytes end, case when w.held + r.bytes > 8388608 then w.g + 1 else w.g end from w join r on r.run_id = w.run_id and r.n = w.n + 1),
+ l as (select run_id, g, concat('{{"custom_id":"', w.fingerprint, '","method":"POST","url":"/v1/responses","body":', body, '}}') as line from w join ({BODIES}) b on b.fingerprint = w.fingerprint)
+select run_id, g as group_index, count(*) as lines, min(line) as first_line, sum(octet_length(encode(line))) as bytes, cast(sum(cast(concat('0x', substr(SHA(line), 1, 8)) as bigint)) as bigint) as checksum from l group by run_id, g""")
 def _(t: Inputs) -> DataFrame:
     folder = new_folder(t.spark, "batch-input")
-    planned = batching.plan_batch_groups(t.sql(SIZES), prefix=1)
-    batches.write_batch_input(planned.select("run_id", "group_index", F.col("fingerprint").alias("custom_id"), F.lit('{"n":1}').alias("body")), folder)
-    back = t.spark.read.text(folder)
-    return back.groupBy("run_id", F.col("group_index").cast("bigint").alias("group_index")).agg(F.count(F.lit(1)).alias("lines"), F.min("value").alias("first_line"))
+    planned = batching.plan_batch_groups(t.sql(SIZES), block_rows=1_000)
+    bodies = t.sql(BODIES)
+    batches.write_batch_input(planned.join(bodies, "fingerprint").select("run_id", "group_index", F.col("fingerprint").alias("custom_id"), "body"), folder)
+    back = t.spark.read.option("lineSep", "\n").text(folder)
+    checksum = F.conv(F.substring(F.sha2("value", 256), 1, 8), 16, 10).cast("bigint")
+    return back.groupBy("run_id", F.col("group_index").cast("bigint").alias("group_index")).agg(
+        F.count(F.lit(1)).alias("lines"), F.min("value").alias("first_line"), F.sum(F.octet_length("value")).alias("bytes"), F.sum(checksum).alias("checksum"))
 
 
 @query("read_batch_results", f"""with k as (select concat('p', substr(o_orderpriority, 1, 1)) as batch_id, {rq.LINE_KIND} as kind from orders)

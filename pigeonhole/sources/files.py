@@ -2,23 +2,58 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pigeonhole import constants as k
 
+LARGE, PIECE = 1 << 28, 1 << 23  # bytes from which a file is read in pieces, and of a piece
+
 # How a generated tree is recognised.
 UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 SUMMARY_NAME = rf"(?i)^build-summary-{UUID}\.md\z"
 SUMMARY_HEADER = rf"(?i)^# Local build summary\n\nRun: ({UUID})(?:\n|\z)"
 
 
-def scan_source_folder(spark: SparkSession, path: str) -> DataFrame:
+def scan_source_folder(spark: SparkSession, path: str, large: int = LARGE) -> DataFrame:
     """Every file below ``path``: relative path, content hash, length, content. Unused columns cost nothing; the bytes
-    are read only when the hash or the content is asked for."""
+    are read only when the hash or the content is asked for.
+
+    A file of more than ``large`` bytes is never a value: its content is null and it is hashed in pieces. Spark's listing
+    leaves empty files out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = F.lit(path.rstrip("/").removeprefix("file:") + "/")
-    place = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    return files.select(F.replace(place, root, F.lit("")).alias("path"), F.sha2("content", 256).alias("fingerprint"), "length", "content")
+    place = F.replace(F.regexp_replace(F.col("path"), "^file:/+", "/"), root, F.lit("")).alias("path")
+    whole = files.filter(F.col("length") <= large).select(place, F.sha2("content", 256).alias("fingerprint"), "length", "content")
+    pieces = hash_in_pieces(files.filter(F.col("length") > large).select("path", "length"))
+    return whole.unionByName(pieces.select(place, "fingerprint", "length", F.lit(None).cast("binary").alias("content")))
+
+
+def hash_in_pieces(files: DataFrame) -> DataFrame:
+    """Adds the content hash of files named by ``path`` (with its scheme): a task reads one file at a time, a piece at a time."""
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            hashes = []
+            for name in batch["path"].to_pylist():
+                local = name.startswith("/") or name.startswith("file:")
+                store, at = (fs.LocalFileSystem(), re.sub("^file:/*", "/", name)) if local else fs.FileSystem.from_uri(name)
+                digest = hashlib.sha256()
+                with store.open_input_stream(at) as stream:
+                    while piece := stream.read(PIECE):
+                        digest.update(piece)
+                hashes.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.string())], [*batch.schema.names, "fingerprint"])
+
+    dealt = files.repartition("path").sortWithinPartitions(F.desc("length"))  # each large file is a task's work of its own
+    return dealt.mapInArrow(convert, StructType([*files.schema.fields, StructField("fingerprint", StringType())]))
 
 
 def filename(path: Column) -> Column:

@@ -1,9 +1,13 @@
 """Operators with carried state or search against small independent Python models."""
 
+import functools
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pigeonhole.operators import batching, corrections, ledger, outline, proposals, states
@@ -21,18 +25,53 @@ def greedy(rows, limit, most):
     return groups
 
 
-@pytest.mark.parametrize("seed,most,prefix", [(1, 1000, 1), (2, 3, 1), (3, 5, 2), (4, 40, 2), (5, 1000, 2)])
-def test_batch_groups(spark, seed, most, prefix):
+@pytest.mark.parametrize("seed,most,block", [(1, 1000, 50), (2, 3, 20), (3, 5, 10), (4, 40, 9), (5, 1000, 5000)])
+def test_batch_groups(spark, seed, most, block):
     rng, limit = random.Random(seed), 100
     rows, want = [], {}
     for run in ("a", "b", "c"):
         part = [(hashlib.sha256(f"{seed}{run}{i}".encode()).hexdigest(), rng.choice([1, 5, 20, 60, 99, 100, 101, 250])) for i in range(rng.randrange(1, 400))]
         rows += [(run, fp, size) for fp, size in part]
         want.update({(run, fp): g for fp, g in greedy(part, limit, most).items()})
-    out = batching.plan_batch_groups(spark.createDataFrame(rows, "run_id string, fingerprint string, bytes bigint"), prefix, limit, most).collect()
+    out = batching.plan_batch_groups(spark.createDataFrame(rows, "run_id string, fingerprint string, bytes bigint"), block, limit, most).collect()
     assert {(r.run_id, r.fingerprint): r.group_index for r in out} == want
 
 
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.lists(st.sampled_from([1, 5, 20, 60, 99, 100, 101, 250]), min_size=1, max_size=12), min_size=1, max_size=6), st.integers(1, 9), st.integers(0, 100), st.integers(0, 9))
+def test_block_tables_join_like_one_block(blocks, most, held, count):
+    whole = batching.BlockTable.of_rows(np.array(sum(blocks, [])), 100, most)
+    joined = functools.reduce(lambda a, b: a.then(b, 100, most), (batching.BlockTable.of_rows(np.array(b), 100, most) for b in blocks))
+    for name in ("before", "bytes", "rows", "out_bytes", "out_rows", "opened"):
+        assert np.array_equal(getattr(whole, name), getattr(joined, name)), name
+    if count <= most and (count or not held):
+        one = [int(x[0]) for x in whole.after(np.array([held]), np.array([count]), 100, most)]
+        want_held, want_count, opened = held, count, 0
+        for size in sum(blocks, []):
+            if want_count == 0 or want_held + size > 100 or want_count >= most:
+                want_held, want_count, opened = 0, 0, opened + 1
+            want_held, want_count = (0, 0) if size > 100 else (want_held + size, want_count + 1)
+        assert one == [want_held, want_count, opened]
+
+
+def test_a_run_of_a_million_requests(spark):
+    """Many blocks in two levels of tables, none larger than its share; as the sequential packing has it."""
+    n = 1_000_000
+    rows = spark.range(n).selectExpr("if(id % 50 = 7, 'small', 'hot') as run_id", "sha2(cast(id as string), 256) as fingerprint", "1 + id * 7919 % 400000 as bytes")
+    out = batching.plan_batch_groups(rows, block_rows=20_000)
+    got = out.groupBy("run_id", "group_index").agg(F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("first")).toPandas()
+    for run, part in rows.toPandas().groupby("run_id"):
+        part = part.sort_values("fingerprint")
+        firsts, held = [], 1 << 60
+        for fp, size in zip(part["fingerprint"].tolist(), part["bytes"].tolist()):
+            if held + size > 8 << 20:
+                firsts.append(fp)
+                held = 0
+            held += size
+        mine = got[got.run_id == run].sort_values("group_index")
+        assert mine["first"].tolist() == firsts and mine["group_index"].tolist() == list(range(len(firsts))) and mine["n"].sum() == len(part)
+
+
 def nested(spark, docs):
     schema = ("id int, full_text string, title string, headings array<struct<id:string,text:string,level:int,position:bigint>>, tables array<struct<position:bigint,headers:array<string>>>, "
               "blocks array<struct<headingId:string,position:bigint,text:string>>, vocabulary array<string>, budget int")

@@ -90,3 +90,22 @@ def test_bucketed_tables_join_without_shuffle(spark):
         assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_large_files_are_hashed_in_pieces(spark, tmp_path):
+    """A sparse file beyond what one value can hold, and the same hash for either way of reading."""
+    import hashlib
+
+    size = (3 << 30) + 5
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.seek(size - 3)
+        f.write(b"end")
+    (tmp_path / "a b%.txt").write_bytes(b"x" * 1000)
+    digest, zeros = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(3 << 10):
+        digest.update(zeros)
+    digest.update(b"\0\0end")
+    found = {r.path: (r.length, r.fingerprint) for r in files.scan_source_folder(spark, str(tmp_path)).select("path", "length", "fingerprint").collect()}
+    assert found["large.bin"] == (size, digest.hexdigest())
+    pieces = {r.path: r.fingerprint for r in files.scan_source_folder(spark, str(tmp_path), large=10).filter("length < 2000").select("path", "fingerprint").collect()}
+    assert {p: f for p, (n, f) in found.items() if n < 2000} == pieces
