@@ -1,3 +1,5 @@
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,10 +16,46 @@ def test_append_is_create_only(spark):
         ledger.append_immutable(rows("b", "c"), f"{folder}/t", ["key"])
     with pytest.raises(BlockerError):
         ledger.append_immutable(rows("d", "d"), f"{folder}/t", ["key"])
-    assert sorted(r.key for r in spark.read.parquet(f"{folder}/t").collect()) == ["a", "b"]
+    assert sorted(r.key for r in ledger.read_committed(spark, f"{folder}/t").collect()) == ["a", "b"]
     assert {r.state for r in ledger.artifact_states(spark.read.parquet(f"{folder}/receipts"), ["key"]).collect()} == {"complete"}
 
 
+def test_of_two_writers_of_one_key_one_fails_without_a_trace(spark, monkeypatch):
+    path = new_folder(spark, "append")
+    rows = lambda *ids: spark.createDataFrame([("r", i) for i in ids], "run_id string, key string")
+    real, others = ledger.commit, [("b", "x"), ("d",)]
+
+    def late(spark, place, number, entry):
+        if others:  # both writers have passed the first test and written; the other one commits first
+            ids = others.pop(0)
+            monkeypatch.setattr(ledger, "commit", real)
+            ledger.append_immutable(rows(*ids), place, ["key"])
+            monkeypatch.setattr(ledger, "commit", late)
+        return real(spark, place, number, entry)
+
+    monkeypatch.setattr(ledger, "commit", late)
+    with pytest.raises(BlockerError):
+        ledger.append_immutable(rows("a", "b"), path, ["key"])
+    ledger.append_immutable(rows("e"), path, ["key"])  # the other writer's key is another one: the next number is taken
+    assert sorted(r.key for r in ledger.read_committed(spark, path).collect()) == ["b", "d", "e", "x"]
+    assert [int(c.number) for c in ledger.commits(spark, path)] == [0, 1, 2]
+    assert len(glob.glob(f"{path}/appends/*")) == 3  # what was refused is gone
+
+
+def test_an_append_opens_only_what_may_hold_its_keys(spark, monkeypatch):
+    path, opened = new_folder(spark, "append"), []
+    rows = lambda lo, hi: spark.range(lo, hi).selectExpr("'r' as run_id", "lpad(id, 4, '0') as key")
+    for lo in range(0, 500, 100):
+        ledger.append_immutable(rows(lo, lo + 100), path, ["run_id", "key"])
+    real = ledger.read_appends
+    monkeypatch.setattr(ledger, "read_appends", lambda *a: opened.append([c.number for c in a[2]]) or real(*a))
+    ledger.append_immutable(rows(900, 950), path, ["run_id", "key"])
+    assert opened == []
+    with pytest.raises(BlockerError):
+        ledger.append_immutable(rows(299, 300), path, ["run_id", "key"])
+    assert opened == [["00000002"]]
+
+
 def test_manifest_is_written_once(spark):
     folder = new_folder(spark, "manifest")
     entries = spark.createDataFrame([("r", "t")], "run_id string, tag string")
