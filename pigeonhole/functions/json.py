@@ -16,18 +16,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+END = "\ue000end"  # closes the list a text is parsed in
+
+
 def parse(c: Column) -> Column:
     """Variant value, null for malformed text.
 
-    The parser alone ignores what follows the first value. Inside brackets trailing text is either an error or a second
-    element, unless it closes the bracket itself; inside braces it then is an error, because a bracket can't close a brace.
-    The two tests together accept one whole value only; the second is left out where no bracket occurs.
+    The parser alone ignores what follows the first value. So a text is parsed as the first of two elements, the second being
+    a mark that the text doesn't hold: the mark stands second only where the text is one whole value. A text that does hold
+    it is tested inside brackets and inside braces instead, as no trailing text can close both.
     """
-    def whole(a: Column) -> Column:
-        one = F.try_variant_get(a, "$[1]", "variant").isNull()
-        inside = ~F.contains(c, F.lit("]")) | F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}"))).isNotNull()
-        return F.when(one & inside, F.try_variant_get(a, "$[0]", "variant"))
-    return let(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), whole)
+    element = lambda a, i: F.try_variant_get(a, f"$[{i}]", "variant")
+
+    def marked(t: Column) -> Column:
+        return let(F.try_parse_json(F.concat(F.lit("["), t, F.lit(f',"{END}"]'))),
+                   lambda a: F.when((F.try_variant_get(a, "$[1]", "string") == END) & element(a, 2).isNull(), element(a, 0)))
+
+    def twice(t: Column) -> Column:
+        inside = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}"))).isNotNull()
+        return let(F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))), lambda a: F.when(element(a, 1).isNull() & inside, element(a, 0)))
+
+    return let(c, lambda t: F.when(F.contains(t, F.lit(END)), twice(t)).otherwise(marked(t)))
 
 
 def json_token(v: Column, path: str) -> Column:
@@ -66,7 +75,7 @@ def is_null(v: Column, path: str = "$") -> Column:
 
 def keys(v: Column, path: str = "$") -> Column:
     """Distinct keys of the object at ``path`` (null for anything else)."""
-    return F.array_distinct(F.json_object_keys(json_token(v, path)))
+    return F.map_keys(F.try_variant_get(v, path, "map<string,variant>"))
 
 
 def exact_keys(v: Column, names: Column, path: str = "$") -> Column:

@@ -144,7 +144,8 @@ def test_summaries_join_in_any_grouping(spark, outcomes, cut):
 
 def test_json_is_one_whole_value(spark):
     good = ['{"a":1}', "[1,2]", "1", '"x"', "null", ' {"a":1} ']
-    bad = ['{"a":1}],[garbage', '{"a":1}] trailing', "1,2", '{"a":1},"w":2', '{"a":1}}', '{"a":1} x', "", '{"a":1},{"b":2}', '{"a":1}],"q":[2', "[1]],[[1]"]
+    good += ['["\ue000end"]', '{"\ue000end":["\ue000end"]}', '"]"', '"a, \\"b\\""']
+    bad = ['1,"\ue000end"', '1,"\ue000end"],[2', '{"a":1},"\ue000end"', '[1],"\ue000end"]', '1,"\\ue000end"', '"a"b', '1 //', '[1,]', '{"a":1],"b":[2}', "01", "+1", "NaN", "'a'", '{a:1}', '1,"\ue000', '{"a":1}],[garbage', '{"a":1}] trailing', "1,2", '{"a":1},"w":2', '{"a":1}}', '{"a":1} x', "", '{"a":1},{"b":2}', '{"a":1}],"q":[2', "[1]],[[1]"]
     rows = spark.createDataFrame([(t,) for t in good + bad], "t string").select("t", j.parse(F.col("t")).isNotNull().alias("ok")).collect()
     assert {r.t for r in rows if r.ok} == set(good)
 
