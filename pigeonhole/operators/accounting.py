@@ -66,6 +66,15 @@ def charge_once(charged: DataFrame) -> DataFrame:
             .select("accounting_id", "c.*", "lines"))
 
 
+def charge_first(staged: DataFrame, rate: Column) -> DataFrame:
+    """``charge_once`` of staged lines that are not priced yet: the first line of each id is chosen by its place, and only
+    those are read and priced."""
+    rest = [c for c in staged.columns if c != "accounting_id"]
+    first = (staged.groupBy("accounting_id").agg(F.min_by(F.struct(*rest), F.struct("file_id", "line_number")).alias("c"), F.count(F.lit(1)).alias("lines"))
+             .select("accounting_id", "c.*", "lines"))
+    return staged_charges(first, rate).select("accounting_id", "run_id", "disposition", "cost_nano", "usage_code", "file_id", "line_number", "lines")
+
+
 def mark_charged(staged: DataFrame, charges: DataFrame) -> DataFrame:
     """All lines, flagged when they carry the charge. The join key includes the line, so no id is hot."""
     won = charges.select("accounting_id", "file_id", "line_number", F.lit(True).alias("_won"), F.col("cost_nano").alias("_cost"))

@@ -40,11 +40,10 @@ def recovery_progress(recoveries: DataFrame, recovery_documents: DataFrame) -> D
                     F.coalesce("pending", F.lit(0)).alias("pending")))
 
 
-def stop_reason(runs: DataFrame, events: DataFrame, recoveries: DataFrame, calls: DataFrame,
-                raw_responses: DataFrame | None = None) -> DataFrame:
+def stop_reason(runs: DataFrame, events: DataFrame, recoveries: DataFrame, calls: DataFrame) -> DataFrame:
     """Why each halted run stopped: its first halt at or after the latest recovery, else the stored reason.
 
-    Spend codes name the first call of unknown cost. ``raw_responses`` (attempt_id, raw) adds the oversize diagnosis.
+    Spend codes name the first call of unknown cost; ``stop_diagnosis`` says more about it.
     """
     since = recoveries.groupBy("run_id").agg(F.max("created_at").alias("_since"))
     halted = runs.filter("status = 'halted'").select("run_id", "halt_json")
@@ -55,18 +54,39 @@ def stop_reason(runs: DataFrame, events: DataFrame, recoveries: DataFrame, calls
                .agg(F.min_by(F.struct("attempt_id", "role", "status"), F.struct("created_at", "attempt_id")).alias("_c")))
     details = F.coalesce(F.col("_h.details_json"), F.col("halt_json"), F.lit("{}"))
     spend = F.col("code").isin("E_SPEND_UNACCOUNTED", "E_RAW_PERSIST")
-    rows = (halted.join(first, "run_id", "left").join(unknown, "run_id", "left")
+    return (halted.join(first, "run_id", "left").join(unknown, "run_id", "left")
             .withColumn("code", F.coalesce(F.get_json_object(details, "$.code"), F.lit("E_RUN_HALTED")))
             .select("run_id", "code", F.get_json_object(details, "$.message").alias("message"),
                     F.col("_h.created_at").alias("first_observed"),
                     F.when(spend, F.col("_c.attempt_id")).alias("attempt_id"), F.when(spend, F.col("_c.role")).alias("role"),
                     F.when(spend, F.col("_c.status")).alias("http_status")))
-    if raw_responses is None:
-        return rows
-    oversize = raw_responses.select("attempt_id", (F.try_variant_get(parse(F.col("raw")), "$.error_type", "string")
-                                                   == "max_tokens_exceeded").alias("_big"))
-    return (rows.join(oversize, "attempt_id", "left").withColumn("oversize", F.coalesce(
-        F.col("_big") & (F.col("role") == k.CONFIDENCE) & (F.col("http_status") == 400), F.lit(False))).drop("_big"))
+
+
+def stop_diagnosis(stopped: DataFrame, calls: DataFrame, docs: DataFrame, raw_responses: DataFrame) -> DataFrame:
+    """Adds what is known about the named call: ``document, retained, oversize, headline, finding_code``.
+
+    ``calls``: attempt_id, fingerprint, raw_key. ``docs``: run_id, fingerprint, original_filename. ``raw_responses``: raw_key,
+    envelope_status, raw. A stored response is only looked at where it can tell something: whether the answer to a call that could not be
+    kept was kept after all (its status must agree), and whether a refused confidence call was too large. A key outside
+    the document's own folder is ``E_ARTIFACT_SCOPE``, a key without a stored value ``E_ARTIFACT_INVALID``. ``headline`` names the
+    text that a pack shows: the reset of the runtime, the retained response, the size, or the general one.
+    """
+    named = (stopped.join(calls.select("attempt_id", "fingerprint", "raw_key"), "attempt_id", "left")
+             .join(docs.select("run_id", "fingerprint", F.col("original_filename").alias("document")), ["run_id", "fingerprint"], "left")
+             .join(raw_responses.select("raw_key", "envelope_status", "raw", F.lit(True).alias("_stored")), "raw_key", "left"))
+    persist = (F.col("code") == "E_RAW_PERSIST") & F.col("attempt_id").isNotNull()
+    refused = F.coalesce((F.col("role") == k.CONFIDENCE) & (F.col("http_status") == 400), F.lit(False))
+    own = F.startswith("raw_key", F.concat_ws("/", "run_id", "fingerprint", F.lit("raw/")))
+    code = F.when(persist | refused, F.when(~F.coalesce(own, F.lit(False)), "E_ARTIFACT_SCOPE").when(F.col("_stored").isNull(), "E_ARTIFACT_INVALID"))
+    found = named.withColumn("finding_code", code)
+    good = F.col("finding_code").isNull()
+    too_large = F.coalesce(F.try_variant_get(parse(F.col("raw")), "$.error_type", "string") == "max_tokens_exceeded", F.lit(False))
+    found = found.withColumns({
+        "retained": good & persist & F.col("envelope_status").eqNullSafe(F.col("http_status")) & F.col("raw").isNotNull(),
+        "oversize": F.when(good & refused, too_large).otherwise(F.lit(False))})
+    reset = (F.col("code") == "E_INTERNAL") & F.coalesce(F.col("message").isin(LIFECYCLE_MESSAGES), F.lit(False))
+    headline = F.when(F.col("oversize"), "size_unknown_usage").when(F.col("retained"), "retained_response").when(reset, "runtime_reset").otherwise("halted")
+    return found.select(*stopped.columns, "document", "retained", "oversize", headline.alias("headline"), "finding_code")
 
 
 # Halt codes and messages that mean infrastructure stopped the run.

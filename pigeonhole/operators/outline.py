@@ -33,15 +33,14 @@ def split_lines(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
 def verify_recovered_headings(docs: DataFrame, candidates: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Each candidate with every position where it is a whole line; ``reason`` is set when it is none.
 
-    ``candidates``: keys, candidate_index, candidate. A document's candidates travel as one array, so the text is
-    matched inside its row and only the answers are exploded.
+    ``candidates``: keys, candidate_index, candidate. Lines and candidates meet by equality, so a document with many of both
+    costs their sum and not their product.
     """
-    asked = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("candidate_index", "candidate"))).alias("_c"))
-    answers = let(line_array(F.col(text)), lambda lines: F.transform("_c", lambda c: F.struct(
-        c["candidate_index"].alias("candidate_index"), c["candidate"].alias("candidate"),
-        F.transform(F.filter(lines, lambda l: l["line"] == c["candidate"]), lambda l: l["position"]).alias("positions"))))
-    rows = docs.select(*keys, text).join(asked, keys).select(*keys, F.inline(answers))
-    return rows.withColumn("reason", F.when(F.size("positions") == 0, "not_an_exact_line"))
+    lines = docs.select(*keys, F.inline(line_array(F.col(text)))).select(*keys, F.col("line").alias("candidate"), "position")
+    asked = candidates.select(*keys, "candidate_index", "candidate").join(docs.select(*keys), keys, "left_semi")
+    found = (asked.join(lines, [*keys, "candidate"], "left").groupBy(*keys, "candidate_index", "candidate")
+             .agg(F.array_sort(F.collect_list("position")).alias("positions")))
+    return found.withColumn("reason", F.when(F.size("positions") == 0, "not_an_exact_line"))
 
 
 def merge_recovered_headings(headings: DataFrame, verified: DataFrame, keys: list[str]) -> DataFrame:

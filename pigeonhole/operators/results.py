@@ -110,8 +110,8 @@ def finalize_runs(runs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def run_summary(runs: DataFrame, docs: DataFrame, calls: DataFrame, batches: DataFrame, events: DataFrame,
                 checkpoints: DataFrame) -> DataFrame:
-    """Newest first: progress, spend by provider, unknown and pending accounting. Every input is reduced to one
-    row per run (map-side first) before the joins."""
+    """Progress, spend by provider, unknown and pending accounting, one row per run in no order (``newest_runs`` picks a page).
+    Every input is reduced to one row per run (map-side first) before the joins."""
     return (runs.join(completed_counts(docs), "run_id", "left")
             .join(budgets.vendor_spend(calls), "run_id", "left")
             .join(accounting.unaccounted_calls(calls), "run_id", "left")
@@ -122,8 +122,12 @@ def run_summary(runs: DataFrame, docs: DataFrame, calls: DataFrame, batches: Dat
                     money_text(F.coalesce("openai", F.lit(0))).alias("openai"),
                     money_text(F.coalesce("typesafe", F.lit(0))).alias("typesafe"),
                     F.coalesce("unaccounted", F.lit(0)).alias("unaccounted"),
-                    F.coalesce("pending", F.lit(0)).alias("pending"), "text_held", "mode")
-            .orderBy(F.desc("created_at"), "run_id"))
+                    F.coalesce("pending", F.lit(0)).alias("pending"), "text_held", "mode"))
+
+
+def newest_runs(summary: DataFrame, limit: int) -> DataFrame:
+    """The newest runs first; each task keeps ``limit`` of its own, so no sort spans all runs."""
+    return summary.orderBy(F.desc("created_at"), "run_id").limit(limit)
 
 
 def document_evidence(docs: DataFrame, confidence: DataFrame, reader: DataFrame) -> DataFrame:

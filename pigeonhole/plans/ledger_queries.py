@@ -157,6 +157,26 @@ def _(t: Inputs) -> DataFrame:
                                                          F.col("finding.detail").alias("detail"))
 
 
+# Records of today's form beside the legacy ones: every third request has a version of its own.
+MIXED = f"""select l.request_id, case when l.request_id % 3 = 0 then 2 end as version, l.status, l.ceiling, l.project_limit, l.legacy_limit, l.override,
+  case when l.request_id % 3 = 0 then case l.request_id % 5 when 0 then 'unlimited' when 1 then 'other' else 'limited' end end as mode,
+  case when l.request_id % 3 = 0 and l.request_id % 5 > 1 then case when l.request_id % 7 = 0 then '0' when l.request_id % 7 = 1 then '1.5' else '500' end end as limit_blended,
+  case when l.request_id % 3 = 0 and l.request_id % 7 = 2 then '40' end as limit_openai, l.limit_typesafe, case when l.request_id % 3 = 0 then l.request_id % 5 = 0 end as acknowledged,
+  case when l.request_id % 13 = 0 then ' ' else l.actor end as actor, case when l.request_id % 17 = 0 then 'yesterday' else l.decided_at end as decided_at from ({LEGACY}) l"""
+
+
+@query("read_run_budget_versions", f"""with q as ({MIXED}), d as (select *, version is null as legacy from q),
+ m as (select d.*, case when legacy then case when override then 'unlimited' else 'limited' end else mode end as budget_mode, case when legacy then legacy_limit else limit_blended end as lb,
+   case when not legacy then limit_openai end as lo, case when legacy then override else acknowledged end as ack from d)
+select request_id, coalesce(version, 0) as version, budget_mode, lb as limit_blended, lo as limit_openai, ack as acknowledged,
+ case when legacy and status <> 'allowed' then 'the legacy record did not authorise the run' when legacy and not override and legacy_limit <> project_limit then 'the legacy limit is inconsistent'
+  when coalesce(lb, '1') = '1.5' then 'amounts must be nonnegative integers' when not legacy and coalesce(lb, '1') = '0' then 'a limit must be above zero' when budget_mode = 'other' then 'choose limited or unlimited'
+  when budget_mode = 'limited' and (coalesce(lb, lo) is null or ack) then 'limited needs a limit and no acknowledgement' when budget_mode = 'unlimited' and (coalesce(lb, lo) is not null or not ack) then 'unlimited needs no limit and an acknowledgement'
+  when trim(actor) = '' or decided_at = 'yesterday' then 'a person and a time are required' end as detail from m""")
+def _(t: Inputs) -> DataFrame:
+    return budgets.read_run_budget(t.sql(MIXED)).select("request_id", "version", "budget_mode", "limit_blended", "limit_openai", "acknowledged", F.col("finding.detail").alias("detail"))
+
+
 @query("ceiling_budget", """
 with q as (select o_orderkey as request_id, o_custkey, o_orderkey % 10 = 0 as override, o_orderkey % 2000 as actual from orders),
  s as (select q.*, case when override or o_custkey <= 900 then 'allowed' else 'refused' end as status from q)
@@ -205,7 +225,7 @@ STAGED_SQL = f"""with s as ({STAGED}), d as (select s.*, case when body like '%"
 
 @query("charge_once", f"{STAGED_SQL} select accounting_id, run_id, disposition, cost_nano, file_id, line_number, lines from f where n = 1")
 def _(t: Inputs) -> DataFrame:
-    return accounting.charge_once(accounting.staged_charges(t.sql(STAGED), costs.rates(**RATE))).drop("usage_code")
+    return accounting.charge_first(t.sql(STAGED), costs.rates(**RATE)).drop("usage_code")
 
 
 @query("mark_charged", f"{STAGED_SQL} select accounting_id, file_id, line_number, n = 1 and cost_nano is not null as charged from f")
@@ -274,6 +294,36 @@ def _(t: Inputs) -> DataFrame:
     return ledger.stop_reason(t.view("v_runs"), t.view("v_events"), t.view("v_recoveries"), t.view("v_ledger"))
 
 
+# What the calls of halted runs left behind: every third run could not keep a response, keys and stored values vary by event.
+STOP_CALLS = """select l.*, concat(case when event_id % 5 = 0 then 'other' else l.run_id end, '/', l.fingerprint, '/raw/', l.attempt_id) as raw_key from v_ledger l"""
+STOP_RAW = """select raw_key, case when event_id % 4 = 0 then 999 else status end as envelope_status,
+  case event_id % 3 when 0 then '{"error_type":"max_tokens_exceeded"}' when 1 then '{"error_type":"max_tokens_exceeded"} and more' end as raw
+  from (STOP_CALLS) c where event_id % 11 <> 0""".replace("STOP_CALLS", STOP_CALLS)
+
+
+@query("stop_diagnosis", f"""
+with c as (select *, row_number() over (partition by run_id order by created_at, attempt_id) as n from ({STOP_CALLS}) x where role <> 'batch_metadata' and cost_nano is null),
+ s as (select r.run_id, case when r.user_id % 3 = 0 then 'E_INTERNAL' when r.user_id % 3 = 1 then 'E_RAW_PERSIST' else 'E_SPEND_UNACCOUNTED' end as code,
+   case when r.user_id % 2 = 0 then 'Durable Object reset because its code was updated.' else 'm' end as message from v_runs r where status = 'halted'),
+ j as (select s.*, c.attempt_id, c.role, c.status, c.raw_key, c.fingerprint, w.raw_key is not null as stored, w.envelope_status, w.raw from s
+   left join c on c.run_id = s.run_id and c.n = 1 and s.code <> 'E_INTERNAL' left join ({STOP_RAW}) w on w.raw_key = c.raw_key),
+ f as (select j.*, coalesce(role = 'confidence' and status = 400, false) as refused, code = 'E_RAW_PERSIST' and attempt_id is not null as persist,
+   case when coalesce(role = 'confidence' and status = 400, false) or (code = 'E_RAW_PERSIST' and attempt_id is not null) then
+     case when not starts_with(raw_key, concat(run_id, '/')) then 'E_ARTIFACT_SCOPE' when not stored then 'E_ARTIFACT_INVALID' end end as finding_code from j),
+ g as (select f.*, finding_code is null and persist and envelope_status is not distinct from status and raw is not null as retained,
+   finding_code is null and refused and coalesce(raw = '{{"error_type":"max_tokens_exceeded"}}', false) as oversize from f)
+select g.run_id, g.code, g.attempt_id, d.original_filename as document, retained, oversize, finding_code,
+  case when oversize then 'size_unknown_usage' when retained then 'retained_response' when code = 'E_INTERNAL' and message <> 'm' then 'runtime_reset' else 'halted' end as headline
+from g left join v_docs d on d.run_id = g.run_id and d.fingerprint = g.fingerprint""")
+def _(t: Inputs) -> DataFrame:
+    halts = t.sql("""select run_id, 0 as event_seq, created_at, 'run' as stage, 'halted' as kind, concat('{"code":"', case when user_id % 3 = 0 then 'E_INTERNAL' when user_id % 3 = 1 then 'E_RAW_PERSIST' else 'E_SPEND_UNACCOUNTED' end,
+      '","message":"', case when user_id % 2 = 0 then 'Durable Object reset because its code was updated.' else 'm' end, '"}') as details_json from v_runs""")
+    calls = t.sql(STOP_CALLS)
+    stopped = ledger.stop_reason(t.view("v_runs"), halts, t.view("v_recoveries").limit(0), calls)
+    out = ledger.stop_diagnosis(stopped, calls, t.view("v_docs"), t.sql(STOP_RAW))
+    return out.select("run_id", "code", "attempt_id", "document", "retained", "oversize", "finding_code", "headline")
+
+
 @query("recovery_progress", """
 with g as (select run_id, recovery_id, generation, row_number() over (partition by run_id order by generation desc) as n from v_recoveries)
 select g.run_id, g.recovery_id, g.generation, count(d.recovery_id) as total, coalesce(sum(case when d.state <> 'started' then 1 else 0 end), 0) as pending

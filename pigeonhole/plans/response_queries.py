@@ -10,6 +10,7 @@ from pigeonhole.operators import attempts, correlation, models, responses
 from pigeonhole.plans.decision_queries import TYPES, type_ids
 from pigeonhole.plans.registry import query
 from pigeonhole.plans.views import Inputs
+from pigeonhole.session import cut
 
 PIN = "jev-1.2.3"
 READER_PIN = "gpt-6-sol"
@@ -124,27 +125,32 @@ def _(t: Inputs) -> DataFrame:
     return responses.explode_evidence(good.withColumn("artifact_key", F.lit("k")), ["run_id", "fingerprint"]).drop("artifact_key")
 
 
-@query("decode_recovery", """
-select run_id, fingerprint, case when doc_id % 11 = 0 then 'E_RECOVERY_SCHEMA' end as code, case when doc_id % 11 <> 0 then len(string_split(text, chr(10))) end as n_headings from v_docs""")
-def _(t: Inputs) -> DataFrame:
+def recovery_bodies(t: Inputs) -> DataFrame:
     lines = F.split("text", "\n")
     value = F.to_json(F.struct(lines.alias("headings")))
     value = F.when(F.col("doc_id") % 11 == 0, F.regexp_replace(value, '^.."headings', '{"lines')).otherwise(value)
     value = F.when(F.col("doc_id") % 11 == 0, '{"headings":["a",1]}').otherwise(value)
     body = F.concat(F.lit('{"model":"gpt-6-luna","status":"completed","output":[{"type":"message","role":"assistant","status":"completed","content":'),
                     F.to_json(F.array(F.struct(F.lit("output_text").alias("type"), value.alias("text")))), F.lit("}]}"))
-    rows = t.view("v_docs").withColumns({"body": body, "pin": F.lit("gpt-6-luna"), "pin_policy": F.lit("owner_approved_alias")}).drop("text")
-    return responses.decode_recovery(rows).select("run_id", "fingerprint", "finding.code", F.when(F.col("finding").isNull(), F.size("headings")).alias("n_headings"))
+    return t.view("v_docs").withColumns({"body": body, "pin": F.lit("gpt-6-luna"), "pin_policy": F.lit("owner_approved_alias")}).drop("text")
+
+
+@query("decode_recovery", """
+select run_id, fingerprint, case when doc_id % 11 = 0 then 'E_RECOVERY_SCHEMA' end as code, case when doc_id % 11 <> 0 then len(string_split(text, chr(10))) end as n_headings from v_docs""")
+def _(t: Inputs) -> DataFrame:
+    return responses.decode_recovery(recovery_bodies(t)).select("run_id", "fingerprint", "finding.code", F.when(F.col("finding").isNull(), F.size("headings")).alias("n_headings"))
 
 
 @query("decode_by_role", f"""{READ_SQL}, c as (select m.*, {CONF_CASE} as defect from v_model m)
 select 'confidence' as role, {CONF_CODE} as code, count(*) as n from c group by all
-union all select 'reader', case when defect = 'drift' then 'E_TERRA_PIN_DRIFT' when defect is not null and defect <> 'respaced' then 'E_READER_SCHEMA' when not found then 'E_READER_SCHEMA' end as code, count(*) from m group by all""")
+union all select 'reader', case when defect = 'drift' then 'E_TERRA_PIN_DRIFT' when defect is not null and defect <> 'respaced' then 'E_READER_SCHEMA' when not found then 'E_READER_SCHEMA' end as code, count(*) from m group by all
+union all select 'recovery', case when doc_id % 11 = 0 then 'E_RECOVERY_SCHEMA' end as code, count(*) from v_docs group by all""")
 def _(t: Inputs) -> DataFrame:
     cols = ["run_id", "fingerprint", "role", "body", "pin", "pin_policy", "type_ids", "evidence_policy"]
     both = (conf_bodies(t).withColumns({"role": F.lit("confidence"), "evidence_policy": F.lit(None).cast("string")}).select(*cols)
-            .unionByName(reader_bodies(t).withColumn("role", F.lit("reader")).select(*cols)))
-    out = responses.decode_by_role(both, t.view("v_docs"), ["run_id", "fingerprint"])
+            .unionByName(reader_bodies(t).withColumn("role", F.lit("reader")).select(*cols))
+            .unionByName(recovery_bodies(t).withColumns({"role": F.lit("recovery"), "evidence_policy": F.lit(None).cast("string"), "type_ids": F.lit(None).cast("array<string>")}).select(*cols)))
+    out = responses.decode_by_role(cut(both, "responses"), t.view("v_docs"), ["run_id", "fingerprint"])  # responses are recorded before they are read
     return out.groupBy("role", F.col("finding.code").alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 

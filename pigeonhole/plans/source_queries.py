@@ -185,6 +185,28 @@ def _(t: Inputs) -> DataFrame:
     return config.type_rows(t.sql(f"select distinct value from ({TYPE_TEXT}) x")).select("type_version", "position", "id", F.size("examples").alias("n_examples"))
 
 
+@query("load_type_files", f"with f as (select distinct value from ({TYPE_TEXT}) x) select SHA(value) as type_version, 0 as position, JSON(value, '$.types[0].id') as id, 'None' as none_name from f union all select SHA(value), 1, 'other', 'None' from f")
+def _(t: Inputs) -> DataFrame:
+    folder = new_folder(t.spark, "type-files")  # one file for each text, the exact bytes of which are its version
+    t.sql(f"select distinct sha2(value, 256) as name, value from ({TYPE_TEXT}) x").repartition("name").write.partitionBy("name").option("lineSep", " ").text(folder)
+    texts = t.spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder).select(F.regexp_replace("value", " $", "").alias("value"))
+    types = config.type_rows(texts)
+    return types.join(config.none_rows(texts).select("type_version", F.col("name").alias("none_name")), "type_version").select("type_version", "position", "id", "none_name")
+
+
+PACK_TEXT = """select p_brand as id, concat('{"id":"', p_brand, '",\n "structuralVocabulary":["', min(p_type), '","', max(p_type), '"], "typeFile":{"types":[],"none_of_these":{"name":"None","what":"w"}},\n "settings":{"cutoff":"',
+  count(*), '"}, "limits":{"size":"', max(p_size), '"}, "pins":{"reader":{"id":"m-', max(p_partkey), '","policy":"owner_approved_alias","date":"2026-01-01","reason":"r"}}}') as value from part group by p_brand"""
+
+
+@query("load_packs", "select p_brand as id, 2 as words, min(p_type) as first_word, 'None' as none_name, cast(count(*) as varchar) as cutoff, cast(max(p_size) as varchar) as size, concat('m-', max(p_partkey)) as reader, 1 as pins from part group by p_brand")
+def _(t: Inputs) -> DataFrame:
+    folder = new_folder(t.spark, "packs")
+    t.sql(PACK_TEXT).withColumnRenamed("id", "name").repartition("name").write.partitionBy("name").text(folder)
+    packs = config.load_packs(t.spark, folder)
+    return packs.select("id", F.size("structuralVocabulary").alias("words"), F.element_at("structuralVocabulary", 1).alias("first_word"), F.col("typeFile.none_of_these.name").alias("none_name"),
+                        F.col("settings")["cutoff"].alias("cutoff"), F.col("limits")["size"].alias("size"), F.col("pins")["reader"]["id"].alias("reader"), F.size("pins").alias("pins"))
+
+
 @query("load_listing", """
 select run_id, concat(folder, '/', filename) as path, tag, fingerprint, filename like '%.md' as sidecar from (
   select run_id, destination_folder as folder, concat(tag, '--', original_filename) as filename, tag, cast(null as varchar) as fingerprint from v_manifest where doc_id % 3 <> 0
