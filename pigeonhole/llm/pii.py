@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +39,10 @@ class Feistel:
 
     def round(self, kind: str, size: int, turn: int, half: int, bits: int) -> int:
         said = f"{kind}|{size}|{turn}|{half}".encode()
-        return int.from_bytes(hashlib.blake2b(said, key=self.key, digest_size=32).digest(), "big") & ((1 << bits) - 1)
+        mask = hashlib.blake2b(said, key=self.key, digest_size=32).digest()
+        for block in range(1, -(-bits // 256)):  # as long as the half it is laid over
+            mask += hashlib.blake2b(said + b"|%d" % block, key=self.key, digest_size=32).digest()
+        return int.from_bytes(mask, "big") & ((1 << bits) - 1)
 
     def permute(self, kind: str, value: int, size: int, back: bool = False) -> int:
         """Steps of the network over the next even number of bits, until the value is below ``size`` again."""
@@ -169,11 +173,12 @@ class Pseudonyms:
         found = []
         if "@" in text:
             found += [("email", m.start(), m.end(), self.email(m[1], m[2], back)) for m in EMAIL.finditer(text)]
-        taken = [(a, b) for _, a, b, _ in found]
+        starts, ends = [a for _, a, _, _ in found], [b for _, _, b, _ in found]  # in order, none in another
         at = 0
         while m := NUMBERS.search(text, at):
             at = m.start() + 1
-            if any(a < m.end() and m.start() < b for a, b in taken):
+            k = bisect_left(starts, m.end())  # addresses that begin before the number ends; the last of them ends last
+            if k and m.start() < ends[k - 1]:
                 continue
             for kind, pattern in COMPILED.items():  # a value that fails one kind's test may be another's
                 own = pattern.match(text, m.start())
