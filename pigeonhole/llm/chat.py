@@ -2,15 +2,17 @@
 
 Calls meet results in a hash join on their identifier, calls are put in topological order by peeling those whose
 dependencies are placed, their arguments are checked against the schemas of the tools as rows (one per argument), and each
-call with its result is written as canonical JSON: keys sorted, no white space (a variant keeps its keys sorted).
+call with its result is written as canonical JSON: keys sorted, no white space (a variant keeps its keys sorted), one text
+for each number, whose digits never pass through a floating-point value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pigeonhole.functions.arrays import block_positions
+from pigeonhole.functions.json import let, parse
 
 from .common import cut, salt_of
 
@@ -43,17 +45,81 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     return found
 
 
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+PLAIN_DIGITS = 100  # longer whole numbers are written with an exponent; no digit is lost either way
+
+
+def marked_numbers(text: Column, mark: Column) -> Column:
+    """JSON text with every number outside strings as a string of its own that begins with ``mark``."""
+    parted = F.regexp_replace(text, f"({STRING})|(-?[0-9][0-9.eE+-]*+)", "$1\ue001$2\ue002")
+    return F.replace(F.replace(F.replace(parted, F.lit("\ue001\ue002"), F.lit("")), F.lit("\ue001"), F.concat(F.lit('"'), mark)), F.lit("\ue002"), F.lit('"'))
+
+
+def canonical_number(text: Column) -> Column:
+    """One text for each value: no exponent, leading or trailing zeros where the number is short enough; every digit is kept."""
+    low = F.lower(F.ltrim(text, F.lit("-")))
+    mantissa = F.substring_index(low, "e", 1)
+    exponent = F.when(F.contains(low, F.lit("e")), F.substring_index(low, "e", -1).try_cast("int")).otherwise(F.lit(0)).cast("bigint")
+    fraction = F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise(F.lit(""))
+
+    def written(p: Column) -> Column:
+        digits = F.ltrim(F.concat(F.substring_index(p["m"], ".", 1), p["f"]), F.lit("0"))
+        return let(F.struct(digits.alias("all"), F.rtrim(digits, F.lit("0")).alias("d")), lambda q: let(F.struct(
+            q["d"].alias("d"), F.length(q["d"]).alias("k"), (p["x"] - F.length(p["f"]) + F.length(q["all"])).alias("n")), shape))
+
+    def shape(q: Column) -> Column:
+        d, k, n = q["d"], q["k"], q["n"]
+        whole = n.cast("int")
+        science = F.concat(F.substring(d, 1, 1), F.when(k > 1, F.concat(F.lit("."), F.substring(d, 2, 1 << 30))).otherwise(F.lit("")), F.lit("e"), F.when(n > 0, F.lit("+")).otherwise(F.lit("")), (n - 1).cast("string"))
+        return (F.when(k == 0, F.lit("0")).when((n >= k) & (n <= PLAIN_DIGITS), F.rpad(d, whole, "0"))
+                .when((n > 0) & (n < k), F.concat(F.substr(d, F.lit(1), whole), F.lit("."), F.substr(d, whole + 1)))
+                .when((n <= 0) & (n > -6), F.concat(F.lit("0."), F.repeat(F.lit("0"), -whole), d)).otherwise(science))
+
+    parts = F.struct(mantissa.alias("m"), fraction.alias("f"), exponent.alias("x"))
+    value = F.coalesce(let(parts, written), low)  # an exponent beyond 64 bits stays as it is
+    return F.when(F.startswith(text, F.lit("-")) & (value != "0"), F.concat(F.lit("-"), value)).otherwise(value)
+
+
+def is_whole(number: Column) -> Column:
+    """A canonical number without a fraction: 1.0 and 1e3 are whole numbers, however they were written."""
+    fraction = F.length(F.regexp_extract(number, r"[.]([0-9]*)", 1))
+    return ~F.contains(number, F.lit(".")) & ~F.contains(number, F.lit("e-")) | F.coalesce(F.regexp_extract(number, r"e[+]([0-9]+)$", 1).try_cast("bigint") >= fraction, F.lit(False))
+
+
+def plain_numbers(text: Column, mark: Column) -> Column:
+    """The text of ``marked_numbers`` with canonical numbers again."""
+    def piece(x: Column, i: Column) -> Column:
+        return F.when(i == 0, x).otherwise(F.concat(canonical_number(F.substring_index(x, '"', 1)), F.substr(x, F.instr(x, '"') + 1)))
+    return F.array_join(F.transform(F.split(text, F.concat(F.lit('"'), mark)), piece), "")
+
+
+def colons(text: Column) -> Column:
+    return F.length(F.regexp_replace(F.regexp_replace(text, STRING, ""), "[^:]", ""))
+
+
+def read_arguments(calls: DataFrame) -> DataFrame:
+    """Adds ``mark``, ``args`` (variant with marked numbers; null for what isn't one JSON value or repeats a key) and ``args_json``,
+    the canonical text. Nothing here depends on a session's settings."""
+    rows = calls.withColumn("mark", F.concat(F.lit("n"), F.hex(F.xxhash64("arguments")), F.lit("_")))
+    valid = F.when(parse(F.col("arguments")).isNotNull(), marked_numbers(F.col("arguments"), F.col("mark")))
+    # A parser that lets keys repeat keeps one of them: then colons are missing from what it has read.
+    read = let(valid, lambda v: let(F.try_parse_json(v), lambda a: let(F.to_json(a), lambda j: F.when(colons(j) == colons(v), F.struct(a.alias("a"), j.alias("j"))))))
+    rows = rows.withColumn("_read", read)
+    return rows.withColumns({"args": F.col("_read.a"), "args_json": plain_numbers(F.col("_read.j"), F.col("mark"))}).drop("_read")
+
+
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """``call_id, errors`` (sorted) of the calls whose arguments don't fit the schema of their tool."""
-    parsed = calls.select("call_id", "name", F.try_parse_json("arguments").alias("args"))
-    parsed = parsed.withColumn("is_object", F.coalesce(F.schema_of_variant("args").startswith("OBJECT"), F.lit(False)))
+    """``call_id, errors`` (sorted) of the calls of ``read_arguments`` whose arguments don't fit the schema of their tool."""
+    parsed = calls.select("call_id", "name", "mark", "args").withColumn("is_object", F.coalesce(F.schema_of_variant("args").startswith("OBJECT"), F.lit(False)))
     whole = parsed.where("not is_object").select("call_id", F.lit("arguments: not an object").alias("error"))
     good = parsed.where("is_object")
-    given = calls.sparkSession.sql("select call_id, v.key as param, schema_of_variant(v.value) as kind from {good}, lateral variant_explode(args) v", good=good)
+    given = calls.sparkSession.sql("select call_id, mark, v.key as param, schema_of_variant(v.value) as kind, try_variant_get(v.value, '$', 'string') as text from {good}, lateral variant_explode(args) v", good=good)
+    number = F.when((F.col("kind") == "STRING") & F.startswith("text", "mark"), canonical_number(F.substr("text", F.length("mark") + 1)))
     named = F.lit("other")
     for pattern, name in KINDS:
         named = F.when(F.col("kind").rlike(f"^({pattern})"), name).otherwise(named)
-    given = given.select("call_id", "param", named.alias("kind"))
+    named = F.when(F.col("number").isNull(), named).when(is_whole(F.col("number")), "integer").otherwise("number")
+    given = given.withColumn("number", number).select("call_id", "param", named.alias("kind"))
     # Most calls may name one tool: its few rows are repeated under each salt of the calls.
     tools = schemas.where("name is not null and param is not null").groupBy("name", "param").agg(F.min("type").alias("type"), F.max("required").alias("required"))
     tools = tools.select("*", F.explode(F.sequence(F.lit(0), F.lit(TOOL_SALTS - 1))).alias("salt"))
@@ -80,7 +146,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     Null ids link nothing and are left out; a null name is an unknown tool, null arguments aren't an object, null content is
     left out of the message. A missing conversation is one of its own. No rows give none.
     """
-    one = cut(one_per_id(calls.select("call_id", "turn", "conv_id", "name", "arguments", "needs"), "call"), "calls")
+    one = cut(read_arguments(one_per_id(calls.select("call_id", "turn", "conv_id", "name", "arguments", "needs"), "call")), "calls")
     answer = one_per_id(results.select("call_id", F.col("turn").alias("result_turn"), "content"), "result")
     wanted = one.select("call_id", F.explode("needs").alias("needs")).where("needs is not null").distinct()
     known = one.select(F.col("call_id").alias("needs"))
@@ -94,10 +160,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     rows = (one.join(answer, "call_id", "full").join(ordered.select("call_id", "level", "position"), "call_id", "left")
             .join(argument_errors(one, schemas), "call_id", "left").join(dangling, "call_id", "left"))
     status = F.when(F.col("calls").isNull(), "no_call").when(F.col("results").isNull(), "no_result").otherwise("linked")
-    args = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.to_json(F.struct("arguments")))
     plain = lambda c: F.substring(F.to_json(F.struct(F.col(c).alias("x"))), 6, 1 << 30)  # noqa: E731  the value and a brace
     text = lambda k, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{k}":'), F.expr(f"substring({k}_json, 1, length({k}_json) - 1)")))
-    rows = rows.withColumns({"id_json": plain("call_id"), "name_json": plain("name"), "result_json": plain("content"), "raw_json": plain("arguments"), "args_json": F.to_json(F.try_parse_json("arguments"))})
+    rows = rows.withColumns({"id_json": plain("call_id"), "name_json": plain("name"), "result_json": plain("content"), "raw_json": plain("arguments")})
     arguments = F.when(F.col("args_json").isNotNull(), F.concat(F.lit('"arguments":'), "args_json")).when(F.col("arguments").isNotNull(), F.concat(F.lit('"arguments":'), F.expr("substring(raw_json, 1, length(raw_json) - 1)")))
     message = F.concat(F.lit("{"), F.concat_ws(",", arguments, text("id", "call_id"), text("name", "name"), text("result", "content")), F.lit("}"))
     return rows.select("conv_id", "call_id", "turn", "result_turn", "name", status.alias("status"), "level", "position", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("results", F.lit(0)).alias("results"),
