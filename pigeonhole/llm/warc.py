@@ -16,18 +16,33 @@ from .common import cut
 
 # Headers that a 304 may update in the stored response (fixed by the HTTP caching standard).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
-DEFAULT_PORTS = ":(80|443)$"
+UNRESERVED = "^[A-Za-z0-9._~-]$"  # characters that mean the same escaped or not
+
+
+def plain_escapes(c: Column) -> Column:
+    """Percent escapes of unreserved characters as those characters, all others in upper case."""
+    def piece(x: Column, i: Column) -> Column:
+        code, rest = F.upper(F.substring(x, 1, 2)), F.substring(x, 3, 1 << 30)
+        letter = F.char(F.conv(code, 16, 10).cast("int"))
+        return F.when(i == 0, x).when(~code.rlike("^[0-9A-F]{2}$"), F.concat(F.lit("%"), x)).when(letter.rlike(UNRESERVED), F.concat(letter, rest)).otherwise(F.concat(F.lit("%"), code, rest))
+    return F.when(F.contains(c, F.lit("%")), F.array_join(F.transform(F.split(c, "%"), piece), "")).otherwise(c)
 
 
 def canonical_url(url: str | Column) -> Column:
-    """Scheme and a leading www. don't count; the host is lower-case without a default port; no fragment; sorted query; no trailing slash."""
+    """Scheme and a leading www. don't count; the host is lower-case without its scheme's own port (80 also where none is named);
+    needless escapes are undone; no fragment; sorted query; no trailing slash."""
     url = F.col(url) if isinstance(url, str) else url
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
-    rest = F.regexp_replace(bare, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(rest, "^([^/?]*)", 1)), DEFAULT_PORTS, ""), "^www\\.", "")
-    path = F.regexp_replace(F.regexp_extract(rest, "^[^/?]*([^?]*)", 1), "/+$", "")
-    query = F.array_join(F.array_sort(F.filter(F.split(F.regexp_extract(rest, "\\?(.*)$", 1), "&"), lambda p: p != "")), "&")
-    return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    secure = F.lower(bare).startswith("https://")
+    rest = plain_escapes(F.regexp_replace(bare, "^[A-Za-z][A-Za-z0-9+.-]*://", ""))
+
+    def parts(rest: Column) -> Column:
+        named = F.lower(F.regexp_extract(rest, "^([^/?]*)", 1))
+        host = F.regexp_replace(F.when(secure, F.regexp_replace(named, ":443$", "")).otherwise(F.regexp_replace(named, ":80$", "")), "^www\\.", "")
+        path = F.regexp_replace(F.regexp_extract(rest, "^[^/?]*([^?]*)", 1), "/+$", "")
+        query = F.array_join(F.array_sort(F.filter(F.split(F.regexp_extract(rest, "\\?(.*)$", 1), "&"), lambda p: p != "")), "&")
+        return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    return let(rest, parts)
 
 
 def header_map(block: str | Column) -> Column:
@@ -60,11 +75,11 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     outcome: ``resolved`` (no validator of both differs and one agrees), ``unchecked`` (no validator in common: the response
     is named, nothing merged), ``changed`` (a validator differs), ``no_response`` (none earlier), ``undated`` (no time or
     URL). Merged headers are the response's with the permitted ones of the revisit. Weak and strong ETags compare alike. Of
-    responses at one time the larger record id counts; a response at the very time of the revisit isn't earlier. Repeated
-    rows are resolved each. No rows give none.
+    responses at one time the larger record id counts, of those that repeat an id the smallest headers; a response at the very
+    time of the revisit isn't earlier, one without a record id is none. Repeated rows are resolved each. No rows give none.
     """
     events = captures.select("record_id", "kind", "status", canonical_url("url").alias("page"), "fetched", "headers", is_full().alias("full"))
-    light = events.where("page is not null and fetched is not null").select("page", "fetched", "record_id", "full", (F.col("kind") == "revisit").alias("asks")).where("full or asks")
+    light = events.withColumn("full", F.col("full") & F.col("record_id").isNotNull()).where("page is not null and fetched is not null").select("page", "fetched", "record_id", "full", (F.col("kind") == "revisit").alias("asks")).where("full or asks")
     light = light.withColumn("day", F.to_date("fetched"))
     last = F.struct("fetched", "record_id")
     days = light.where("full").groupBy("page", "day").agg(F.max(last).alias("latest"))
@@ -78,8 +93,17 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     targets = found.select("page", "fetched", F.col("r.record_id").alias("response_id"), F.col("r.fetched").alias("response_fetched")).distinct()
 
     revisits = events.where("kind = 'revisit'").select("record_id", "page", "fetched", "headers")
-    full = events.where("full").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored")).dropDuplicates(["response_id"])
-    rows = revisits.join(targets, ["page", "fetched"], "left").join(full, "response_id", "left")
+    # A row id may be repeated, at other times or by other pages: the response found is the one of its own page and time.
+    own = ["page", "response_fetched", "key"]
+    full = (events.where("full").select("page", F.col("fetched").alias("response_fetched"), F.col("record_id").alias("key"), F.array_sort(F.map_entries("headers")).alias("stored"))
+            .where("page is not null and response_fetched is not null and key is not null").groupBy(*own).agg(F.map_from_entries(F.min("stored")).alias("stored")))
+    # Revisits without a response get keys of their own that no response has, so that they don't meet in one task.
+    nowhere = F.concat_ws("-", F.lit("none"), F.xxhash64("page", "fetched", "record_id").cast("string"))
+    found = revisits.join(targets, ["page", "fetched"], "left")
+    found = found.withColumns({"key": F.coalesce("response_id", nowhere), "page_key": F.when(F.col("response_id").isNotNull(), F.col("page")).otherwise(nowhere)})
+    stored = full.select(F.col("page").alias("page_key"), "response_fetched", "key", "stored")
+    found = found.withColumn("response_fetched", F.coalesce("response_fetched", F.timestamp_seconds(F.lit(0))))
+    rows = found.join(stored, ["page_key", "response_fetched", "key"], "left")
     tag = lambda c: F.regexp_replace(F.col(c)["etag"], "^W/", "")
     modified = lambda c: F.col(c)["last-modified"]
     differs = F.coalesce(tag("headers") != tag("stored"), F.lit(False)) | F.coalesce(modified("headers") != modified("stored"), F.lit(False))

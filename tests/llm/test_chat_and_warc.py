@@ -66,7 +66,8 @@ def test_native_plan_and_conversations(spark):
 
 
 def test_canonical_urls(spark):
-    cases = {"HTTP://www.Example.com:80/a/?b=2&a=1#top": "example.com/a?a=1&b=2", "https://example.com/a?a=1&b=2": "example.com/a?a=1&b=2", "example.com": "example.com", "https://m.x.org:8080/P//": "m.x.org:8080/P", "https://x.org/?": "x.org", None: None, "": ""}
+    cases = {"HTTP://www.Example.com:80/a/?b=2&a=1#top": "example.com/a?a=1&b=2", "https://example.com/a?a=1&b=2": "example.com/a?a=1&b=2", "example.com": "example.com", "https://m.x.org:8080/P//": "m.x.org:8080/P", "https://x.org/?": "x.org", None: None, "": "",
+             "https://x.org:80/a": "x.org:80/a", "http://x.org:443/a": "x.org:443/a", "https://x.org:443/%7Eme%2f?q=%41%zz%": "x.org/~me%2F?q=A%zz%", "x.org:80": "x.org"}
     rows = spark.createDataFrame([(k,) for k in cases], "url string").select("url", warc.canonical_url("url").alias("c")).collect()
     assert {r.url: r.c for r in rows} == cases
 
@@ -99,3 +100,47 @@ def test_records_survive_the_format(spark):
     assert {r.outcome for r in got} <= {"resolved", "changed", "unchecked", "no_response"} and sum(r["count"] for r in got) == 4 * len(html)
     odd = spark.createDataFrame([(1, None, "h"), (2, "http://a.org", None), (None, "u", "h")], "page_id long, url string, html string")
     assert warc.page_revisits(odd).count() == 8
+
+
+def plain_revisits(rows):
+    """Every revisit by a plain loop over all captures."""
+    out = []
+    tag = lambda h: h.get("etag", "").removeprefix("W/") or None
+    for rid, kind, page, at, status, headers in rows:
+        if kind != "revisit":
+            continue
+        if page is None or at is None:
+            out.append((rid, "undated", None, None))
+            continue
+        earlier = [r for r in rows if r[1] == "response" and 200 <= r[4] < 300 and r[2] == page and r[3] is not None and r[3] < at and r[0] is not None]
+        if not earlier:
+            out.append((rid, "no_response", None, None))
+            continue
+        last = max((r[3], r[0]) for r in earlier)
+        stored = dict(min(sorted(r[5].items()) for r in earlier if (r[3], r[0]) == last))
+        pairs = [(tag(headers), tag(stored)), (headers.get("last-modified"), stored.get("last-modified"))]
+        both = [a == b for a, b in pairs if a is not None and b is not None]
+        outcome = "changed" if False in both else "resolved" if both else "unchecked"
+        merged = {**stored, **{k: v for k, v in headers.items() if k in warc.PERMITTED}}
+        out.append((rid, outcome, last[1], tuple(sorted(merged.items())) if outcome == "resolved" else None))
+    return sorted(out, key=repr)
+
+
+def test_revisits_equal_a_plain_loop_in_any_order(spark):
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for i in range(400):
+        kind = r.choice(["response", "revisit", "revisit"])
+        headers = {k: v for k, v in (("etag", r.choice(['"1"', 'W/"1"', '"2"', None])), ("last-modified", r.choice(["m", "n", None])), ("date", f"d{i}"), ("content-type", f"t{i}")) if v}
+        at = None if r.random() < 0.03 else datetime(2024, 1, r.choice([1, 1, 1, 2, 5]), r.randrange(6), r.choice([0, 30]))
+        rows.append((None if r.random() < 0.03 else f"r{i // 2 if i % 5 == 0 else i}", kind, r.choice(["a.org", "a.org", "a.org/x", "b.org", None]), at, r.choice([200, 200, 204, 500]) if kind == "response" else 304, headers))
+    rows += [("same", "response", "a.org", datetime(2024, 1, 9), 200, {"etag": t}) for t in ('"1"', '"2"')] + [("late", "revisit", "a.org", datetime(2024, 1, 10), 304, {"etag": t}) for t in ('"1"', '"2"')]
+    want = plain_revisits(rows)
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        frame = spark.createDataFrame(rows, "record_id string, kind string, url string, fetched timestamp, status int, headers map<string,string>").repartition(3)
+        got = [(x.record_id, x.outcome, x.response_id, None if x.headers is None else tuple(sorted(x.headers.items()))) for x in warc.resolve_revisits(frame).collect()]
+        assert sorted(got, key=repr) == want
+    assert {o for _, o, _, _ in want} == {"resolved", "changed", "unchecked", "no_response", "undated"}
