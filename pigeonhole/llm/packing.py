@@ -20,7 +20,7 @@ from .common import cut, id_and_text, salt_of, spread
 from .wordcode import coder_of, vocabulary
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-KNOWN_WORDS = 300_000  # a worker remembers, twice at most
+KNOWN_WORDS = 1_500_000  # a worker remembers, twice at most
 BLOCK = 100_000  # pieces of a salted block, on average
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut, id_and_text, new_folder, open_store, spread
 from .wordcode import coder_of, vocabulary
 
-KNOWN_WORDS = 700_000  # a worker remembers, twice at most
+KNOWN_WORDS = 1_500_000  # a worker remembers, twice at most
 NO_ID = -(2**63)  # stands for a null document id in .docs
 MANIFEST = "shard int, path string, width int, documents long, tokens long"
 LOADED = "doc_id long, start long, n_tokens long, ids_crc32 long"

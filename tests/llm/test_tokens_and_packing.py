@@ -1,5 +1,6 @@
 """Token coding, token files and packing against the library and plain loops."""
 
+import random
 import zlib
 
 import numpy as np
@@ -114,3 +115,38 @@ def test_least_squares_is_optimal():
     dense[0] = 0
     gradient = dense.T @ (dense @ x - wanted)
     assert (x >= 0).all() and gradient.min() > -1e-3 and abs(gradient @ x) < 1e-3 * max(1, x.sum())
+
+
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_special_strings_are_as_the_library_has_them(name, spaced):
+    """The contract's call of the plain library, special tokens of the file left as it reads them."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(wordcode.vocabulary(name))
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "word", " ", "\n", ".", "<|", "endoftext|>", "é", "x<|endoftext|>y"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(8))) for _ in range(600)]
+    coder = wordcode.WordCoder(wordcode.vocabulary(name), spaced, limit=50)
+    got = [ids[a:b].tolist() for ids, at in coder.encode(pa.array(texts)) for a, b in zip(at, at[1:])]
+    assert got == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    text = wordcode.WordCoder(wordcode.vocabulary(name), spaced, special_as_text=True)
+    library.encode_special_tokens = True
+    got = [ids[a:b].tolist() for ids, at in text.encode(pa.array(texts)) for a, b in zip(at, at[1:])]
+    assert got == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
+def test_words_in_flat_arrays(monkeypatch):
+    monkeypatch.setattr(wordcode.CodeTable, "RECENT", 7)
+    table, want = wordcode.CodeTable(), {}
+    rng = np.random.default_rng(2)
+    for step in range(20):
+        words = [f"w{step}-{i}" for i in range(5)]
+        sizes = rng.integers(-1, 4, 5).astype(np.int32)
+        ids = rng.integers(0, 99, int(np.maximum(sizes, 0).sum())).astype("<u4")
+        table.add(*wordcode.digests(words), sizes, ids)
+        ends = np.cumsum(np.maximum(sizes, 0))
+        want.update({w: (int(n), ids[e - max(n, 0):e].tolist()) for w, n, e in zip(words, sizes, ends)})
+    names = [*want, "missing"]
+    known, start, size = table.find(*wordcode.digests(names))
+    assert known.tolist() == [True] * len(want) + [False]
+    assert all((int(n), table.ids[s:s + max(n, 0)].tolist()) == want[w] for w, s, n in zip(want, start, size))
