@@ -61,28 +61,37 @@ def correlation_blockers(parsed: DataFrame, expected: DataFrame, batches: DataFr
     return lines.unionByName(open_batches).withColumn("kind", F.lit("blocker"))
 
 
-def correlate_batch(parsed: DataFrame, expected: DataFrame, batches: DataFrame) -> DataFrame:
-    """One row per expected request: its result, or why there is none.
-
-    Lines are reduced to one row per request before the join, so repeated lines of one id cannot form a hot group.
-    """
+def request_lines(parsed: DataFrame) -> DataFrame:
+    """What the lines of each request say together: usable lines, whether all are good, the last one's place (also as a
+    streaming aggregate). Lines without a request count under an empty id."""
     place = F.struct("file_id", "line_number")
     # counted under a condition rather than filtered first: a filter would move below the parse and run it twice
     usable = F.col("line_code").isNull()
     good = F.col("has_response") & F.col("status_code").between(200, 299) & ~F.col("has_error")
     # a key that is never null also keeps the join from adding such a filter (requests have no empty id)
-    seen = (parsed.withColumn("custom_id", F.coalesce("custom_id", F.lit(""))).groupBy("batch_id", "custom_id").agg(
+    return parsed.withColumn("custom_id", F.coalesce("custom_id", F.lit(""))).groupBy("batch_id", "custom_id").agg(
         F.count_if(usable).alias("_n"), F.bool_and(F.when(usable, good)).alias("_good"), F.max(F.when(usable, place)).alias("_ref"))
-        .filter("_n > 0"))
+
+
+def resolve_requests(seen: DataFrame, expected: DataFrame, batches: DataFrame) -> DataFrame:
+    """One row per expected request from what its lines say: its result, or why there is none."""
     absent = (F.when(F.col("status") == "expired", "E_BATCH_EXPIRED").when(F.col("status") == "cancelled", "E_BATCH_CANCELLED")
               .when(F.col("status") == "failed", "E_BATCH_FAILED").otherwise("E_BATCH_MISSING_RESULT"))
     code = (F.when(F.col("_n").isNull(), absent).when(F.col("_n") > 1, "E_BATCH_DUPLICATE_RESULT")
             .when(~F.col("_good"), "E_BATCH_DOCUMENT"))
     reference = F.when(F.col("_ref").isNotNull(), F.concat_ws(":", "_ref.file_id", F.col("_ref.line_number").cast("string")))
-    return (expected.join(batches.select("batch_id", "status"), "batch_id").join(seen, ["batch_id", "custom_id"], "left")
+    return (expected.join(batches.select("batch_id", "status"), "batch_id").join(seen.filter("_n > 0"), ["batch_id", "custom_id"], "left")
             .select("batch_id", "custom_id", code.alias("code"), reference.alias("reference")))
 
 
+def correlate_batch(parsed: DataFrame, expected: DataFrame, batches: DataFrame) -> DataFrame:
+    """One row per expected request: its result, or why there is none.
+
+    Lines are reduced to one row per request before the join, so repeated lines of one id cannot form a hot group.
+    """
+    return resolve_requests(request_lines(parsed), expected, batches)
+
+
 def strict_blockers(parsed: DataFrame, expected: DataFrame) -> DataFrame:
     """Whole-file reading: malformed, unexpected, repeated and missing ids each stop it (empty lines are skipped).
 

@@ -84,11 +84,12 @@ def _(t: Inputs) -> DataFrame:
     lines = rq.result_lines(t)
     lines.select(F.col("batch_id").alias("part"), F.col("line").alias("value")).withColumn("part", F.col("part") % 8).repartition(8, "part").write.partitionBy("part").option("lineSep", "\n").text(f"{folder}/in")
     guards.run_batches(guards.read_result_stream(t.spark, f"{folder}/in", 4), folder, guards.result_stager(f"{folder}/staged"))
-    staged = t.spark.read.parquet(f"{folder}/staged")
     # the batch of a line is the batch its request was sent in
     expected = rq.expected_requests(t)
+    schema = "file_id string, block_start bigint, line string, row_order bigint"
+    staged = t.spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8).parquet(f"{folder}/staged")
     ids = staged.withColumn("custom_id", F.get_json_object("line", "$.custom_id")).join(expected, "custom_id").drop("custom_id")
-    out = guards.correlate_staged(ids, expected, rq.batch_states(t))
+    out = guards.stream_correlation(ids, expected, rq.batch_states(t), f"{folder}/correlation")
     return out.groupBy("batch_id").agg(
         F.count_if(F.col("reference").isNull()).alias("absent"), F.count_if(F.col("code") == "E_BATCH_DUPLICATE_RESULT").alias("duplicates"),
         F.count_if(F.col("code") == "E_BATCH_DOCUMENT").alias("failed"), F.count_if(F.col("code").isNull()).alias("good"))

@@ -207,6 +207,20 @@ def read_result_stream(spark: SparkSession, folder: str, files_per_batch: int =
     return lines.select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block_start"), F.col("value").alias("line"))
 
 
+def stream_correlation(staged: DataFrame, expected: DataFrame, batches: DataFrame, path: str) -> DataFrame:
+    """Correlation of staged lines as they arrive; only terminal batches give outcomes.
+
+    Each line is parsed once, in the micro-batch that brings it; what the lines of a request say together is keyed state in
+    ``path``. An outcome needs these rows and the expected requests, no line. ``staged``: batch_id, file_id, row_order, line.
+    """
+    parsed = correlation.parse_result_lines(staged.withColumnRenamed("row_order", "line_number"))
+    run_batches(correlation.request_lines(parsed), path, update_writer(f"{path}/requests"), "update")
+    seen = newest(staged.sparkSession, f"{path}/requests", ["batch_id", "custom_id"])
+    if seen is None:
+        seen = staged.sparkSession.createDataFrame([], "batch_id bigint, custom_id string, _n bigint, _good boolean, _ref struct<file_id:string,line_number:bigint>")
+    return correlation.resolve_requests(seen, expected, batches.filter(F.col("status").isin(k.BATCH_TERMINAL)))
+
+
 def correlate_staged(staged: DataFrame, expected: DataFrame, batches: DataFrame) -> DataFrame:
     """Correlation over everything staged so far; only terminal batches give outcomes."""
     parsed = correlation.parse_result_lines(staged.withColumnRenamed("row_order", "line_number"))

@@ -142,6 +142,20 @@ def test_summaries_join_in_any_grouping(spark, outcomes, cut):
     assert tuple(spark.range(1).select(guards.joined(one(outcomes[:cut]), one(outcomes[cut:])).alias("s")).first().s) == of(outcomes)
 
 
+def test_correlation_reads_each_line_once(spark):
+    line = lambda i, status: f'{{"custom_id":"c{i}","response":{{"status_code":{status},"body":{{}}}},"error":null}}'
+    schema = "batch_id bigint, file_id string, row_order bigint, line string"
+    parts = [[(i % 3, "f", i, line(i, 200 if i % 4 else 500)) for i in range(lo, lo + 20)] for lo in (0, 20, 40)] + [[(1, "g", 1, line(4, 200)), (2, "g", 2, "broken")]]
+    expected = spark.createDataFrame([(i % 3, f"c{i}") for i in range(70)], "batch_id bigint, custom_id string")
+    batches = spark.createDataFrame([(0, "completed"), (1, "expired"), (2, "in_progress")], "batch_id bigint, status string")
+    for n, (stream, folder) in enumerate(arrivals(spark, parts, schema)):
+        got = {tuple(r) for r in guards.stream_correlation(stream, expected, batches, folder).collect()}
+        so_far = spark.createDataFrame([r for p in parts[:n + 1] for r in p], schema)
+        assert got == {tuple(r) for r in guards.correlate_staged(so_far, expected, batches).collect()}
+    assert spark.read.parquet(f"{folder}/requests/epoch=3").count() == 2  # only what the last part touched
+    assert {c for _, _, c, _ in got} == {None, "E_BATCH_DOCUMENT", "E_BATCH_MISSING_RESULT", "E_BATCH_EXPIRED", "E_BATCH_DUPLICATE_RESULT"}
+
+
 def test_json_is_one_whole_value(spark):
     good = ['{"a":1}', "[1,2]", "1", '"x"', "null", ' {"a":1} ']
     good += ['["\ue000end"]', '{"\ue000end":["\ue000end"]}', '"]"', '"a, \\"b\\""']
