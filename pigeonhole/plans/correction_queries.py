@@ -215,6 +215,15 @@ def _(t: Inputs) -> DataFrame:
     return proposals.candidate_exclusions(decided_diff(t), types, correction_rows(t)).select("correction_id", "from_type", "to_type", "moves", "candidate")
 
 
+@query("candidate_exclusions_sentence", INCLUDED_SQL + """ select correction_id, destination_folder as from_type, folder as to_type, concat('Name ', folder, ' (What ', folder, ') comes before Name ', destination_folder) as candidate
+from i where included and facet = 'move' and is_type and destination_folder like 'type_%' group by correction_id, destination_folder, folder""")
+def _(t: Inputs) -> DataFrame:
+    types = t.sql("select distinct concat('type_', lang) as id from documents").select(
+        F.lit("v1").alias("type_version"), "id", F.concat(F.lit("Name "), "id").alias("name"), F.concat(F.lit("What "), "id").alias("what"), F.lit("none").alias("not_for"))
+    found = proposals.candidate_exclusions(decided_diff(t), types, correction_rows(t), sentence="%2$s (%3$s) comes before %1$s")
+    return found.select("correction_id", "from_type", "to_type", "candidate")
+
+
 @query("new_type_stubs", DIFF_SQL + f""", a as ({DECISIONS}) select d.correction_id, d.folder, case d.folder when 'new_topic' then 'new_topic' else 'other_things' end as id, count(*) as files
 from d join a on a.correction_id = d.correction_id and a.folder = d.folder and a.action = 'new_type' where not known group by d.correction_id, d.folder""")
 def _(t: Inputs) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pigeonhole import constants as k
 from pigeonhole.functions import text as tx
 from pigeonhole.operators import batching, requests, states, tree
-from pigeonhole.plans.outline_queries import COMPACT_SQL, KEYS, PARTS_SQL, nested
+from pigeonhole.plans.outline_queries import COMPACT_SQL, KEYS, PARTS_SQL, STRUCTURED_SQL, nested
 from pigeonhole.plans.registry import query
 from pigeonhole.plans.views import Inputs
 
@@ -45,6 +45,20 @@ def _(t: Inputs) -> DataFrame:
     return requests.build_confidence_requests(rows, type_rows(t), pack_rows(t), "run_id").select(*KEYS, tx.sha256(F.col("body")).alias("body"))
 
 
+# States with sections get the other wording; every ninth state lacks a field.
+SECTION_SCORES = f"""sc as (select run_id, string_agg(concat('"is_type_', lang, '":{{"type":"noul","instructions":{{"question":"Do the sections fit?","definition":', {TYPE_JSON.format('lang')}, '}},"criteria":{{"true":', {TYPE_JSON.format('lang')},
+  ',"false":"It does not fit."}}}}'), ',' order by lang) as section_scores from (select distinct concat('run', cast(doc_id % 4 as varchar)) as run_id, lang from documents) g group by run_id)"""
+
+
+@query("build_confidence_requests_sections", PARTS_SQL + f""", {TYPES_SQL}, {SECTION_SCORES}
+select st.run_id, st.fingerprint, case when doc_id % 9 = 0 then 'E_DIGEST_STATE' end as code, case when doc_id % 9 <> 0 then sha256(concat('{{"model":"jev-1.2.3","state":', {STRUCTURED_SQL},
+  ',"questions":{{"classification":{{"type":"choice","instructions":"Pick one type from the sections.","criteria":{{', criteria, ',"none_of_these":{NONE_JSON}}}}},', section_scores, '}}}}')) end as body
+from st join ty on ty.run_id = st.run_id join sc on sc.run_id = st.run_id""")
+def _(t: Inputs) -> DataFrame:
+    rows = states.build_structured_state(nested(t)).select(*KEYS, F.when(F.col("doc_id") % 9 == 0, F.replace("serialized", F.lit('{"fullText":'), F.lit('{"whole":'))).otherwise(F.col("serialized")).alias("serialized"))
+    return requests.build_confidence_requests(rows, type_rows(t), pack_rows(t), "run_id").select(*KEYS, "code", tx.sha256(F.col("body")).alias("body"))
+
+
 READER_BODY = """concat('{"model":"gpt-6-sol","reasoning":{"effort":"low"},"max_output_tokens":4000,"store":false,"truncation":"disabled","prompt_cache_options":{"mode":"explicit"},"input":[{"role":"system","content":',
   to_json(concat('Read everything.', chr(10), 'Quote exactly.', chr(10), 'Output schema:', chr(10), sc, chr(10), 'Type definitions:', chr(10), '{"types":[', jsons, '],"none_of_these":%s}')),
   '},{"role":"user","content":', to_json(text), '}],"text":{"format":{"type":"json_schema","name":"document_type_verdicts","strict":true,"schema":', sc, '}}}')""" % NONE_JSON
@@ -172,11 +186,11 @@ RECONCILE_SQL = PLAN_SQL + f""", f as ({SOURCE_FILES}), m as (select fingerprint
  y as (select x.*, case when doc_id % 5 = 0 then 'already_present' when doc_id % 5 = 1 then 'destination_conflict' when source_path is null then 'not_found' when src % 8 = 0 then 'source_changed' else 'copied' end as status from x)"""
 
 
-def reconciled(t: Inputs) -> DataFrame:
+def reconciled(t: Inputs, sidecars: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
     planned = tree.match_sources(plan(t), t.sql(SOURCE_FILES).filter("doc_id % 6 <> 0"))
     sources = t.sql(SOURCE_FILES).select("path", F.when(F.col("doc_id") % 8 == 0, F.sha2(F.col("path"), 256)).otherwise(F.col("fingerprint")).alias("current_fingerprint"))
     there = plan(t).filter("doc_id % 5 < 2").select("path", F.when(F.col("doc_id") % 5 == 0, F.col("fingerprint")).otherwise(F.sha2("path", 256)).alias("fingerprint"))
-    return tree.reconcile_tree(planned, sources, there)
+    return tree.reconcile_tree(planned, sources, there if sidecars is None else there.unionByName(sidecars), notes)
 
 
 @query("reconcile_tree", RECONCILE_SQL + " select run_id, tag, path, status from y")
@@ -184,6 +198,15 @@ def _(t: Inputs) -> DataFrame:
     return reconciled(t).select("run_id", "tag", "path", "status")
 
 
+# Notes beside reviewed documents: some lie there with the same text, some with another one.
+@query("reconcile_sidecars", RECONCILE_SQL + """ select run_id, tag, path, case when status in ('copied', 'already_present') and sidecar_path is not null and doc_id % 7 = 2 then 'sidecar_conflict' else status end as status from y""")
+def _(t: Inputs) -> DataFrame:
+    planned, there = plan(t).filter("sidecar_path is not null and doc_id % 7 in (2, 3)"), F.col("doc_id") % 7
+    notes = t.view("v_manifest").select("run_id", "tag", F.concat(F.lit("note on "), "tag").alias("note"))
+    sidecars = planned.select(F.col("sidecar_path").alias("path"), F.sha2(F.concat(F.when(there == 2, F.lit("another ")).otherwise(F.lit("")), F.lit("note on "), "tag"), 256).alias("fingerprint"))
+    return reconciled(t, sidecars, notes).select("run_id", "tag", "path", "status")
+
+
 @query("build_summary", RECONCILE_SQL + ", c as (select run_id, bool_and(status in ('copied', 'already_present')) as complete from y group by run_id) select y.run_id, y.status, count(*) as entries, any_value(c.complete) as complete from y join c on c.run_id = y.run_id group by y.run_id, y.status")
 def _(t: Inputs) -> DataFrame:
     return tree.build_summary(reconciled(t))
