@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pigeonhole.operators import budgets, ledger
+from pigeonhole.functions import money
+from pigeonhole.operators import budgets
 from pigeonhole.plans import response_queries as rq
 from pigeonhole.plans.ledger_queries import ADMISSION_SQL, STREAKS_SQL
 from pigeonhole.plans.registry import query
 from pigeonhole.plans.views import Inputs
 from pigeonhole.session import new_folder
-from pigeonhole.streaming import guards
+from pigeonhole.sources import ledger as store
+from pigeonhole.streaming import guards, maintained
 
 
 def replayed(calls: DataFrame) -> DataFrame:
@@ -93,3 +95,18 @@ def _(t: Inputs) -> DataFrame:
     return out.groupBy("batch_id").agg(
         F.count_if(F.col("reference").isNull()).alias("absent"), F.count_if(F.col("code") == "E_BATCH_DUPLICATE_RESULT").alias("duplicates"),
         F.count_if(F.col("code") == "E_BATCH_DOCUMENT").alias("failed"), F.count_if(F.col("code").isNull()).alias("good"))
+
+
+@query("maintained_run_calls", """
+with l as (select run_id, role, status, created_at, row_number() over (partition by run_id order by created_at desc, attempt_id desc) as n from v_ledger where role <> 'batch_metadata'),
+ u as (select run_id, cast(coalesce(sum(case when role in ('reader', 'recovery') then cast(cost_nano as hugeint) end), 0) as varchar) as openai, cast(coalesce(sum(case when role = 'confidence' then cast(cost_nano as hugeint) end), 0) as varchar) as typesafe,
+   cast(coalesce(sum(case when role <> 'batch_metadata' then cast(cost_nano as hugeint) end), 0) as varchar) as blended, sum(case when role <> 'batch_metadata' and cost_nano is null then 1 else 0 end) as unaccounted from v_ledger group by run_id)
+select u.run_id, blended, openai, typesafe, unaccounted, case when l.run_id is null then 'not_contacted' when l.status is null then 'no_response' when l.status between 200 and 299 then 'response_received' else 'response_failed' end as status,
+  l.role as latest_role, l.created_at as latest_at from u left join l on l.run_id = u.run_id and l.n = 1""")
+def _(t: Inputs) -> DataFrame:
+    folder = new_folder(t.spark, "maintained")
+    calls = t.view("v_ledger").select("run_id", "attempt_id", "role", "status", "cost_nano", "created_at")
+    for part in range(2):  # a refresh after each append
+        store.append_immutable(calls.filter(F.pmod(F.xxhash64("attempt_id"), F.lit(2)) == part), f"{folder}/calls", ["attempt_id"])
+        out = maintained.run_calls(t.spark, f"{folder}/calls", f"{folder}/figures")
+    return out.select("run_id", *[money.money_text(F.col(n)).alias(n) for n in budgets.DIMENSIONS], "unaccounted", "status", "latest_role", "latest_at")

@@ -174,3 +174,35 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         shared_folder(Fake())
+
+
+LEDGER = "run_id string, attempt_id string, role string, status int, cost_nano string, created_at timestamp_ntz"
+
+
+def test_a_refresh_reads_only_what_was_appended(spark, monkeypatch):
+    from datetime import datetime
+
+    from pigeonhole.operators import accounting, budgets
+    from pigeonhole.sources import ledger as store
+    from pigeonhole.streaming import maintained
+
+    monkeypatch.setattr(maintained, "KEEP_PARTS", 3)
+    rng, folder, opened, rows = random.Random(4), new_folder(spark, "maintained"), [], []
+    real = store.read_appends
+    monkeypatch.setattr(store, "read_appends", lambda s, path, log, *a: opened.append((path.rpartition("/")[2], len(log))) or real(s, path, log, *a))
+    assert maintained.run_calls(spark, f"{folder}/calls", f"{folder}/figures") is None
+    for part in range(6):
+        new = [(f"r{rng.randrange(4)}", f"a{part}-{i}", rng.choice(["reader", "confidence", "recovery", "batch_metadata"]), rng.choice([200, 500, None]), None, datetime(2024, 1, 1 + rng.randrange(20))) for i in range(12)]
+        new = [(r, a, role, s, "0" if role == "batch_metadata" else rng.choice(["5", "12345678901234567890", None]), t) for r, a, role, s, _, t in new]
+        rows += new
+        store.append_immutable(spark.createDataFrame(new, LEDGER), f"{folder}/calls", ["attempt_id"])
+        opened.clear()
+        got = {r.run_id: r for r in maintained.run_calls(spark, f"{folder}/calls", f"{folder}/figures").collect()}
+        assert [x for x in opened if x[0] == "calls"] == [("calls", 1)] and all(n <= 5 for _, n in opened)
+        all_rows = spark.createDataFrame(rows, LEDGER)
+        spend = {r.run_id: (r.blended, r.openai, r.typesafe) for r in budgets.vendor_spend(all_rows).collect()}
+        unknown = {r.run_id: r.unaccounted for r in accounting.unaccounted_calls(all_rows).collect()}
+        health = {r.run_id: (r.status, r.latest_role, r.latest_at) for r in ledger.vendor_health(all_rows, ["run_id"]).collect()}
+        assert {k: (r.blended, r.openai, r.typesafe) for k, r in got.items() if r.blended} == {k: v for k, v in spend.items() if v[0]}
+        assert {k: r.unaccounted for k, r in got.items() if r.unaccounted} == unknown and {k: (r.status, r.latest_role, r.latest_at) for k, r in got.items()} == health
+    assert [c.least[0] for c in store.commits(spark, f"{folder}/figures")].count("whole") == 1
