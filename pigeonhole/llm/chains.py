@@ -414,7 +414,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     """Passages of ``doc_id`` (start and length in words) that repeat one of ``source_id``, which comes earlier by id or place.
 
     Added or missing words are followed where equal words of a seed's length lie on both sides of them.
-    A passage has at least ``least_words`` words, of which each one that differs (or is missing or added) is outweighed by
+    A passage is only found by a seed of six equal words in a row (see the README for the recall by density of replaced words).
+    It has at least ``least_words`` words, of which each one that differs (or is missing or added) is outweighed by
     four that agree; ``agreeing`` counts those that do. Case and punctuation around words don't count. A passage of many
     documents is listed once for each but its first; another source is listed too where its passage reaches further. A document that repeats itself is its own source. Null and empty texts
     and null ids have no passages; rows that repeat an id are one document. Two passages of one place and source are one.

@@ -186,6 +186,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group."""
+    """The rows of ``docs`` that stay, with all their columns: one document of each group, that with the smallest id.
+
+    Rows that repeat an id stay or go together. Null and empty texts are linked with nothing and stay; rows with a null id are
+    one document. No rows give none.
+    """
     kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("__kept"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")

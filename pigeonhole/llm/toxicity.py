@@ -160,7 +160,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that their score doesn't reject, with all their columns; rows are judged one by one, in one pass."""
+    """The rows of ``docs`` that their score doesn't reject, with all their columns; rows are judged one by one, in one pass, so
+    repeated rows fare alike. Null and empty texts and null ids are judged like any other; without usable labels all stay."""
     terms, trust, base = learn(id_and_text(docs), labels)
 
     def keep(batches):
