@@ -2,6 +2,10 @@
 
 Each stage calls one operator on all that the stage before it kept; what is written between two stages is Parquet in the
 shared folder, so a lost executor repeats one stage at most.
+
+Every stage takes documents with null ids and texts, empty tables and repeated rows: rows are judged for toxicity one by one;
+of equal texts the row with the smallest id stays, repeated rows once; of near copies the smallest id stays; a document with a
+benchmark passage goes with all its rows; a null text is packed as its end id. Columns beside those of documents are dropped.
 """
 
 from __future__ import annotations
