@@ -1,37 +1,24 @@
 """Collocations, language identification and importance resampling against brute force and held-out labels."""
 
 import collections
-import glob
 import hashlib
 import math
 import random
 import re
 import zlib
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-import check
 from pigeonhole.llm import importance, langid, phrases
-from pigeonhole.llm.queries import QUERIES, SQL
 
-SMALL = "/root/testdata/sf0.001"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id bigint, text string, lang string"
 
 
-@pytest.mark.parametrize("name", ["op11_phrase_collocations", "op13_importance_resampling"])
-def test_sql(spark, name):
-    con = duckdb.connect()
-    for path in glob.glob(f"{SMALL}/*.parquet"):
-        con.sql(f"create view {path.split('/')[-1][:-8]} as select * from '{path}'")
-    assert check.compare(spark, con, SMALL, name, QUERIES[name], SQL[name])[2] == "ok"
-
-
 # Phrases
 
 

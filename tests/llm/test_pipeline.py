@@ -45,12 +45,13 @@ def test_stages(spark):
 
 
 def test_registered_queries():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "decontamination", "packing"]
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     assert check.compare(spark, con, SF, name, queries.QUERIES[name], queries.SQL[name])[2] == "ok"
