@@ -26,24 +26,24 @@ ROWS_A_TASK = 250_000
 LONG = 64  # bytes of a word from which its pairs are checked as whole texts
 
 
-@lru_cache(LONG + 1)
-def zeros_after(length: int) -> np.ndarray:
-    """Four tables of 256: what each byte of a checksum turns into once ``length`` more bytes follow."""
+@lru_cache(1)
+def zeros_after() -> np.ndarray:
+    """For every length up to that of a long word and a space: four tables of 256, what each byte of a checksum turns into once
+    so many more bytes follow."""
     table = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
-    out = np.arange(256, dtype=np.uint32)[None, :] << np.array([[0], [8], [16], [24]], np.uint32)
-    for _ in range(length):
-        out = (out >> np.uint32(8)) ^ table[out & np.uint32(255)]
-    return out
+    out = [np.arange(256, dtype=np.uint32)[None, :] << np.array([[0], [8], [16], [24]], np.uint32)]
+    for _ in range(LONG + 1):
+        out.append((out[-1] >> np.uint32(8)) ^ table[out[-1] & np.uint32(255)])
+    return np.stack(out)
 
 
 def pair_checksums(words: list[bytes], own: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """crc32 of ``first + b' ' + second`` for indices into ``words``, whose own checksums are given."""
     spaced = np.fromiter((zlib.crc32(b" " + w) for w in words), np.uint32, len(words))
     length = np.fromiter((min(len(w), LONG) + 1 for w in words), np.int64, len(words))
-    tables = np.stack([zeros_after(n) for n in range(LONG + 2)])
-    c, n = own[first], length[second]
+    tables, c, n = zeros_after(), own[first], length[second]
     out = spaced[second].copy()
     for k in range(4):
         out ^= tables[n, k, c >> np.uint32(8 * k) & np.uint32(255)]
