@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pigeonhole import constants as k
 from pigeonhole.functions import text as tx
+from pigeonhole.functions.json import let
 from pigeonhole.operators import attempts, correlation, models, responses
 from pigeonhole.plans.decision_queries import TYPES, type_ids
 from pigeonhole.plans.registry import query
@@ -74,26 +75,26 @@ QUOTE = "substr(text, 1 + cast(floor(greatest(length(text) - 200, 0) * (doc_id %
 
 def reader_bodies(t: Inputs) -> DataFrame:
     d = F.col("defect")
-    quote = F.expr(QUOTE)
-    quote = (F.when(d == "altered", F.concat(quote, F.lit("§"))).when(d == "empty", "")
-             .when(d == "respaced", F.regexp_replace(quote, "\\s+", "  ")).otherwise(quote))
-    evidence = F.when(d == "four", F.array(quote, quote, quote, quote)).otherwise(F.array(quote))
-    verdict = lambda i, x: F.struct(
+    # each step is bound once: written out, the quote would stand in the body some two thousand times
+    quote = let(F.expr(QUOTE), lambda q: F.when(d == "altered", F.concat(q, F.lit("§"))).when(d == "empty", "")
+                .when(d == "respaced", F.regexp_replace(q, "\\s+", "  ")).otherwise(q))
+    evidence = let(quote, lambda q: F.when(d == "four", F.array(q, q, q, q)).otherwise(F.array(q)))
+    verdict = lambda i, x, e: F.struct(
         F.when((d == "repeat") & F.lit(i == 1), TYPES[0]).otherwise(x).alias("type_id"), (F.col("true_type") == x).alias("is_type"),
-        F.when(d == "rationale", "  ").otherwise("because").alias("rationale"), evidence.alias("evidence"),
+        F.when(d == "rationale", "  ").otherwise("because").alias("rationale"), e.alias("evidence"),
         F.when(d == "alternative", "type_xx").when(F.lit(i == 2), TYPES[0]).alias("closest_alternative"))
-    verdicts = F.array(*[verdict(i, x) for i, x in enumerate(TYPES)])
-    verdicts = F.when(d == "missing", F.slice(verdicts, 1, 3)).otherwise(verdicts)
+    verdicts = let(evidence, lambda e: F.array(*[verdict(i, x, e) for i, x in enumerate(TYPES)]))
+    verdicts = let(verdicts, lambda v: F.when(d == "missing", F.slice(v, 1, 3)).otherwise(v))
     value = F.to_json(F.struct(verdicts.alias("verdicts")), {"ignoreNullFields": "false"})
-    value = (F.when(d == "fields", F.regexp_replace(value, '"rationale"', '"reason"'))
-             .when(d == "answer", F.regexp_replace(value, '"is_type":(true|false)', '"is_type":"$1"'))
-             .when(d == "extra", F.concat(F.lit('{"label":1,'), F.substring(value, F.lit(2), F.length(value)))).otherwise(value))
+    value = let(value, lambda v: F.when(d == "fields", F.regexp_replace(v, '"rationale"', '"reason"'))
+                .when(d == "answer", F.regexp_replace(v, '"is_type":(true|false)', '"is_type":"$1"'))
+                .when(d == "extra", F.concat(F.lit('{"label":1,'), F.substring(v, F.lit(2), F.length(v)))).otherwise(v))
     content = F.to_json(F.array(F.struct(F.when(d == "refusal", "refusal").otherwise("output_text").alias("type"), value.alias("text"))))
     item = F.concat(F.lit('{"type":"message","role":"assistant","status":"completed","content":'), content, F.lit("}"))
-    output = F.concat(F.lit('[{"type":"reasoning","summary":[]},'), item, F.when(d == "two", F.concat(F.lit(","), item)).otherwise(""), F.lit("]"))
+    output = let(item, lambda i: F.concat(F.lit('[{"type":"reasoning","summary":[]},'), i, F.when(d == "two", F.concat(F.lit(","), i)).otherwise(""), F.lit("]")))
     body = F.concat(F.lit('{"model":"'), F.when(d == "drift", "gpt-6-luna").otherwise("gpt-6-sol-2026-02-03"), F.lit('","status":"'),
                     F.when(d == "status", "incomplete").otherwise("completed"), F.lit('","error":null,"output":'), output, F.lit("}"))
-    body = F.when(d == "json", F.concat(body, F.when(F.col("doc_id") % 2 == 0, "}").otherwise("] trailing"))).otherwise(body)
+    body = let(body, lambda b: F.when(d == "json", F.concat(b, F.when(F.col("doc_id") % 2 == 0, "}").otherwise("] trailing"))).otherwise(b))
     docs = t.view("v_docs").withColumn("defect", F.expr(READ_CASE))
     return docs.withColumns({"body": body, "pin": F.lit(READER_PIN), "pin_policy": F.lit("owner_approved_alias"), "type_ids": type_ids(),
                              "evidence_policy": F.expr(POLICY_CASE)}).drop("text")
