@@ -1,4 +1,4 @@
-"""Append-only ledgers kept as parquet, partitioned by run."""
+"""Append-only ledgers kept as parquet, in ranges of runs."""
 
 from __future__ import annotations
 
@@ -15,11 +15,23 @@ LEDGERS = ["runs", "documents", "calls", "events", "checkpoints", "artifacts", "
 
 
 def load_ledger(spark: SparkSession, folder: str, name: str, run_ids: list[str] | None = None) -> DataFrame:
-    """One ledger; naming runs prunes the scan to their partitions."""
+    """One ledger; naming runs opens only the row groups whose range of runs holds them."""
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}")
     return df if run_ids is None else df.filter(F.col("run_id").isin(run_ids))
 
 
+def save_ledger(df: DataFrame, folder: str, name: str) -> None:
+    """One ledger for ``load_ledger``."""
+    in_run_order(df, []).write.mode("errorifexists").parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def in_run_order(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt and sorted by run and keys: files grow with the rows and not with the runs, and their footers tell which
+    runs they hold. Without a run only the keys count."""
+    order = list(dict.fromkeys(["run_id", *keys] if "run_id" in df.columns else keys))
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
@@ -76,7 +88,7 @@ def append_immutable(df: DataFrame, path: str, keys: list[str], receipts: str |
 
     Rows are written aside and count once a numbered commit file names them, which only one writer can create; a writer that
     comes second looks at what the first has committed and tries the next number. Only appends whose ranges of keys meet the
-    new ones are opened, and of those only the partitions of the same runs. The input is evaluated once. With ``receipts`` the
+    new ones are opened. The input is evaluated once. With ``receipts`` the
     intent (``writing``) is recorded first and ``complete`` after the commit, so a lost job leaves a visible trace. Read with
     ``read_committed``.
     """
@@ -98,7 +110,7 @@ def append_immutable(df: DataFrame, path: str, keys: list[str], receipts: str |
         near = meeting(log, least, most)
         if near:
             stored = read_appends(spark, path, near, df.schema)
-            if by_run:  # the partitions that the new rows belong to
+            if by_run:  # only the runs that the new rows belong to
                 stored = stored.join(df.select("run_id").distinct(), "run_id", "left_semi")
             refuse(own.join(stored.select(*keys), keys, "left_semi"), "taken key")
 
@@ -109,7 +121,7 @@ def append_immutable(df: DataFrame, path: str, keys: list[str], receipts: str |
     check(log)
     receipt("writing")
     folder = f"appends/append={uuid.uuid4().hex}"
-    df.write.partitionBy(*by_run).parquet(f"{path}/{folder}")
+    in_run_order(df, keys).write.parquet(f"{path}/{folder}")
     try:
         number = int(log[-1].number) + 1 if log else 0
         while not commit(spark, path, number, {"folder": folder, "least": least, "most": most}):

@@ -56,6 +56,17 @@ def test_an_append_opens_only_what_may_hold_its_keys(spark, monkeypatch):
     assert opened == [["00000002"]]
 
 
+def test_files_of_a_ledger_grow_with_its_rows_and_not_with_its_runs(spark):
+    folder = new_folder(spark, "append")
+    rows = spark.range(600).selectExpr("lpad(id % 300, 3, '0') as run_id", "cast(id as string) as key")  # 300 runs, named by digits
+    ledger.append_immutable(rows, f"{folder}/calls", ["key"])
+    ledger.save_ledger(rows, folder, "saved")
+    for place in ("calls/appends", "saved"):
+        assert len(glob.glob(f"{folder}/{place}/**/*.parquet", recursive=True)) <= 8
+    assert {(r.run_id, r.key) for r in ledger.read_committed(spark, f"{folder}/calls").collect()} == {(f"{i % 300:03}", str(i)) for i in range(600)}
+    assert sorted(r.key for r in ledger.load_ledger(spark, folder, "saved", ["007", "011"]).collect()) == ["11", "307", "311", "7"]
+
+
 def test_manifest_is_written_once(spark):
     folder = new_folder(spark, "manifest")
     entries = spark.createDataFrame([("r", "t")], "run_id string, tag string")
