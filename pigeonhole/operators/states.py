@@ -89,16 +89,30 @@ def ordered_blocks() -> Column:
 
     def with_order(m: Column) -> Column:
         def key(b: Column, i: Column) -> Column:
-            home = F.try_element_at(F.filter(m, lambda x: x["id"] == b["headingId"]), F.lit(1))
+            at = F.nullif(F.array_position(F.transform(m, lambda x: x["id"]), b["headingId"]), F.lit(0))
+            home = F.try_element_at(m, at.cast("int"))
             return F.struct(F.coalesce(home["group"], F.lit(2)).alias("g"), F.coalesce(home["rank"], F.lit(0)).alias("r"), i.alias("i"), b.alias("b"))
         return F.transform(F.array_sort(F.transform("blocks", key)), lambda x: x["b"])
     return F.when(F.size("headings") == 0, F.col("blocks")).otherwise(let(marked, with_order))
 
 
-def _char_costs(text: Column) -> Column:
-    """Length each character takes inside JSON text, in code points."""
-    return F.transform(F.filter(F.split(text, ""), lambda c: F.length(c) > 0), lambda c: F.when(c.isin('"', "\\", "\n", "\r", "\t", "\b", "\f"), 2)
-                       .when(c.rlike(r"[\x00-\x1f]"), 6).otherwise(1).cast("bigint"))
+def _fitting(text: Column, room: Column) -> Column:
+    """Code points of the longest prefix that takes at most ``room`` inside JSON text.
+
+    A character takes one at least, so no more than ``room`` of them are looked at; where some of those are escaped, the
+    length is found by halving.
+    """
+    fits = lambda n: F.length(json_text(F.array(F.substring(text, F.lit(1), n)))) - 4 <= room
+
+    def halve(a: Column, _: Column) -> Column:
+        middle = F.floor((a["low"] + a["high"] + 1) / 2).cast("int")
+        step = let(middle, lambda m: F.when(fits(m), F.struct(m.alias("low"), a["high"].alias("high"))).otherwise(F.struct(a["low"].alias("low"), (m - 1).alias("high"))))
+        return F.when(a["low"] < a["high"], step).otherwise(a)
+
+    def search(most: Column) -> Column:
+        start = F.struct(F.lit(0).alias("low"), most.alias("high"))
+        return F.when(fits(most), most).otherwise(F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(most + 1)).cast("int")), start, halve, lambda a: a["low"]))
+    return let(F.greatest(F.least(F.length(text).cast("bigint"), room), F.lit(0)).cast("int"), search)
 
 
 def build_budgeted_digest(docs: DataFrame) -> DataFrame:
@@ -126,13 +140,14 @@ def build_budgeted_digest(docs: DataFrame) -> DataFrame:
                 whole = F.when(o == 0, blocks).otherwise(F.slice(blocks, F.lit(1), F.greatest(o - 1, F.lit(0)).cast("int")))
                 last = F.try_element_at(blocks, F.greatest(o, F.lit(1)).cast("int"))
                 left = room + 1 - F.try_element_at(start, F.greatest(o, F.lit(1)).cast("int")) - shell(last) - 1
-                kept = let(_char_costs(last["text"]), lambda cc: F.size(F.filter(
-                    F.zip_with(cc, running_offsets(cc), lambda c, s: s + c), lambda end: end <= left)))
-                prefix = F.when(o > 0, F.substring(last["text"], F.lit(1), kept))
-                partial = F.when(F.length(prefix) > 0, F.array(F.struct(last["headingId"].alias("headingId"), last["position"].alias("position"), prefix.alias("text")))).otherwise(none)
-                lengths = F.transform(blocks, lambda b, i: F.when((o == 0) | (i < o - 1), utf16_len(b["text"])).when(
-                    i == o - 1, F.coalesce(utf16_len(prefix), F.lit(0))).otherwise(F.lit(0)).cast("bigint"))
-                return F.struct(F.concat(F.filter(whole, lambda b: F.length(b["text"]) > 0), partial).alias("sections"), lengths.alias("taken"))
+                prefix = F.when(o > 0, F.substring(last["text"], F.lit(1), _fitting(last["text"], left)))
+
+                def parts(p: Column) -> Column:
+                    partial = F.when(F.length(p) > 0, F.array(F.struct(last["headingId"].alias("headingId"), last["position"].alias("position"), p.alias("text")))).otherwise(none)
+                    lengths = F.transform(blocks, lambda b, i: F.when((o == 0) | (i < o - 1), utf16_len(b["text"])).when(
+                        i == o - 1, F.coalesce(utf16_len(p), F.lit(0))).otherwise(F.lit(0)).cast("bigint"))
+                    return F.struct(F.concat(F.filter(whole, lambda b: F.length(b["text"]) > 0), partial).alias("sections"), lengths.alias("taken"))
+                return let(prefix, parts)
             return let(over, result)
         return let(costs, lambda c: let(running_offsets(c), lambda s: cut_at(c, s)))
 

@@ -103,6 +103,19 @@ def test_digest_literal(spark):
     assert rows[2].code == "E_DIGEST_OUTLINE_BUDGET"
 
 
+def test_digest_cuts_a_long_block_without_pricing_its_characters(spark, capsys):
+    heads, docs = [("h", "Method", 1, 0)], []
+    for i, unit in enumerate(["a", '"', "😀\n", "ab\x01", "\\"]):
+        for budget in (200, 1_500):
+            docs.append((10 * i + budget, "t", "T", heads, [], [("h", 10, unit * 20_000), (None, 20, "b")], ["method"], budget))
+    df = nested(spark, docs)
+    out = states.build_budgeted_digest(df)
+    native = {r.id: (r.serialized, r.taken[0] > 0) for r in out.collect()}
+    assert native == {r.id: (r.serialized, True) for r in states.build_digest_with_codec(df, states.CodePoints(), ["id"]).collect()}
+    out.explain(True)
+    assert "split(" not in capsys.readouterr().out
+
+
 def test_layout_literal(spark):
     lines = [(0, "w0", 1, 30.0, 15.0, False, 0)] + [(n + 1, f"w{n + 1}", 1, 70.0 + n * 12, 10.0, False, n + 1) for n in range(4)] + [(5, "w5", 1, 300.0, 10.0, True, 5), (6, "w6", 1, 312.0, 10.0, True, 6)]
     df = spark.createDataFrame(lines, "seq int, text string, page int, y double, font_size double, bold boolean, position bigint").withColumns(
