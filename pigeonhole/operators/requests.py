@@ -30,6 +30,18 @@ def _per_pack(types: DataFrame, pack_key: str) -> DataFrame:
     return listed.select(pack_key, F.transform("_t", lambda t: t["id"]).alias("ids"), F.transform("_t", lambda t: t["json"]).alias("jsons"))
 
 
+SHARES = 256  # of all packs together
+
+
+def _with_parts(rows: DataFrame, parts: DataFrame, pack_key: str) -> DataFrame:
+    """Rows with the parts of their pack. Where packs are few, each one's rows are dealt into shares with a copy of its parts,
+    so the texts of a pack never meet in one task."""
+    shares = max(SHARES // max(parts.select(pack_key).limit(SHARES).count(), 1), 1)
+    plain = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = rows.withColumn("_share", F.pmod(F.xxhash64(*plain), F.lit(shares)))
+    return dealt.join(parts.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shares - 1).cast("bigint")))), [pack_key, "_share"]).drop("_share")
+
+
 def confidence_questions(types: DataFrame, packs: DataFrame, pack_key: str) -> DataFrame:
     """Per pack the question text for complete-text states and for sectioned states.
 
@@ -54,7 +66,8 @@ def build_confidence_requests(states: DataFrame, types: DataFrame, packs: DataFr
     The wording follows the state's own named fields; a state without its exact fields is ``E_DIGEST_STATE``.
     ``states``: pack key, serialized. ``packs`` also carries ``confidence_pin, confidence_policy``.
     """
-    rows = states.join(confidence_questions(types, packs, pack_key), pack_key).join(packs.select(pack_key, "confidence_pin", "confidence_policy"), pack_key)
+    parts = confidence_questions(types, packs, pack_key).join(packs.select(pack_key, "confidence_pin", "confidence_policy"), pack_key)
+    rows = _with_parts(states, parts, pack_key)
     names = F.json_object_keys("serialized")
     fields = lambda *n: same_set(F.col("_keys"), F.array(*[F.lit(x) for x in n]))
     compact = fields("fullText", "title", "headings", "tables")
@@ -105,7 +118,7 @@ def reader_parts(types: DataFrame, packs: DataFrame, pack_key: str) -> DataFrame
 
 def build_reader_requests(docs: DataFrame, types: DataFrame, packs: DataFrame, pack_key: str, text: str = "full_text") -> DataFrame:
     """Adds ``body`` and ``code``: prompt, schema and type file of the pack, then the complete text."""
-    rows = docs.join(reader_parts(types, packs, pack_key), pack_key)
+    rows = _with_parts(docs, reader_parts(types, packs, pack_key), pack_key)
     body = F.concat("_head", json_string(F.col(text)), "_tail")
     return rows.withColumn("body", F.when(F.col("code").isNull(), body)).drop("_head", "_tail")
 
@@ -116,7 +129,7 @@ def build_recovery_requests(docs: DataFrame, packs: DataFrame, pack_key: str, te
     prompt = F.concat("recovery_prompt", F.lit("\nOutput schema:\n"), schema)
     head, tail = _response_parts(prompt, "document_headings", schema, "recovery_pin", "effort", "recovery_cap")
     parts = packs.select(pack_key, head.alias("_head"), tail.alias("_tail"), _configuration("effort", "recovery_cap", "recovery_pin", "recovery_policy", k.RECOVERY).alias("code"))
-    rows = docs.filter("needs_outline_recovery").join(parts, pack_key)
+    rows = _with_parts(docs.filter("needs_outline_recovery"), parts, pack_key)
     return rows.withColumn("body", F.when(F.col("code").isNull(), F.concat("_head", json_string(F.col(text)), "_tail"))).drop("_head", "_tail")
 
 

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pigeonhole.operators import batching, corrections, ledger, outline, proposals, states
+from pigeonhole.operators import batching, corrections, ledger, outline, proposals, requests, states
 from pigeonhole.streaming import guards
 
 
@@ -116,6 +116,22 @@ def test_digest_cuts_a_long_block_without_pricing_its_characters(spark, capsys):
     assert "split(" not in capsys.readouterr().out
 
 
+def test_texts_of_one_pack_are_dealt_over_tasks(spark):
+    types = spark.createDataFrame([("p", 0, "a", "A", "w", "n", ["x"])], "pack string, position int, id string, name string, what string, not_for string, examples array<string>")
+    packs = spark.createDataFrame([("p", "{}", "Read.", "gpt-6-sol", "owner_approved_alias", "low", 9)], "pack string, none_json string, reader_prompt string, reader_pin string, reader_policy string, effort string, reader_cap int")
+    docs = spark.range(400).selectExpr("'p' as pack", "id", "concat('text ', id) as full_text")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for key, value in zip(held, ("-1", "false")):
+            spark.conf.set(key, value)
+        rows = requests.build_reader_requests(docs, types, packs, "pack").select("id", "code", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+    assert sorted(r.id for r in rows) == list(range(400)) and {r.code for r in rows} == {None}
+    assert len({r.task for r in rows}) > 1
+
+
 def test_layout_literal(spark):
     lines = [(0, "w0", 1, 30.0, 15.0, False, 0)] + [(n + 1, f"w{n + 1}", 1, 70.0 + n * 12, 10.0, False, n + 1) for n in range(4)] + [(5, "w5", 1, 300.0, 10.0, True, 5), (6, "w6", 1, 312.0, 10.0, True, 6)]
     df = spark.createDataFrame(lines, "seq int, text string, page int, y double, font_size double, bold boolean, position bigint").withColumns(
