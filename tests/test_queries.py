@@ -39,3 +39,10 @@ def test_every_query_has_sql():
 
 def test_entry_registers_them():
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_suggested_headings_are_chosen_inside_the_row(spark):
+    from pigeonhole.plans import outline_queries, views
+
+    plan = outline_queries.candidates(views.Inputs(spark, FOLDER))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # text with its identity
