@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from pigeonhole import constants as k
+from pigeonhole.session import listing_in_shares
 
 LARGE, PIECE = 1 << 28, 1 << 23  # bytes from which a file is read in pieces, and of a piece
 
@@ -27,7 +29,8 @@ def scan_source_folder(spark: SparkSession, path: str, large: int = LARGE) -> Da
     A file of more than ``large`` bytes is never a value: its content is null and it is hashed in pieces. Spark's listing
     leaves empty files out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    with listing_in_shares(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = F.lit(path.rstrip("/").removeprefix("file:") + "/")
     place = F.replace(F.regexp_replace(F.col("path"), "^file:/+", "/"), root, F.lit("")).alias("path")
     whole = files.filter(F.col("length") <= large).select(place, F.sha2("content", 256).alias("fingerprint"), "length", "content")
@@ -35,16 +38,57 @@ def scan_source_folder(spark: SparkSession, path: str, large: int = LARGE) -> Da
     return whole.unionByName(pieces.select(place, "fingerprint", "length", F.lit(None).cast("binary").alias("content")))
 
 
+def _store(name: str):
+    """File system and path of a file or folder on it."""
+    from pyarrow import fs
+
+    if name.startswith("/") or name.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub("^file:/*", "/", name)
+    return fs.FileSystem.from_uri(name)
+
+
+def write_texts(lines: DataFrame, folder: str, order: list[str]) -> None:
+    """One file for each ``path`` below ``folder``: the ``value`` of its rows as lines, in the given order.
+
+    The tasks write the files themselves, a batch of lines at a time: without its native library, Spark's own writer starts
+    several processes for each file on a local disk. A file gets its name when it is whole, so a repeated task leaves the same.
+    """
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, stream, started = None, None, None
+
+        def close() -> None:
+            if stream:
+                stream.close()
+                store.move(*started)
+
+        for batch in batches:
+            paths, values = batch["path"].to_pylist(), batch["value"].to_pylist()
+            edges = [0, *(i for i in range(1, len(paths)) if paths[i] != paths[i - 1]), len(paths)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo < hi and paths[lo] != own:
+                    close()
+                    own = paths[lo]
+                    store, at = _store(f"{folder}/{own}")
+                    parent, name = at.rsplit("/", 1)
+                    store.create_dir(parent, recursive=True)
+                    started = (f"{parent}/.{name}-{uuid.uuid4().hex}", at)  # hidden from listings
+                    stream = store.open_output_stream(started[0])
+                if lo < hi:
+                    stream.write(b"".join((v or b"") + b"\n" for v in values[lo:hi]))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+        close()
+
+    rows = lines.select("path", F.col("value").cast("binary").alias("value"), *order).repartition("path").sortWithinPartitions("path", *order)
+    rows.select("path", "value").mapInArrow(convert, "n long").agg(F.sum("n")).collect()
+
+
 def hash_in_pieces(files: DataFrame) -> DataFrame:
     """Adds the content hash of files named by ``path`` (with its scheme): a task reads one file at a time, a piece at a time."""
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             hashes = []
             for name in batch["path"].to_pylist():
-                local = name.startswith("/") or name.startswith("file:")
-                store, at = (fs.LocalFileSystem(), re.sub("^file:/*", "/", name)) if local else fs.FileSystem.from_uri(name)
+                store, at = _store(name)
                 digest = hashlib.sha256()
                 with store.open_input_stream(at) as stream:
                     while piece := stream.read(PIECE):

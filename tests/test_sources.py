@@ -158,3 +158,20 @@ def test_large_files_are_hashed_in_pieces(spark, tmp_path):
     assert found["large.bin"] == (size, digest.hexdigest())
     pieces = {r.path: r.fingerprint for r in files.scan_source_folder(spark, str(tmp_path), large=10).filter("length < 2000").select("path", "fingerprint").collect()}
     assert {p: f for p, (n, f) in found.items() if n < 2000} == pieces
+
+
+def test_folders_are_listed_in_shares_and_texts_are_whole_files(spark):
+    folder = new_folder(spark, "texts")
+    rows = spark.range(400).select(F.concat(F.lit("a b%2F/part="), F.expr("id % 100").cast("string"), F.lit("/t.txt")).alias("path"), "id",
+                                   F.when(F.col("id") % 7 > 0, F.concat(F.lit("é"), F.col("id").cast("string"))).alias("value"))
+    files.write_texts(rows, folder, ["id"])
+    group = folder.rsplit("/", 1)[1]
+    spark.sparkContext.setJobGroup(group, "listing")
+    found = files.scan_source_folder(spark, folder)
+    spark.sparkContext.setJobGroup("", "")
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+    line = lambda i: (f"é{i}" if i % 7 else "") + "\n"
+    assert {r.path: bytes(r.content).decode() for r in found.collect()} == {
+        f"a b%2F/part={p}/t.txt": "".join(line(i) for i in range(p, 400, 100)) for p in range(100)}
