@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from pigeonhole.functions.arrays import block_positions
 from pigeonhole.operators.requests import batch_line
+from pigeonhole.session import cut
 
 
 def write_batch_input(requests: DataFrame, path: str) -> None:
@@ -20,12 +20,15 @@ def write_batch_input(requests: DataFrame, path: str) -> None:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file_id, line_number, line, utf8`` for every line. Large files stay split: lines are numbered inside their
-    split and the split starts are added."""
+    """``file_id, line_number, line, utf8`` for every line. Large files stay split: lines are stored with their order, so a
+    line's number is its distance from the first line of its split and the lines of the splits before. No line is sorted."""
     raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
-    rows = raw.select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("_start"),
-                      F.monotonically_increasing_id().alias("_order"), F.is_valid_utf8("value").alias("utf8"), F.col("value").alias("line"))
-    return block_positions(rows, ["file_id"], F.col("_start"), ["_order"], "line_number").drop("_start", "_order")
+    rows = cut(raw.select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("_start"),
+                          F.monotonically_increasing_id().alias("_order"), F.is_valid_utf8("value").alias("utf8"), F.col("value").alias("line")), "lines")
+    before = W.partitionBy("file_id").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    splits = rows.groupBy("file_id", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_first"))
+    splits = cut(splits.select("file_id", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift")), "splits")
+    return rows.join(splits, ["file_id", "_start"]).withColumn("line_number", F.col("_order") + F.col("_shift")).drop("_start", "_order", "_shift")
 
 
 def read_batch_results(spark: SparkSession, path: str, line_limit: int | None = None) -> DataFrame:

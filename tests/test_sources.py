@@ -175,3 +175,18 @@ def test_folders_are_listed_in_shares_and_texts_are_whole_files(spark):
     line = lambda i: (f"é{i}" if i % 7 else "") + "\n"
     assert {r.path: bytes(r.content).decode() for r in found.collect()} == {
         f"a b%2F/part={p}/t.txt": "".join(line(i) for i in range(p, 400, 100)) for p in range(100)}
+
+
+def test_lines_of_split_files_are_numbered_without_sorting_them(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).write_text("".join(f"{name}{i}\n" for i in range(1, 4001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        read = batches.read_lines(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "hashpartitioning" not in plan
+    found = read.collect()
+    assert len(found) == 8000 and all(r.line[1:] == str(r.line_number) and r.file_id.endswith(r.line[0]) for r in found)
