@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -61,3 +62,19 @@ def row_chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[pa.Array]:
     for at in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
         if len(at):
             yield texts.slice(at[0], len(at))
+
+
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside it, tasks hand rows to Python in batches of about 4 MB, however long the texts are. Spark's own batches of 10,000
+    rows stand several times outside the heap while their buffers are doubled."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

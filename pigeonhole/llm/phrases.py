@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, row_chunks
+from .common import cut, row_chunks, small_batches
 from .shingles import ODD, mixed
 
 SHARD_BYTES = 6 << 20  # of text
@@ -41,9 +41,12 @@ def word_sequence(texts: pa.Array) -> tuple[list[str], np.ndarray]:
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     raw = BYTES[np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]]] if data is not None and len(texts) else np.zeros(0, np.uint8)
-    inside = (raw != 32) & (raw != 10)
-    edges = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
-    begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    # Nothing that has a place for each byte is wider than a byte; numbers are made for words only.
+    framed = np.zeros(len(raw) + 2, bool)
+    inside = framed[1:-1]
+    np.not_equal(raw, 32, out=inside)
+    inside &= raw != 10
+    begins, ends = np.flatnonzero(framed[1:] & ~framed[:-1]), np.flatnonzero(framed[:-1] & ~framed[1:])
     # A text that ends in a word may be followed by one that begins with a word: cut there.
     joints = np.unique(offsets[1:-1] - offsets[0])
     joints = joints[(joints > 0) & (joints < len(raw))]
@@ -53,7 +56,7 @@ def word_sequence(texts: pa.Array) -> tuple[list[str], np.ndarray]:
         return [], np.zeros(1, np.int64)
     lengths = np.concatenate([[0], np.cumsum(ends - begins)])
     words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(lengths.astype(np.int64)), pa.py_buffer(raw[inside])).dictionary_encode()
-    piece = np.concatenate([[0], np.cumsum(raw == 10)])[begins]
+    piece = np.searchsorted(np.flatnonzero(raw == 10), begins)
     text = np.searchsorted(offsets - offsets[0], begins, "right")
     ids = words.indices.to_numpy().astype(np.int64) + 1
     broken = np.flatnonzero((np.diff(piece) != 0) | (np.diff(text) != 0)) + 1
@@ -255,7 +258,8 @@ def collocations(docs: DataFrame, most_words: int = 3, least_count: int = 10, to
     go to the larger ``a``, then to the smaller phrase by bytes. No rows give no rows. Other columns are not read.
     """
     docs = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    by_length = frequent_phrases(docs, most_words, least_count)
+    with small_batches(docs.sparkSession):
+        by_length = frequent_phrases(docs, most_words, least_count)
     totals = by_length[0].where("phrase is null").select("lang", F.col("f").alias("n"))
     sized = [t.where("phrase is not null").select("lang", "phrase", "f", F.lit(k).alias("words")) for k, t in enumerate(by_length, 1)]
     every = reduce(DataFrame.unionByName, sized)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -90,6 +91,33 @@ def test_words_never_join_across_texts_and_pieces():
     assert [words[i - 1] if i else "|" for i in ids] == "| x | one one two | one | x | one | two |".split()
 
 
+def test_words_take_little_memory_beside_their_text():
+    texts = pa.array(["The quick brown fox, it jumps\tover. A lazy dog sleeps!\n" * 2000] * 20)
+    tracemalloc.start()
+    phrases.word_sequence(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(texts[0].as_py()) * len(texts)
+
+
+def test_texts_reach_the_index_in_small_batches(spark, monkeypatch):
+    before, real, seen = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), phrases.frequent_phrases, []
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    def watched(docs, *rest):
+        seen.extend(r.n for r in docs.mapInArrow(sizes, "n long").collect())
+        return real(docs, *rest)
+
+    monkeypatch.setattr(phrases, "frequent_phrases", watched)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat('one two three, four five. ', 400) as text", "'en' as lang")
+    assert phrases.collocations(docs).count()
+    assert sum(seen) > 30_000_000 and max(seen) < 8_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 # Languages
 
 
