@@ -29,6 +29,8 @@ GAP_COST = 0.1  # score that each word between two seeds takes, on either side;
 MOST_GAP, REACH = 120, 128  # words between seeds of one chain; words compared beyond a chain's ends
 LEAST_WORDS, SUBSTITUTION = 50, 4  # of a passage; what a differing word costs against one that agrees
 BAND = 24  # drift that an alignment follows beyond that of its chain
+ALIGN_CELLS = 8 << 20  # of bands aligned together, a byte each
+NO_WORD, OUTSIDE = -(1 << 40), 1 << 20  # beside the 32-bit words of a text; what a place outside a band costs
 
 
 def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +289,7 @@ def chain_table(matches: DataFrame) -> DataFrame:
 
 
 def word_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """32-bit word hashes of the wanted documents; a bit map of fixed size leaves most others out before the join."""
+    """32-bit word hashes of the wanted documents; of others only those that a bit map of fixed size lets through, which join with no chain."""
     there = bit_words(wanted.select(F.pmod(F.col("doc_id"), F.lit(1 << MAP_BITS)).alias("bit")))
 
     def convert(batches):
@@ -297,39 +299,70 @@ def word_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             words = [hashes.of(plain_words(t)).astype(np.uint32).view(np.int32) for t in strings(own["text"])]
             yield pa.RecordBatch.from_arrays([own["doc_id"], pa.array(words, pa.list_(pa.int32()))], ["doc_id", "words"])
 
-    return docs.mapInArrow(convert, "doc_id long, words array<int>").join(wanted, "doc_id", "left_semi")
+    return docs.mapInArrow(convert, "doc_id long, words array<int>")
 
 
-def align(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> np.ndarray:
-    """For each word of ``a`` the place of the word of ``b`` it is matched with (-1: none), by edit distance inside a band.
+def align(a: list[np.ndarray], b: list[np.ndarray], shift: list[int], band: list[int]) -> list[np.ndarray]:
+    """For each word of each ``a`` the place of the word of its ``b`` it is matched with (-1: none), by edit distance inside a band.
 
-    ``shift``: b's place less a's of the band's middle. One vector step per word of ``a``.
+    ``shift``: b's place less a's of the band's middle. Pairs of like widths are aligned together, one vector step for the n-th words of all.
     """
-    width = 2 * band + 1
-    cost = np.full(width, 0, np.int32)  # free start
-    steps = np.zeros((len(a), width), np.int8)
-    offset = np.arange(width) + shift - band
-    spread = np.arange(width, dtype=np.int32)
-    for i in range(len(a)):
-        j = offset + i
-        inside = (j >= 0) & (j < len(b))
-        same = inside & (b[np.clip(j, 0, max(len(b) - 1, 0))] == a[i]) if len(b) else inside
-        stay = cost + np.where(same, 0, 1)  # a[i] on b[j]
-        skip = np.append(cost[1:], 1 << 20) + 1  # a[i] on nothing
+    size, width = np.array([len(x) for x in a], np.int64), 2 * np.array(band, np.int64) + 1
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(a)
+    group, kind, wide = [], 0, 0
+    for r in sorted(range(len(a)), key=lambda r: (int(width[r]).bit_length(), -size[r])):
+        wide = max(wide, int(width[r]))
+        if group and (int(width[r]).bit_length() != kind or (len(group) + 1) * size[group[0]] * wide > ALIGN_CELLS):
+            align_group(group, a, b, shift, band, out)
+            group, wide = [], int(width[r])
+        group.append(r)
+        kind = int(width[r]).bit_length()
+    if group:
+        align_group(group, a, b, shift, band, out)
+    return out
+
+
+def align_group(group: list[int], a: list[np.ndarray], b: list[np.ndarray], shift: list[int], band: list[int], out: list[np.ndarray]) -> None:
+    """Alignments of the pairs of a group, whose ``a`` get no longer."""
+    size, width = np.array([len(a[r]) for r in group]), np.array([2 * band[r] + 1 for r in group])
+    most, wide = int(size[0]), int(width.max())
+    left, right = np.zeros((len(group), most), np.int64), np.full((len(group), most + wide), NO_WORD)
+    first = np.array([shift[r] - band[r] for r in group])  # of b, in the band of the first word
+    for k, r in enumerate(group):
+        left[k, :len(a[r])] = a[r]
+        lo, hi = max(0, -first[k]), max(0, min(most + wide, len(b[r]) - first[k]))
+        if lo < hi:
+            right[k, lo:hi] = b[r][lo + first[k]:hi + first[k]]
+    # Costs are held less their place in the band: what a word of b on nothing adds to them is then 0.
+    spread = np.arange(wide + 1, dtype=np.int32)
+    beyond = spread >= width[:, None]
+    cost = np.where(beyond, OUTSIDE, 0).astype(np.int32) - spread  # free start
+    uneven = len(group) > 1 and int(width.min()) < wide
+    steps = np.zeros((most, len(group), wide), np.int8)
+    running = np.searchsorted(-size, -np.arange(most), "left").tolist()  # pairs that have an n-th word
+    for i, n in enumerate(running):
+        stay = cost[:n, :-1] + (right[:n, i:i + wide] != left[:n, i:i + 1])  # a[i] on b[j]
+        skip = cost[:n, 1:] + 2  # a[i] on nothing
         new = np.minimum(stay, skip)
-        run = np.minimum.accumulate(new - spread) + spread  # words of b on nothing
-        steps[i] = np.where(run < new, 2, np.where(stay <= skip, 0, 1))
-        cost = run
-    places, w = np.full(len(a), -1), int(cost.argmin())
-    for i in range(len(a) - 1, -1, -1):
-        while steps[i, w] == 2:
-            w -= 1
-        if steps[i, w] == 0:
-            j = int(offset[w]) + i
-            places[i] = j if 0 <= j < len(b) and b[j] == a[i] else -1
-        else:
-            w += 1
-    return places
+        run = np.minimum.accumulate(new, axis=1, out=cost[:n, :-1])  # words of b on nothing
+        np.greater(stay, skip, out=steps[i, :n].view(bool))
+        steps[i, :n] += (run < new).view(np.int8) << 1
+        if uneven:
+            np.copyto(cost[:n], OUTSIDE - spread, where=beyond[:n])
+    at = np.where(beyond, np.iinfo(np.int32).max, cost + spread).argmin(1)
+    places, rows = np.full((len(group), most), -1), np.arange(len(group))
+    for i in range(most - 1, -1, -1):
+        n = running[i]
+        mine, w = rows[:n], at[:n]
+        step = steps[i, mine, w]
+        while (step > 1).any():
+            w -= step > 1
+            step = steps[i, mine, w]
+        same = (step == 0) & (right[mine, i + w] == left[:n, i])
+        places[:n, i] = np.where(same, first[:n] + w + i, -1)
+        w += step
+    for k, r in enumerate(group):
+        out[r] = places[k, :len(a[r])]
 
 
 def stretches(same: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -358,9 +391,14 @@ PASSAGES = "doc_id long, source_id long, start int, words int, source_start int,
 
 
 def align_chains(lined: DataFrame, least_words: int) -> DataFrame:
+    def passages(r, places, found):
+        for s, e in found:
+            on = places[s:e][places[s:e] >= 0]
+            yield r["doc_id"], r["source_id"], r["from"] + s, e - s, r["source_from"] + int(on[0]), int(on[-1] - on[0]) + 1, len(on)
+
     def convert(batches):
         for batch in batches:
-            rows = []
+            rows, drifting = [], []
             own, source = ((batch[c].flatten().to_numpy(), batch[c].offsets.to_numpy() - batch[c].offsets[0].as_py()) for c in ("part", "source_part"))
             names = ("doc_id", "source_id", "lo", "source_lo", "from", "source_from", "drift")
             for i, values in enumerate(zip(*(batch[c].to_pylist() for c in names))):
@@ -375,13 +413,15 @@ def align_chains(lined: DataFrame, least_words: int) -> DataFrame:
                     continue  # too few agree, in whatever order
                 found = stretches(places >= 0, least_words)
                 if r["drift"]:  # words were put in or left out between seeds
-                    gapped = align(a, b, shift, BAND + r["drift"])
-                    more = stretches(gapped >= 0, least_words)
-                    if sum(e - s for s, e in more) > sum(e - s for s, e in found):
-                        places, found = gapped, more
-                for s, e in found:
-                    on = places[s:e][places[s:e] >= 0]
-                    rows.append((r["doc_id"], r["source_id"], r["from"] + s, e - s, r["source_from"] + int(on[0]), int(on[-1] - on[0]) + 1, len(on)))
+                    drifting.append((r, a, b, shift, places, found))
+                else:
+                    rows += passages(r, places, found)
+            together = align(*(list(x) for x in zip(*((a, b, shift, BAND + r["drift"]) for r, a, b, shift, _, _ in drifting)))) if drifting else []
+            for (r, _, _, _, places, found), gapped in zip(drifting, together):
+                more = stretches(gapped >= 0, least_words)
+                if sum(e - s for s, e in more) > sum(e - s for s, e in found):
+                    places, found = gapped, more
+                rows += passages(r, places, found)
             kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], ["doc_id", "source_id", "start", "words", "source_start", "source_words", "agreeing"])
 
@@ -426,8 +466,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     runs_of = link_table(cut(run_table(links), "runs"))
     # A passage as long as is asked for holds two seeds or, edited, one and what lies around it.
     chains = cut(chain_table(match_table(links).unionByName(match_table(runs_of))), "chains")
-    wanted = chains.select(F.explode(F.array("doc_id", "source_id")).alias("doc_id")).distinct()
-    words = cut(word_table(docs, cut(wanted, "wanted")), "words").dropDuplicates(["doc_id"])
+    wanted = chains.select(F.explode(F.array("doc_id", "source_id")).alias("doc_id"))
+    words = cut(word_table(docs, wanted), "words").dropDuplicates(["doc_id"])
     slice_of = lambda c, lo, hi: F.slice(c, F.col(lo) + 1, F.greatest(F.col(hi) - F.col(lo), F.lit(0)))
     near = chains.withColumns({"from": F.greatest(F.col("lo") - REACH, F.lit(0)), "to": F.col("hi") + REACH,
                                "source_from": F.greatest(F.col("source_lo") - REACH - 32, F.lit(0)), "source_to": F.col("source_hi") + REACH + 32})

@@ -268,3 +268,60 @@ def test_stretches_meet_every_passage(least, rate):
         assert all(any(s < j and i < e for s, e in found) for i, j in due)
         hard += bool(due)
     assert hard > 10
+
+
+def plain_align(a, b, shift, band):
+    """Place of each word of a in b (-1: none) by edit distance inside a band, one word and pair at a time."""
+    width = 2 * band + 1
+    cost, steps, far = [0] * width, [], 1 << 20
+    for i, word in enumerate(a):
+        new, step = [], []
+        for w in range(width):
+            j = w + shift - band + i
+            stay, skip = cost[w] + (not (0 <= j < len(b) and b[j] == word)), (cost[w + 1] if w + 1 < width else far) + 1
+            best, kind = min(stay, skip), int(stay > skip)
+            if w and new[-1] + 1 < best:
+                best, kind = new[-1] + 1, 2
+            new.append(best)
+            step.append(kind)
+        cost = new
+        steps.append(step)
+    w, places = cost.index(min(cost)), [-1] * len(a)
+    for i in range(len(a) - 1, -1, -1):
+        while steps[i][w] == 2:
+            w -= 1
+        j = w + shift - band + i
+        if steps[i][w] == 0 and 0 <= j < len(b) and b[j] == a[i]:
+            places[i] = j
+        w += steps[i][w]
+    return places
+
+
+def test_alignments_made_together_equal_those_made_alone(monkeypatch):
+    rng, pairs = random.Random(4), []
+    for k in range(150):
+        a = [rng.randrange(5) for _ in range(rng.randrange(60))]
+        b = list(a)
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(b) + 1)
+            b[at:at + rng.randrange(2)] = [rng.randrange(5)] * rng.randrange(2)
+        pairs.append((np.array(a, np.int32), np.array(b, np.int32)[:rng.randrange(80)], rng.randrange(-15, 15), rng.randrange(1, 30)))
+    due = [plain_align(a.tolist(), b.tolist(), shift, band) for a, b, shift, band in pairs]
+    for cells in (1, 4000, chains.ALIGN_CELLS):
+        monkeypatch.setattr(chains, "ALIGN_CELLS", cells)
+        assert [x.tolist() for x in chains.align(*map(list, zip(*pairs)))] == due
+
+
+def test_chains_with_gaps_are_aligned_together(monkeypatch):
+    groups, real = [], chains.align_group
+    monkeypatch.setattr(chains, "align_group", lambda group, *rest: (groups.append(len(group)), real(group, *rest)))
+    words = np.arange(300, dtype=np.int32)
+    got = chains.align([words] * 200, [np.delete(words, 150)] * 200, [0] * 200, [30] * 200)
+    assert groups == [200] and all(x.tolist() == [*range(150), -1, *range(150, 299)] for x in got)
+
+
+def test_words_of_chains_are_shuffled_only_for_their_joins(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four"), (3, "five")], "doc_id long, text string")
+    words = chains.word_table(docs, spark.createDataFrame([(1,), (1,), (3,)], "doc_id long"))
+    assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, len(r.words)) for r in words.collect()) == [(1, 3), (3, 1)]
