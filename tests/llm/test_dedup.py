@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -325,3 +326,76 @@ def test_words_of_chains_are_shuffled_only_for_their_joins(spark):
     words = chains.word_table(docs, spark.createDataFrame([(1,), (1,), (3,)], "doc_id long"))
     assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.doc_id, len(r.words)) for r in words.collect()) == [(1, 3), (3, 1)]
+
+
+class Kernel:
+    """Stands for a table: keeps the function that a step hands to Arrow."""
+
+    def repartition(self, *_):
+        return self
+
+    sortWithinPartitions = repartition
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+def plain_minimisers(words):
+    seeds = chains.runs(words, list(range(chains.K))).tolist()
+    windows = [range(i, i + chains.WINDOW) for i in range(max(1, len(seeds) - chains.WINDOW + 1))]
+    at = sorted({min(w, key=lambda i: (seeds[i], i)) for w in ([i for i in w if i < len(seeds)] for w in windows) if w})
+    return at, chains.told_apart(words, np.array(at, int), np.array([seeds[i] for i in at], np.uint64)).tolist()
+
+
+def test_words_and_seeds_of_many_texts_equal_those_of_each():
+    rng, hashes = random.Random(3), chains.PlainWords()
+    texts = [" ".join(rng.choices("ab" if k % 2 else "abcdefghijkl", k=rng.randrange(70))) for k in range(200)]
+    texts += ["", None, " \t\n", "  “Quoted,” (words) -- … İİ ΑΣ a\x1cb\x85c　d​e ", *(f"a{chr(c)}b" for c in range(0x3100) if not 0xD800 <= c < 0xE000)]
+    words, size = chains.words_of(pa.array(texts, pa.string()))
+    row, at, found = chains.seeds_of_all(words, size)
+    assert len(size) == len(texts) and size.sum() == len(words)
+    for k, (text, end) in enumerate(zip(texts, np.cumsum(size))):
+        own = words[end - size[k]:end]
+        assert own.tolist() == hashes.of((text or "").lower().split()).tolist()
+        assert (at[row == k].tolist(), found[row == k].tolist()) == plain_minimisers(own)
+
+
+def test_matches_in_order_are_chained_for_all_pairs_together(monkeypatch):
+    calls, real = [], chains.chain
+    monkeypatch.setattr(chains, "chain", lambda at, there: (calls.append(len(at)), real(at, there))[1])
+    rng, rows, due, others = random.Random(5), [], set(), 0
+    for doc in range(60):
+        for source in range(rng.randrange(1, 6)):
+            at = np.sort(rng.sample(range(900), rng.randrange(1, 25)))
+            there = at + 40 + np.cumsum([rng.choice([0, 0, 0, 0, 1, 30]) for _ in at])
+            if doc % 7 == 0:
+                rng.shuffle(there)
+            others += bool((np.diff(there) <= 0).any())
+            rows += [(doc, source, *p) for p in zip(at.tolist(), there.tolist())]
+            parts = [(at[p[0]], at[p[-1]] + chains.K, there[p[0]], there[p[-1]] + chains.K, np.ptp(at[p] - there[p])) for c in real(at, there) for p in chains.parts_of(c, at, there)]
+            last = None
+            for p in sorted(parts, key=lambda p: (p[4] > 0, p[0] - p[2], p[0])):
+                if last and not p[4] and p[0] - p[2] == last[0] - last[2] and p[0] - last[1] <= 2 * chains.REACH:
+                    p = (last[0], max(last[1], p[1]), last[2], max(last[3], p[3]), 0)
+                    due.remove((doc, source, *map(int, last)))
+                due.add((doc, source, *map(int, p)))
+                last = p
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "source_id", "at", "source_at"])
+    kernel = chains.chain_table(Kernel())
+    for together, size in ((1, 7), (100, 50), (10**6, 10**6)):
+        monkeypatch.setattr(chains, "MATCHES_TOGETHER", together)
+        calls.clear()
+        got = [tuple(r.values()) for b in kernel.run(iter(table.to_batches(size))) for r in b.to_pylist()]
+        assert set(got) == due and len(got) == len(due)
+        assert others <= len(calls) < others + 40  # and those where a score is as high as a cost
+
+
+def test_gapped_chains_of_all_batches_are_aligned_together(monkeypatch):
+    groups, real = [], chains.align_group
+    monkeypatch.setattr(chains, "align_group", lambda group, *rest: (groups.append(len(group)), real(group, *rest)))
+    words = list(range(200))
+    row = {"doc_id": 2, "source_id": 1, "lo": 0, "hi": 200, "source_lo": 0, "from": 0, "source_from": 0, "drift": 1, "part": words, "source_part": words[:80] + words[81:]}
+    batch = pa.Table.from_pylist([row] * 5, pa.schema([(n, pa.list_(pa.int32()) if "part" in n else pa.int64()) for n in row])).to_batches()[0]
+    got = [tuple(r.values()) for b in chains.align_chains(Kernel(), 50).run(iter([batch] * 4)) for r in b.to_pylist()]
+    assert groups == [20] and got == [(2, 1, 0, 200, 0, 199, 199)] * 20
