@@ -74,12 +74,14 @@ def build_structured_state(docs: DataFrame) -> DataFrame:
 
 
 def build_confidence_state(docs: DataFrame, policy: str = "state_policy") -> DataFrame:
-    """The state named by each row's frozen policy; an unknown policy or empty text raises."""
+    """The state named by each row's frozen policy; an unknown policy raises.
+
+    A document without text is named in ``code`` beside its state, so that it doesn't stop the job of all others.
+    """
     p = F.col(policy)
-    state = (F.when(F.coalesce(F.length("full_text"), F.lit(0)) == 0, F.raise_error(F.lit("Extracted text is required")))
-             .when(p == k.STATE_V3, compact_state()).when(p == k.STATE_V2, structured_state())
+    state = (F.when(p == k.STATE_V3, compact_state()).when(p == k.STATE_V2, structured_state())
              .otherwise(F.raise_error(F.concat(F.lit("Unknown state policy: "), F.coalesce(p, F.lit("none"))))))
-    return docs.withColumn("serialized", state)
+    return docs.withColumns({"serialized": state, "code": F.when(F.coalesce(F.length("full_text"), F.lit(0)) == 0, "E_NO_TEXT")})
 
 
 def ordered_blocks() -> Column:
