@@ -66,3 +66,9 @@ READ = [{17: "", 18: "", 19: "", 20: "", 21: " ", 22: " ", 23: "\n ", 24: "\n\n"
 def test_evidence_rows_of_an_empty_text(compared):
     rows, _, status = compared("explode_evidence", READ[0])
     assert (rows, status) == (44, "ok")
+
+
+@pytest.mark.parametrize("texts", READ)
+def test_reader_answers_on_an_empty_text(compared, texts):
+    rows, _, status = compared("decode_reader", texts)
+    assert (rows, status) == (len(texts), "ok")
