@@ -72,3 +72,11 @@ def test_evidence_rows_of_an_empty_text(compared):
 def test_reader_answers_on_an_empty_text(compared, texts):
     rows, _, status = compared("decode_reader", texts)
     assert (rows, status) == (len(texts), "ok")
+
+
+OFFICE = {**LINES, 1: "", 2: "", 3: "", 4: "", 11: "\n", 12: "\n  ", 13: " ", 14: "x\n\ny\n\n\nz", 15: "\n \n", 16: " \n", 17: "a", 57: "b", 21: "\n\n\n\n\n\n c"}
+
+
+def test_office_text_of_an_empty_document(compared):
+    rows, _, status = compared("extract_office", OFFICE)
+    assert (rows, status) == (len(OFFICE), "ok")
