@@ -80,3 +80,8 @@ OFFICE = {**LINES, 1: "", 2: "", 3: "", 4: "", 11: "\n", 12: "\n  ", 13: " ", 14
 def test_office_text_of_an_empty_document(compared):
     rows, _, status = compared("extract_office", OFFICE)
     assert (rows, status) == (len(OFFICE), "ok")
+
+
+def test_office_outline_of_an_empty_document(compared):
+    rows, _, status = compared("extract_office_outline", OFFICE)
+    assert (rows, status) == (9, "ok")
