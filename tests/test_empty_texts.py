@@ -85,3 +85,8 @@ def test_office_text_of_an_empty_document(compared):
 def test_office_outline_of_an_empty_document(compared):
     rows, _, status = compared("extract_office_outline", OFFICE)
     assert (rows, status) == (9, "ok")
+
+
+def test_answers_by_role_on_an_empty_text(compared):
+    _, _, status = compared("decode_by_role", READ[2])
+    assert status == "ok"
